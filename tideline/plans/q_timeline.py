@@ -235,8 +235,8 @@ l AS (SELECT *, {', '.join(f"list({m}) OVER (PARTITION BY league, entity ORDER B
 SELECT {ID}, rn - 1 AS n_prior, {_ew('era', 4.0)}, {_ew('k9', 7.5)} FROM l WHERE {FIRST}""")
 def _(v: Views):
     out = T.exp_weighted(_starters(v), {"era": 4.0, "k9": 7.5}, 18.0)
-    out = us(out, digits=8)
-    return out.withColumns({c: F.round(c, 6) for c in ("era_recent_sd", "k9_recent_sd")})
+    sds = {c: F.round(c, 6) for c in ("era_recent_sd", "k9_recent_sd")}
+    return us(out.withColumns(sds), digits=8)
 
 
 @register("w15_recent_slope", f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY league, entity ORDER BY ts, game_id) AS rn
