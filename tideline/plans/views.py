@@ -35,7 +35,7 @@ DUCKDB_VIEWS = {
          p1 / (p1 + p2 + p3) AS p_home, p2 / (p1 + p2 + p3) AS p_draw, p3 / (p1 + p2 + p3) AS p_away,
          q1 / (q1 + q2 + q3) AS q_home, q2 / (q1 + q2 + q3) AS q_draw, q3 / (q1 + q2 + q3) AS q_away,
          r1 / (r1 + r2 + r3) AS r_home, r2 / (r1 + r2 + r3) AS r_draw, r3 / (r1 + r2 + r3) AS r_away,
-         0.5 + 0.3 * home_score + 0.2 * (k1 % 7) AS lam_h, 0.5 + 0.3 * away_score + 0.2 * (k2 % 7) AS lam_a
+         0.5::DOUBLE + 0.3::DOUBLE * home_score + 0.2::DOUBLE * (k1 % 7) AS lam_h, 0.5::DOUBLE + 0.3::DOUBLE * away_score + 0.2::DOUBLE * (k2 % 7) AS lam_a
   FROM (SELECT *, CAST(1 + home_score + k1 % 5 AS DOUBLE) AS p1, CAST(1 + k3 % 4 AS DOUBLE) AS p2,
                CAST(1 + away_score + k2 % 5 AS DOUBLE) AS p3,
                CAST(2 + k1 % 9 AS DOUBLE) AS q1, CAST(1 + k2 % 3 AS DOUBLE) AS q2, CAST(2 + k3 % 9 AS DOUBLE) AS q3,
