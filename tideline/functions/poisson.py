@@ -7,13 +7,18 @@ batched numpy is about a hundred times faster than those and needs no shuffle.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# kernels travel with the query, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_RUNS = 14
 LOW_LINE = 6.5
 SUMMARY = (
@@ -53,20 +58,12 @@ def _three_way(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(grid[:, keep].sum(axis=1) for keep in (i > j, i == j, i < j))
 
 
-@F.pandas_udf("array<double>")
-def grid_cells(lam_h: pd.Series, lam_a: pd.Series, shared: pd.Series) -> pd.Series:
-    """The joint cells in row-major order (home runs outer, away runs inner)."""
+def _cells_kernel(lam_h: pd.Series, lam_a: pd.Series, shared: pd.Series) -> pd.Series:
     grid = _joint(lam_h.to_numpy(float), lam_a.to_numpy(float), shared.to_numpy(float))
     return pd.Series(list(grid.reshape(len(grid), -1)))
 
 
-@F.pandas_udf(SUMMARY)
-def grid_summary(lam_h: pd.Series, lam_a: pd.Series, shared: pd.Series) -> pd.DataFrame:
-    """Outcomes, LOW under both rules, outcomes after extra innings, and the four most probable scores.
-
-    A regulation tie is played on for up to three innings at a ninth of the intensities; score ties (to 12 digits) go to
-    the smaller home, then away count.
-    """
+def _summary_kernel(lam_h: pd.Series, lam_a: pd.Series, shared: pd.Series) -> pd.DataFrame:
     h, a, c = (s.to_numpy(float) for s in (lam_h, lam_a, shared))
     grid = _joint(h, a, c)
     home, draw, away = _three_way(grid)
@@ -87,6 +84,20 @@ def grid_summary(lam_h: pd.Series, lam_a: pd.Series, shared: pd.Series) -> pd.Da
     })
 
 
+def grid_cells(lam_h: Column, lam_a: Column, shared: Column) -> Column:
+    """The joint cells in row-major order (home runs outer, away runs inner)."""
+    return F.pandas_udf(_cells_kernel, "array<double>")(lam_h, lam_a, shared)
+
+
+def grid_summary(lam_h: Column, lam_a: Column, shared: Column) -> Column:
+    """Outcomes, LOW under both rules, outcomes after extra innings, and the four most probable scores.
+
+    A regulation tie is played on for up to three innings at a ninth of the intensities; score ties (to 12 digits) go to
+    the smaller home, then away count.
+    """
+    return F.pandas_udf(_summary_kernel, SUMMARY)(lam_h, lam_a, shared)
+
+
 def negbin_low(mu: Column, size: Column) -> Column:
     """Over-dispersed P(X <= 6); a large size approaches Poisson."""
     m, s = F.greatest(mu, F.lit(1e-9)), F.greatest(size, F.lit(1e-6))
