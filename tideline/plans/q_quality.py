@@ -64,7 +64,7 @@ def _(v: Views):
 
 @register("q5_ood", "WITH s AS (SELECT avg(lam_h) AS m1, stddev_pop(lam_h) AS s1, avg(lam_a) AS m2, stddev_pop(lam_a) AS s2 FROM probs) SELECT game_id, ROUND(LEAST(1.0, (abs(lam_h - m1) / (s1 + 1e-12) + abs(lam_a - m2) / (s2 + 1e-12)) / 2 / 5), 7) AS ood FROM probs CROSS JOIN s")
 def _(v: Views):
-    return us(Q.ood(v.probs.select("game_id", "lam_h", "lam_a"), v.probs, ["lam_h", "lam_a"]), digits=7)
+    return us(Q.ood(v.probs.select("game_id", "lam_h", "lam_a"), v.probs, ["lam_h", "lam_a"]).select("game_id", "ood"), digits=7)
 
 
 @register("q6_regime_state", "WITH s AS (SELECT game_id, k1 % 11 / 10.0 AS v, (k2 % 9 - 4) / 10.0 AS t, k3 % 6 / 5.0 AS s FROM games) SELECT game_id, CASE WHEN s >= 0.75 THEN 'information_shock' WHEN v >= 0.75 AND abs(t) >= 0.2 THEN 'high_vol_trend' WHEN v >= 0.75 THEN 'high_volatility' WHEN abs(t) >= 0.2 THEN 'trend' WHEN v <= 0.2 THEN 'low_volatility' ELSE 'range' END AS state FROM s")
