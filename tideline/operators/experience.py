@@ -23,3 +23,129 @@ def revision_metadata(df: DataFrame, p: Sequence[str], game: str, cutoff: str, p
         "revision_status": F.when(F.col("_p").isNull(), "INITIAL").otherwise("REVISED"), "previous_id": F.col("_p._id"),
         "revision_l1": A.add(change), "revision_max": F.when(F.col("_p").isNotNull(), F.greatest(*change)), "revision_outcome_changed": flipped,
     }).drop("_p", "rn")
+
+
+# How specific each stratum scope is.
+SPECIFICITY = {"target_regime_score": 4, "target_regime": 3, "target_score_regime": 3, "target_model": 3, "target_tag": 3, "target": 2, "global": 1}
+
+
+def strata(target: Column, regime: Column, score_regime: Column, model: Column, tags: Column) -> Column:
+    """All overlapping strata of a case as ``array<struct<scope, key, spec>>``; blank labels contribute none."""
+    has = lambda *cs: _all([F.coalesce(c, F.lit("")) != "" for c in cs])
+    one = lambda scope, key, cond: F.when(cond, F.struct(F.lit(scope).alias("scope"), key.alias("key"), F.lit(SPECIFICITY[scope]).alias("spec")))
+    join = lambda *cs: F.concat_ws("|", *cs)
+    fixed = F.array(
+        one("global", F.lit("GLOBAL"), F.lit(True)), one("target", target, has(target)), one("target_regime", join(target, regime), has(target, regime)),
+        one("target_score_regime", join(target, score_regime), has(target, score_regime)),
+        one("target_regime_score", join(target, regime, score_regime), has(target, regime, score_regime)), one("target_model", join(target, model), has(target, model)))
+    clean = F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))
+    tagged = F.transform(clean, lambda t: F.when(has(target), F.struct(F.lit("target_tag").alias("scope"), join(target, t).alias("key"), F.lit(3).alias("spec"))))
+    return F.concat(fixed, F.coalesce(tagged, F.array().cast("array<struct<scope:string,key:string,spec:int>>")))
+
+
+def by_stratum(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row per case and stratum it belongs to (strata that do not apply are NULL elements)."""
+    return df.select(*columns, F.inline("strata")).filter(F.col("scope").isNotNull())
+
+
+def _all(conds: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conds:
+        out = out & c
+    return out
+
+
+PRED, REAL = ("_p0", "_p1", "_p2"), ("_y0", "_y1", "_y2")
+
+
+def _sums(p: Sequence[str], y: str) -> dict[str, Column]:
+    out = {PRED[i]: F.col(c) for i, c in enumerate(p)}
+    out.update({REAL[i]: (F.col(y) == i).cast("double") for i in range(3)})
+    return out
+
+
+def policy_build(cases: DataFrame, p: Sequence[str], y: str, cutoff: Column, minimum: int = 30, prior: float = 50.0) -> DataFrame:
+    """Shrunk outcome rate minus mean prediction per stratum, from cases matured by the cutoff (latest per game).
+
+    ``cases`` carries game_id, prediction_time, available_at, strata and the class columns.
+    """
+    from tideline.operators.prob import brier_cols, nll_cols
+
+    matured = O.latest_by(cases.filter((F.col("available_at") <= cutoff) & (F.col("prediction_time") < cutoff)), ["game_id"], ["prediction_time"])
+    sums = _sums(p, y)
+    cols = [F.col(c) for c in p]
+    long = by_stratum(matured, *[c.alias(n) for n, c in sums.items()], nll_cols(cols, F.col(y)).alias("_nll"), brier_cols(cols, F.col(y)).alias("_brier"))
+    g = long.groupBy("scope", "key", "spec").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in sums], F.avg("_nll").alias("mean_log_loss"), F.avg("_brier").alias("mean_brier"))
+    top = g.filter(F.col("scope") == "global").select(F.lit(1).alias("_one"), *[(F.col(REAL[i]) / F.col("rows")).alias(f"_g{i}") for i in range(3)])
+    j = g.filter(F.col("rows") >= minimum).withColumn("_one", F.lit(1)).join(top, "_one")
+    shrunk = [(F.col(REAL[i]) + prior * F.col(f"_g{i}")) / (F.col("rows") + prior) for i in range(3)]
+    return j.select("scope", "key", "spec", "rows", "mean_log_loss", "mean_brier", *[(s - F.col(PRED[i]) / F.col("rows")).alias(f"delta{i}") for i, s in enumerate(shrunk)])
+
+
+def bounded_correct(p: Sequence[Column], delta: Sequence[Column], strength: float = 0.50, max_log_ratio: float = 0.35) -> list[Column]:
+    """Additive calibration error applied as a bounded multiplicative correction."""
+    raw = []
+    for c, d in zip(p, delta, strict=True):
+        quotient = A.clip(A.clip(c + d, 1e-6, 1.0) / F.greatest(c, F.lit(1e-6)), 0.5, 2.0)
+        raw.append(c * F.exp(strength * A.clip(F.log(quotient), -max_log_ratio, max_log_ratio)))
+    total = A.add(raw)
+    return [r / total for r in raw]
+
+
+def _choose(rows: DataFrame, qid: str) -> DataFrame:
+    """Most specific stratum per case, then the one with most rows, then by name."""
+    order = F.struct(-F.col("spec"), -F.col("rows"), "scope", "key")
+    return rows.groupBy(qid).agg(F.min_by(F.struct("scope", "key", "rows", "delta0", "delta1", "delta2"), order).alias("_e"))
+
+
+def _corrected(cases: DataFrame, best: DataFrame, qid: str, p: Sequence[str]) -> DataFrame:
+    j = cases.join(best, qid, "left")
+    new = bounded_correct([F.col(c) for c in p], [F.coalesce(F.col(f"_e.delta{i}"), F.lit(0.0)) for i in range(3)])
+    hit = F.col("_e").isNotNull()
+    return j.withColumns({**{f"learned_{c}": F.when(hit, n).otherwise(F.col(c)) for c, n in zip(p, new, strict=True)},
+                          "policy_source": F.when(hit, F.concat_ws(":", "_e.scope", "_e.key"))}).drop("_e")
+
+
+def policy_apply(cases: DataFrame, policy: DataFrame, qid: str, p: Sequence[str]) -> DataFrame:
+    """Correct each case with its best stratum of a frozen policy."""
+    keys = by_stratum(cases, qid)
+    return _corrected(cases, _choose(keys.join(policy.drop("spec"), ["scope", "key"]), qid), qid, p)
+
+
+def policy_replay(cases: DataFrame, qid: str, p: Sequence[str], y: str, minimum: int = 30, prior: float = 50.0) -> DataFrame:
+    """Each case corrected only with experience matured before its own cutoff.
+
+    Matured sums per stratum are read from running totals on the time axis; no case meets its history row by row.
+    """
+    from tideline.operators.joins import matured_sums
+
+    sums = _sums(p, y)
+    facts = by_stratum(cases, "game_id", "prediction_time", "available_at", *[c.alias(n) for n, c in sums.items()])
+    facts = facts.withColumn("_case", F.concat_ws("#", "game_id", "scope", "key"))
+    asks = by_stratum(cases, qid, "prediction_time")
+    seen = matured_sums(asks, facts, ["scope", "key"], "prediction_time", "prediction_time", "available_at", {"rows": F.lit(1), **{n: F.col(n) for n in sums}}, game="_case")
+    top = seen.filter((F.col("scope") == "global") & (F.col("rows") > 0)).select(qid, *[(F.col(REAL[i]) / F.col("rows")).alias(f"_g{i}") for i in range(3)], F.col("rows").alias("matured_rows"))
+    ok = seen.filter(F.col("rows") >= minimum).join(top, qid)
+    delta = [((F.col(REAL[i]) + prior * F.col(f"_g{i}")) / (F.col("rows") + prior) - F.col(PRED[i]) / F.col("rows")).alias(f"delta{i}") for i in range(3)]
+    return _corrected(cases, _choose(ok.select(qid, "scope", "key", "spec", "rows", *delta), qid), qid, p)
+
+
+def policy_strata(cases: DataFrame, p: Sequence[str], y: str) -> DataFrame:
+    """Rows, distinct games and sums of predicted and actual per stratum."""
+    sums = _sums(p, y)
+    long = by_stratum(cases, "game_id", *[c.alias(n) for n, c in sums.items()])
+    return long.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("game_id").alias("games"),
+                                            *[F.sum(PRED[i]).alias(f"pred{i}") for i in range(3)], *[F.sum(REAL[i]).alias(f"actual{i}") for i in range(3)])
+
+
+def shadow_reconcile(snapshots: DataFrame, results: DataFrame, p: Sequence[str], game: str, order: Sequence[str], keys: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Metrics at snapshot grain and at canonical grain (latest snapshot per game), with the duplicate rate and coverage."""
+    from tideline.operators.evaluate import classification_metrics
+
+    j = snapshots.join(results, game, "left").withColumns(dict(keys))
+    canonical = O.latest_by(j, [game], list(order))
+    out = []
+    for df in (j, canonical):
+        cover = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("snapshots"), F.avg(F.col("y").isNotNull().cast("int")).alias("coverage"))
+        out.append(cover.join(classification_metrics(df.filter(F.col("y").isNotNull()), p, "y", list(keys)), list(keys), "left"))
+    return out[0], out[1]

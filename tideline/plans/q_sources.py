@@ -195,13 +195,13 @@ def _(v: Views):
     return found.select("event_id", F.col("x")[0].alias("home_starter"), F.col("x")[1].alias("away_starter"))
 
 
-@register("f_time_functions", """SELECT event_id, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day, strftime(ts, '%Y-%m') AS month, CAST(year(ts) AS INT) AS season, ROUND((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 60e6, 6) AS minutes FROM events""")
+@register("f_time_functions", """SELECT event_id, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS local_day, strftime(ts, '%Y-%m') AS month, CAST(year(ts) AS INT) AS season, ROUND((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 60e6, 8) AS minutes FROM events""")
 def _(v: Views):
     return us(v.table("events").select("event_id", F.unix_micros(F.date_trunc("hour", "ts")).alias("hour_us"), C.local_date(F.col("ts"), "Asia/Tokyo").cast("string").alias("local_day"), F.date_format("ts", "yyyy-MM").alias("month"),
-                                       F.year("ts").alias("season"), C.minutes_between(F.col("ts"), F.date_trunc("day", "ts")).alias("minutes")), digits=6)
+                                       F.year("ts").alias("season"), C.minutes_between(F.col("ts"), F.date_trunc("day", "ts")).alias("minutes")), digits=8)
 
 
-@register("f_strict_timestamp", "SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) - 9 * 3600 * 1000000 ELSE 0 END AS BIGINT) AS us FROM events")
+@register("f_strict_timestamp", "SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) - 32400000000 ELSE 0 END AS BIGINT) AS us FROM events")
 def _(v: Views):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     text = F.when(F.expr("event_id % 3 = 0"), F.concat(iso, F.lit("Z"))).when(F.expr("event_id % 3 = 1"), F.concat(iso, F.lit("+09:00"))).otherwise(iso)

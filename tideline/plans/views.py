@@ -153,8 +153,19 @@ class Views:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        e = self.table("events")
-        return e.select(
+        return self.ledger_of(self.table("events"))
+
+    def stream(self, name: str) -> DataFrame:
+        """A driver table as a file stream."""
+        raw = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        casts = {f.name: F.col(f.name).cast("timestamp") for f in raw.schema if f.dataType.typeName() == "timestamp_ntz"}
+        feed = self.spark.readStream.schema(raw.schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        return feed.withColumns(casts) if casts else feed
+
+    @staticmethod
+    def ledger_of(events: DataFrame) -> DataFrame:
+        """The observation ledger of an event feed, batch or streaming."""
+        return events.select(
             "event_id",
             F.expr("concat('L', user_id % 3)").alias("league"),
             F.lit("user").alias("entity_type"),
