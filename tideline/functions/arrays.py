@@ -26,11 +26,11 @@ def normalize(a: Column) -> Column:
 def clip(c: Column, lo: float | None, hi: float | None) -> Column:
     """Bounds that keep NULL as NULL (``greatest``/``least`` would skip it)."""
     out = c
-    if lo is not None:
-        out = F.when(out < lo, F.lit(float(lo))).otherwise(out)
     if hi is not None:
-        out = F.when(out > hi, F.lit(float(hi))).otherwise(out)
-    return out
+        out = F.least(out, F.lit(float(hi)))
+    if lo is not None:
+        out = F.greatest(out, F.lit(float(lo)))
+    return F.when(c.isNotNull(), out)
 
 
 def arg_max(a: Column) -> Column:

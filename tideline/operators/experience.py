@@ -83,13 +83,12 @@ def policy_build(cases: DataFrame, p: Sequence[str], y: str, cutoff: Column, min
 
 
 def bounded_correct(p: Sequence[Column], delta: Sequence[Column], strength: float = 0.50, max_log_ratio: float = 0.35) -> list[Column]:
-    """Additive calibration error applied as a bounded multiplicative correction."""
+    """Additive calibration error applied as a bounded multiplicative correction, before renormalisation."""
     raw = []
     for c, d in zip(p, delta, strict=True):
         quotient = A.clip(A.clip(c + d, 1e-6, 1.0) / F.greatest(c, F.lit(1e-6)), 0.5, 2.0)
         raw.append(c * F.exp(strength * A.clip(F.log(quotient), -max_log_ratio, max_log_ratio)))
-    total = A.add(raw)
-    return [r / total for r in raw]
+    return raw
 
 
 def _choose(rows: DataFrame, qid: str) -> DataFrame:
@@ -99,11 +98,14 @@ def _choose(rows: DataFrame, qid: str) -> DataFrame:
 
 
 def _corrected(cases: DataFrame, best: DataFrame, qid: str, p: Sequence[str]) -> DataFrame:
-    j = cases.join(best, qid, "left")
-    new = bounded_correct([F.col(c) for c in p], [F.coalesce(F.col(f"_e.delta{i}"), F.lit(0.0)) for i in range(3)])
     hit = F.col("_e").isNotNull()
-    return j.withColumns({**{f"learned_{c}": F.when(hit, n).otherwise(F.col(c)) for c, n in zip(p, new, strict=True)},
-                          "policy_source": F.when(hit, F.concat_ws(":", "_e.scope", "_e.key"))}).drop("_e")
+    j = cases.join(best, qid, "left")
+    raw = bounded_correct([F.col(c) for c in p], [F.col(f"_e.delta{i}") for i in range(3)])
+    # staged, so that the total is computed once
+    j = j.withColumns({f"_raw{i}": F.when(hit, r).otherwise(F.col(c)) for i, (c, r) in enumerate(zip(p, raw, strict=True))})
+    total = A.add([F.col(f"_raw{i}") for i in range(3)])
+    return j.withColumns({**{f"learned_{c}": F.when(hit, F.col(f"_raw{i}") / total).otherwise(F.col(c)) for i, c in enumerate(p)},
+                          "policy_source": F.when(hit, F.concat_ws(":", "_e.scope", "_e.key"))}).drop("_e", "_raw0", "_raw1", "_raw2")
 
 
 def policy_apply(cases: DataFrame, policy: DataFrame, qid: str, p: Sequence[str]) -> DataFrame:

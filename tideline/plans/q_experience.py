@@ -48,7 +48,7 @@ def _(v: Views):
 
 APPLY = f"""{STRATA}, {_policy_sql(f'ts + INTERVAL 2 DAY <= {PCUT} AND ts < {PCUT}')}, ch AS (SELECT game_id, arg_min((po.scope, po.key, d0, d1, d2), (-po.spec, -rows, po.scope, po.key)) AS e FROM st JOIN po ON po.scope = st.scope AND po.key = st.key WHERE ts >= {PCUT} GROUP BY 1),
 cj AS (SELECT cs.*, e[1] || ':' || e[2] AS src, e[3] AS d0, e[4] AS d1, e[5] AS d2 FROM cs LEFT JOIN ch USING (game_id) WHERE ts >= {PCUT}), co AS (SELECT *, {', '.join(f'{_fix(i)} AS c{i}' for i in range(3))} FROM cj),
-cl AS (SELECT game_id, ts, y, p0 AS b0, p1 AS b1, p2 AS b2, src, {', '.join(f'COALESCE(c{i} / (c0 + c1 + c2), p{i}) AS p{i}' for i in range(3))} FROM co)"""
+cl AS (SELECT game_id, ts, y, p0 AS b0, p1 AS b1, p2 AS b2, src, {', '.join(f'CASE WHEN src IS NULL THEN p{i} ELSE c{i} / (c0 + c1 + c2) END AS p{i}' for i in range(3))} FROM co)"""
 
 
 @register("d24_policy_apply", f"WITH {APPLY} SELECT game_id, src AS policy_source, ROUND(p0, 8) AS home, ROUND(p1, 8) AS draw, ROUND(p2, 8) AS away FROM cl")
@@ -75,7 +75,7 @@ gl AS (SELECT t, y0 / rows AS g0, y1 / rows AS g1, y2 / rows AS g2 FROM cu WHERE
 se AS (SELECT st.game_id, st.spec, cu.scope, cu.key, cu.rows, {', '.join(f'(cu.y{i} + 50.0 * g{i}) / (cu.rows + 50.0) - cu.p{i} / cu.rows AS d{i}' for i in range(3))} FROM st JOIN cu ON cu.scope = st.scope AND cu.key = st.key AND cu.t = st.ts JOIN gl ON gl.t = st.ts WHERE cu.rows >= 30),
 ch AS (SELECT game_id, arg_min((scope, key, d0, d1, d2), (-spec, -rows, scope, key)) AS e FROM se GROUP BY 1),
 cj AS (SELECT cs.*, e[1] || ':' || e[2] AS src, e[3] AS d0, e[4] AS d1, e[5] AS d2 FROM cs LEFT JOIN ch USING (game_id)), co AS (SELECT *, {', '.join(f'{_fix(i)} AS c{i}' for i in range(3))} FROM cj)
-SELECT game_id, src AS policy_source, {', '.join(f'ROUND(COALESCE(c{i} / (c0 + c1 + c2), p{i}), 7) AS {n}' for i, n in enumerate(('home', 'draw', 'away')))} FROM co""")
+SELECT game_id, src AS policy_source, {', '.join(f'ROUND(CASE WHEN src IS NULL THEN p{i} ELSE c{i} / (c0 + c1 + c2) END, 7) AS {n}' for i, n in enumerate(('home', 'draw', 'away')))} FROM co""")
 def _(v: Views):
     out = X.policy_replay(cases(v), "game_id", PS, "y")
     return us(out.select("game_id", "policy_source", *[F.col(f"learned_{p}").alias(n) for p, n in zip(PS, ("home", "draw", "away"))]), digits=7)
