@@ -4,8 +4,9 @@ A plain ``Window.partitionBy(entity)`` sends every row of an entity to a single
 of the table decides the run time.  Everything here splits a key along its own order instead:
 
 * *segments*: a coarse, order-preserving expression (by default the day of the ordering timestamp).  Per-segment
-  totals are aggregated with map-side combine, only those totals are scanned per key, and the rows themselves are
-  partitioned by ``(key, segment)``.
+  totals are aggregated with map-side combine and only those totals are scanned per key.  What a segment inherits is
+  then added to it as one *head* row in front of its own rows, so a single shuffle by ``(key, segment)`` and one running
+  aggregate finish the job: no join, and NULL keys need no special care.
 * *blocks*: runs of ``size`` consecutive row numbers.  The last ``back`` rows of a block are also sent to the next
   block (and the first ``ahead`` rows to the previous one), so bounded ``ROWS`` frames stay exact.
 
@@ -24,6 +25,8 @@ BLOCK = 1 << 16
 FLAG = "_halo"
 BLK = "_blk"
 SEG = "_seg"
+HEAD = "_head"
+STEP = "_step"
 
 
 def day_segment(ts: str) -> Column:
@@ -65,16 +68,12 @@ def row_numbers(
 
     With ``keys=[]`` this numbers the whole table without a single-partition sort.
     """
-    tagged = df.withColumn(SEG, day_segment(order[0]) if seg is None else seg)
-    offsets = (
-        tagged.groupBy(*keys, SEG)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(_before(_segment_window(keys))), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, SEG).orderBy(*order)
-    numbered = attach(tagged, offsets, [*keys, SEG])
-    return numbered.withColumn(out, F.col("_off") + F.row_number().over(inside)).drop("_off", SEG)
+    tagged = df.withColumns({SEG: day_segment(order[0]) if seg is None else seg, STEP: F.lit(1).cast("bigint"), HEAD: F.lit(1)})
+    offsets = tagged.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, SEG, F.coalesce(F.sum("_n").over(_before(_segment_window(keys))), F.lit(0)).alias(STEP), F.lit(0).alias(HEAD))
+    inside = Window.partitionBy(*keys, SEG).orderBy(HEAD, *order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = tagged.unionByName(offsets, allowMissingColumns=True).withColumn(out, F.sum(STEP).over(inside))
+    return numbered.filter(F.col(HEAD) == 1).drop(SEG, STEP, HEAD)
 
 
 def blocks(
@@ -143,39 +142,28 @@ def prior_sums(
 ) -> DataFrame:
     """One row per ``(keys, ts)`` with each sum over all rows strictly before ``ts`` (0 when there are none)."""
     totals = df.groupBy(*keys, ts).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    totals = totals.withColumn(SEG, day_segment(ts) if seg is None else seg)
+    totals = totals.withColumns({SEG: day_segment(ts) if seg is None else seg, HEAD: F.lit(1)})
     carried = totals.groupBy(*keys, SEG).agg(*[F.sum(n).alias(n) for n in sums])
     spec = _before(_segment_window(keys))
-    carried = carried.select(*keys, SEG, *[F.sum(n).over(spec).alias(f"_c_{n}") for n in sums])
-    inside = _before(Window.partitionBy(*keys, SEG).orderBy(ts))
-    zero = F.lit(0)
-    return attach(totals, carried, [*keys, SEG]).select(
-        *keys,
-        ts,
-        *[
-            (F.coalesce(F.col(f"_c_{n}"), zero) + F.coalesce(F.sum(n).over(inside), zero)).alias(n)
-            for n in sums
-        ],
-    )
+    heads = carried.select(*keys, SEG, F.lit(0).alias(HEAD), *[F.sum(n).over(spec).alias(n) for n in sums])
+    inside = _before(Window.partitionBy(*keys, SEG).orderBy(HEAD, ts))
+    scanned = totals.unionByName(heads, allowMissingColumns=True).withColumns(
+        {f"_s_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums})
+    return scanned.filter(F.col(HEAD) == 1).select(*keys, ts, *[F.col(f"_s_{n}").alias(n) for n in sums])
 
 
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], seg: Column | None = None
 ) -> DataFrame:
     """Every row with inclusive running sums in ``order`` (which must be total within a key)."""
-    tagged = df.withColumn(SEG, day_segment(order[0]) if seg is None else seg)
-    carried = tagged.groupBy(*keys, SEG).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    tagged = df.withColumns({SEG: day_segment(order[0]) if seg is None else seg, HEAD: F.lit(1), **{f"_t{i}": c for i, c in enumerate(sums.values())}})
+    carried = tagged.groupBy(*keys, SEG).agg(*[F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(sums))])
     spec = _before(_segment_window(keys))
-    carried = carried.select(*keys, SEG, *[F.sum(f"_t{i}").over(spec).alias(f"_c{i}") for i in range(len(sums))])
-    inside = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = attach(tagged, carried, [*keys, SEG])
-    out = out.withColumns(
-        {
-            name: F.coalesce(F.col(f"_c{i}"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0))
-            for i, (name, c) in enumerate(sums.items())
-        }
-    )
-    return out.drop(SEG, *[f"_c{i}" for i in range(len(sums))])
+    heads = carried.select(*keys, SEG, F.lit(0).alias(HEAD), *[F.sum(f"_t{i}").over(spec).alias(f"_t{i}") for i in range(len(sums))])
+    inside = Window.partitionBy(*keys, SEG).orderBy(HEAD, *order).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = tagged.unionByName(heads, allowMissingColumns=True).withColumns(
+        {name: F.coalesce(F.sum(f"_t{i}").over(inside), F.lit(0)) for i, name in enumerate(sums)})
+    return scanned.filter(F.col(HEAD) == 1).drop(SEG, HEAD, *[f"_t{i}" for i in range(len(sums))])
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], first: bool = False) -> DataFrame:
@@ -208,16 +196,11 @@ def as_of(
                        F.struct(*left.columns).alias("_left"))
     facts = right.filter(F.col(eligible_at).isNotNull()).select(
         *keys, F.col(eligible_at).alias("_t"), F.lit(0 if inclusive else 1).alias("_side"), best.alias("_best"))
-    both = rows.unionByName(facts, allowMissingColumns=True).withColumn(SEG, to_seg(F.col("_t")))
-    carried = (
-        both.groupBy(*keys, SEG).agg(F.max("_best").alias("_m"))
-        .select(*keys, SEG, F.max("_m").over(_before(_segment_window(keys))).alias("_carry"))
-    )
-    inside = Window.partitionBy(*keys, SEG).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = attach(both, carried, [*keys, SEG]).withColumn(
-        "_hit", F.coalesce(F.max("_best").over(inside), F.col("_carry")))
-    # the in-segment maximum may lose to an earlier segment when ``choose`` is not the eligibility order
-    scanned = scanned.withColumn("_hit", F.when(F.col("_carry") > F.col("_hit"), F.col("_carry")).otherwise(F.col("_hit")))
+    both = rows.unionByName(facts, allowMissingColumns=True).withColumns({SEG: to_seg(F.col("_t")), HEAD: F.lit(1)})
+    heads = both.groupBy(*keys, SEG).agg(F.max("_best").alias("_m")).select(
+        *keys, SEG, F.lit(0).alias(HEAD), F.max("_m").over(_before(_segment_window(keys))).alias("_best"))
+    inside = Window.partitionBy(*keys, SEG).orderBy(HEAD, "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = both.unionByName(heads, allowMissingColumns=True).withColumn("_hit", F.max("_best").over(inside))
     return scanned.filter(F.col("_left").isNotNull()).select(
         "_left.*", *[F.col("_hit.v")[c].alias(c) for c in payload])
 

@@ -92,11 +92,25 @@ def _(v: Views):
     return us(L.walk_forward_logistic(d, "score", "correct", ["ts", "game_id"]).select("game_id", "period", "calibrated"), digits=6)
 
 
-@register("e33_failure_features")
-def _(v: Views):
+LOSS = "-ln(CASE y WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END)"
+
+
+def _failures(v: Views):
     d = v.probs.select("league", "ts", "game_id", P.nll_cols([F.col(c) for c in MODELS["m1"]], F.col("y")).alias("loss"))
-    f = materialize(L.failure_features(d, "loss", ["league"], ["ts", "game_id"]))
-    return us(L.failure_risk(f).select("game_id", *L.FAILURE, "failure", "failure_risk"), digits=6)
+    return L.failure_features(d, "loss", ["league"], ["ts", "game_id"])
+
+
+@register("e33_failure_features", f"""WITH r AS (SELECT league, game_id, {LOSS} AS loss, row_number() OVER (PARTITION BY league ORDER BY ts, game_id) AS rn FROM probs), q AS (SELECT league, quantile_cont(loss, 0.75) AS q75 FROM r GROUP BY 1),
+f AS (SELECT *, avg(loss) OVER p AS m, list_aggregate(list(loss) OVER p, 'stddev_pop') AS sd, CASE WHEN count(*) OVER p >= 3 THEN regr_slope(loss, CAST(rn AS DOUBLE)) OVER p ELSE 0.0 END AS sl, avg(loss) OVER n AS fut, count(*) OVER n AS k FROM r
+ WINDOW p AS (PARTITION BY league ORDER BY rn ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), n AS (PARTITION BY league ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))
+SELECT game_id, ROUND(loss, 6) AS last_loss, ROUND(m, 6) AS mean_12, ROUND(sd, 6) AS sd_12, ROUND(sl, 6) + 0.0 AS slope_12, CASE WHEN rn > 12 AND k = 8 THEN CASE WHEN fut > GREATEST(q75, m * 1.12) THEN 1.0::DOUBLE ELSE 0.0 END END AS failure FROM f JOIN q USING (league)""")
+def _(v: Views):
+    return us(_failures(v).select("game_id", *L.FAILURE, "failure"), digits=6)
+
+
+@register("e33_failure_risk")
+def _(v: Views):
+    return us(L.failure_risk(materialize(_failures(v))).select("game_id", "failure_risk"), digits=6)
 
 
 @register("e39_counterfactual_stability")
