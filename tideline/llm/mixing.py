@@ -80,11 +80,11 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 s AS (SELECT coalesce('s' || source, 'n') AS k, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w FROM s),
 r AS (SELECT *, source_size * 3 / w AS reach FROM w),
-l AS (SELECT *, row_number() OVER o AS at,
+l AS (SELECT *, row_number() OVER o AS seq,
   (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM r WINDOW o AS (ORDER BY reach, source NULLS LAST)),
-t AS (SELECT k, source_size, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(level, at) FROM l WHERE level <= reach) * w, source_size * 3.0::DOUBLE)) AS target,
+t AS (SELECT k, source_size, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(level, seq) FROM l WHERE level <= reach) * w, source_size * 3.0::DOUBLE)) AS target,
   ('0x' || substr(md5('mix-1:' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
 n AS (SELECT doc_id, size, coalesce('s' || source, 'n') AS k,
   row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)), md5(coalesce(doc_id::VARCHAR, '')), size) AS i FROM d)
