@@ -4,8 +4,9 @@ Disguised words ("1d10t", "s.t.u.p.i.d", "stuuupid", "l o s e r") are read as th
 character is a step of a lattice with the letters it may stand for (itself, a look-alike, nothing for a separator, one letter
 or two for a run of equal ones), each at a cost. Viterbi search over that lattice under a character trigram model finds the
 likeliest spelling. The model is counted over the words of all documents (hashed counts, so its size is fixed and its counts
-grow with the corpus). Then the restored words are scored with a lexicon learned from labelled rows: words whose share of toxic
-documents cannot be chance (Poisson tail times the number of words tried under one half), and a logistic fit on a document's hits.
+grow with the corpus). Then the restored words are scored with a lexicon learned from labelled rows: words and beginnings of words
+whose share of toxic documents cannot be chance (Poisson tail times the number tried under one half), and a logistic fit on a
+document's hits.
 
 Three passes read the documents and none shuffles a text: character counts and word counts are summed inside a task first, the
 labelled sample (at most `train_rows` rows, by hash) is small enough to broadcast, and what reaches the driver are 2^20 counts
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -41,6 +43,8 @@ GAPS = ".-_*~'`^,/\\ "
 LOOK_COST, GAP_COST, KEEP_RUN_COST, SAME_COST = 0.7, 0.3, 1.2, 0.0
 EDGE = ".,;:!?\"'()[]{}<>…*#%&~"
 _RUN = re.compile(r"(.)\1\1")
+#: Marks of one kind, two or more in a row, at either end of a token: emphasis, not letters.
+_TAIL = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 REMEMBERED = 300_000
 
 
@@ -171,13 +175,16 @@ class Reader:
     """Turns a text into its restored words, remembering tokens it has seen (emptied when full)."""
 
     def __init__(self, counts: np.ndarray):
-        self.decoder, self.known = Decoder(counts), {}
+        self.decoder, self.known, self.weights = Decoder(counts), {}, {}
 
     def restore(self, token: str) -> str:
         core = token.strip(EDGE)
+        if not core.isalpha():
+            token = _TAIL.sub("", token.rstrip(EDGE) if token[0] in LOOKS else core)
+            core = token.strip(EDGE)
         if not core or (core.isalpha() and not _RUN.search(core)):
             return core
-        for seen in (core, token.rstrip(EDGE), token.lstrip(EDGE)):
+        for seen in (core, token):
             if disguised(seen):
                 return self.decoder.decode(seen)
         return core
@@ -194,6 +201,15 @@ class Reader:
             known[w] = self.restore(w)
         return [known[w] for w in tokens]
 
+    def hits(self, text: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
+        """(restored word, weight) of each word that the lexicon knows, by itself or by how it begins."""
+        if len(self.weights) > REMEMBERED:
+            self.weights = {}
+        weights, words = self.weights, self.words(text)
+        for w in set(words) - weights.keys():
+            weights[w] = max((lexicon.get(u, 0.0) for u in forms(w)), default=0.0)
+        return [(w, weights[w]) for w in words if weights[w]]
+
     @staticmethod
     def _joined(tokens: list[str], single: list[int]) -> list[str]:
         """Runs of three or more single characters in a row become one token."""
@@ -210,6 +226,11 @@ class Reader:
         return out + tokens[at:]
 
 
+def forms(word: str) -> list[str]:
+    """What the lexicon may know of a word: itself and its beginnings of 4 to 6 letters."""
+    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)] if word else []
+
+
 _readers: dict[str, Reader] = {}
 
 
@@ -235,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     """The model: character counts, lexicon {word: weight} and logistic coefficients."""
     spark = docs.sparkSession
     counts = count_characters(docs)
-    shared, name = spark.sparkContext.broadcast(counts), str(id(counts))
+    shared, name = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
     rows = stage(sample(docs, labels, train_rows), "labelled")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = {"counts": shared, "name": name, "lexicon": {}, "fit": None, "base": size.get(1, 0) / max(1, sum(size.values()))}
@@ -246,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         found = (Counter(), Counter())
         for b in batches:
             for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
-                found[toxic].update({w for w in reader(name, shared.value).words(t) if w})
+                found[toxic].update({u for w in set(reader(name, shared.value).words(t)) for u in forms(w)})
         words = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([f[w] for w in words], pa.int64()) for f in found)], ["word", "clean", "bad"])
 
@@ -264,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         tally = Counter()
         for b in batches:
             for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
-                tally[(toxic, *features(reader(name, shared.value).words(t), lexicon))] += 1
+                tally[(toxic, *features(reader(name, shared.value).hits(t, lexicon)))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((*k, n) for k, n in tally.items()), strict=True)] if tally else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64())], ["toxic", "a", "b", "n"])
 
     table = rows.mapInArrow(hits, "toxic long, a double, b double, n long").groupBy("toxic", "a", "b").agg(F.sum("n").alias("n")).toPandas()  # at most `train_rows` rows
@@ -272,10 +293,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     return model
 
 
-def features(words: list[str], lexicon: dict[str, float]) -> tuple[float, float]:
+def features(hits: list[tuple[str, float]]) -> tuple[float, float]:
     """Summed weight of distinct hits (to a tenth, at most 40) and log of the number of hits."""
-    found = [w for w in words if w in lexicon]
-    return round(min(40.0, sum(lexicon[w] for w in set(found))), 1), round(math.log1p(len(found)), 2)
+    return round(min(40.0, sum(dict(hits).values())), 1), round(math.log1p(len(hits)), 2)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, steps: int = 50) -> list[float]:
@@ -299,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, thre
         if fit is None:
             return pd.Series(np.full(len(text), base))
         at = reader(name, shared.value)
-        z = [fit[0] + fit[1] * a + fit[2] * b for a, b in (features(at.words(t), lexicon) for t in text)]
+        z = [fit[0] + fit[1] * a + fit[2] * b for a, b in (features(at.hits(t, lexicon)) for t in text)]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
     scored = docs.withColumn("_tox_score", F.pandas_udf(of, "double")(text_of()))

@@ -127,7 +127,7 @@ x AS (SELECT doc_id, lo, hi, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi D
 g AS (SELECT *, sum((before IS NULL OR lo > before)::INT) OVER (PARTITION BY doc_id ORDER BY lo, hi DESC) AS island FROM x),
 m AS (SELECT doc_id, island, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY ALL),
 z AS (SELECT doc_id, string_agg(lo::BIGINT || '-' || hi::BIGINT, ',' ORDER BY lo) AS removed_spans, sum(hi - lo)::INT AS removed_chars FROM m GROUP BY doc_id),
-p AS (SELECT doc_id, hi AS lo, lead(lo, 1, 4000000000) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM (SELECT doc_id, lo, hi FROM m UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM m)),
+p AS (SELECT doc_id, hi AS lo, lead(lo, 1, 4000000000) OVER (PARTITION BY doc_id ORDER BY lo, hi) AS hi FROM (SELECT doc_id, lo, hi FROM m UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM m)),
 k AS (SELECT p.doc_id, string_agg(substring(text, (lo + 1)::BIGINT, (hi - lo)::BIGINT), '' ORDER BY lo) AS text FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
 SELECT d.doc_id, coalesce(k.text, d.text) AS text, coalesce(removed_spans, '') AS removed_spans, coalesce(removed_chars, 0)::INT AS removed_chars
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN k USING (doc_id)
