@@ -53,16 +53,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, text_hash, fp) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(shingle_hashes(t, k)) for t in texts(b)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -190,10 +190,23 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
+    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text)."""
     marks = stage(fingerprints(docs, k), "marks")
     fps = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     label = components(links(fps, radius)).withColumnRenamed("node", "fp")
     grouped = fps.join(label, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marks.join(grouped.select("fp", "label").join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(least, "label").select("fp", "label", "component_id")
+    return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "label")
+
+
+def keep_one(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), the least text hash among equal ones."""
+    found = near_duplicates(docs, k, radius)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = found.groupBy("label").agg(F.min(rank).alias("kept"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    kept = kept.select(key("kept.doc_id").alias("_gray_key"), F.col("kept.text_hash").alias("_gray_text"))
+    rows = docs.withColumns({"_gray_key": key("doc_id"), "_gray_text": F.xxhash64("text")})
+    one = rows.join(kept, ["_gray_key", "_gray_text"], "left_semi").dropDuplicates(["_gray_key", "_gray_text"])
+    return one.select(*docs.columns)

@@ -65,12 +65,15 @@ class Encoder:
         for c in cuts:
             del c[0]
             new.update(c)
-        new.difference_update(known)
-        for p in new & older.keys():
-            known[p] = older[p]
-            new.remove(p)
-        if new:
-            self._learn(list(new))
+        unknown = []
+        for p in new:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    unknown.append(p)
+        if unknown:
+            self._learn(unknown)
         return [h.tobytes() + b"".join(map(known.__getitem__, c)) for h, c in zip(heads, cuts, strict=True)]
 
 

@@ -197,8 +197,9 @@ class Reader:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        for w in set(tokens) - known.keys():
-            known[w] = self.restore(w)
+        for w in tokens:
+            if w not in known:
+                known[w] = self.restore(w)
         return [known[w] for w in tokens]
 
     def hits(self, text: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
@@ -206,8 +207,9 @@ class Reader:
         if len(self.weights) > REMEMBERED:
             self.weights = {}
         weights, words = self.weights, self.words(text)
-        for w in set(words) - weights.keys():
-            weights[w] = max((lexicon.get(u, 0.0) for u in forms(w)), default=0.0)
+        for w in words:
+            if w not in weights:
+                weights[w] = max((lexicon.get(u, 0.0) for u in forms(w)), default=0.0)
         return [(w, weights[w]) for w in words if weights[w]]
 
     @staticmethod
