@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import mixing, packing, simhash_gray, toxicity, unit_dedup
+from tideline.llm import license_automaton, mixing, packing, simhash_gray, toxicity, unit_dedup, winnowing
 from tideline.llm.common import stage
 from tideline.session import configure
 
@@ -63,3 +63,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_automaton.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_winnowing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
