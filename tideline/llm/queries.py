@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, winnowing
+from tideline.llm import embedding_caps, license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, winnowing
 from tideline.llm.common import stage
 from tideline.session import configure
 
@@ -78,3 +78,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minimax_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op1_cap_filters")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_caps.near_vectors(table(spark, sf_dir, "embeddings"))
