@@ -6,6 +6,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from tideline.session import scratch_path
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor costs nothing that was done."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +47,16 @@ def blob(column: np.ndarray | list) -> bytes:
     return np.ascontiguousarray(column).tobytes()
 
 
+def by_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """(range, doc_id, text_hash, text): documents in some `ranges` ranges of rising doc_id, cut at sampled quantiles; null comes last."""
+    at = F.col("doc_id").cast("double")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("text"), at.alias("_at"))
+    cuts = sorted(set(rows.approxQuantile("_at", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) or [0.0]
+    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
+    number = F.when(F.col("_at").isNull(), len(cuts) + 1).otherwise(F.col("_bucket")).cast("int")
+    return bucket.transform(rows).select(number.alias("range"), "doc_id", "text_hash", "text")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that an edge (a, b) of two longs reaches; equal labels mean the same component.
 

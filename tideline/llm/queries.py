@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import embedding_caps, license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, winnowing
+from tideline.llm import embedding_caps, huffman_ids, license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, winnowing
 from tideline.llm.common import stage
-from tideline.session import configure
+from tideline.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_cap_filters")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_huffman_ids")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "huffman")
+    huffman_ids.write(table(spark, sf_dir, "documents"), path)
+    return huffman_ids.read(spark, path)

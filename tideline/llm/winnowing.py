@@ -21,11 +21,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small_batches, width
+from tideline.llm.common import by_ranges, small_batches, width
 
 K, WINDOW = 16, 48
 _BASE = 0x9E3779B97F4A7C15
@@ -95,11 +94,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """(range, halo, doc_id, text_hash, text) by range, each in falling doc_id and followed by the first row of the next range."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("double").alias("_at"))
-    cuts = sorted(set(rows.approxQuantile("_at", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) or [0.0]
-    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
-    falling = F.when(F.col("_at").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.col("_bucket")).cast("int")
-    ranged = bucket.transform(rows).select(falling.alias("range"), "doc_id", "text_hash", "text")
+    ranged = by_ranges(docs, ranges).withColumn("range", -F.col("range"))
     heads = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "text_hash")).alias("head")).orderBy("range").collect()  # one row a range
     pairs = list(pairwise([*heads, *heads[:1]]))
     schema = f"to int, head_id {docs.schema['doc_id'].dataType.simpleString()}, head_hash long"
