@@ -288,7 +288,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         for b in batches:
             for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
                 tally[(toxic, *features(reader(name, shared.value).hits(t, lexicon)))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((*k, n) for k, n in tally.items()), strict=True)] if tally else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64())], ["toxic", "a", "b", "n"])
+        columns = zip(*((*k, n) for k, n in tally.items()), strict=True) if tally else [[]] * 4
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["toxic", "a", "b", "n"])
 
     table = rows.mapInArrow(hits, "toxic long, a double, b double, n long").groupBy("toxic", "a", "b").agg(F.sum("n").alias("n")).toPandas()  # at most `train_rows` rows
     model["fit"] = logistic(table[["a", "b"]].to_numpy(float), table["toxic"].to_numpy(float), table["n"].to_numpy(float))
