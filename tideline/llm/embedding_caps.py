@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, forest, small_batches, stage, width
 
 COSINE = 0.93
-CODES, BLOCKS, WORDS, THRESHOLD, SEED = 4, 3, 12, 2.65, 11
+CODES, BLOCKS, WORDS, THRESHOLD, FEWEST, SEED = 4, 3, 12, 2.7, 8, 11
 CELL = 2048
 
 
@@ -70,6 +70,21 @@ def entries(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding", F.when(fit, F.xxhash64("label", "embedding")).alias("node"))
 
 
+def caps_of(unit: np.ndarray, codes: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter), by row: what exceeds `THRESHOLD`; a row with fewer than `FEWEST` goes on with a lower one, so that vectors
+    that lie between the directions meet as well."""
+    rows, numbers, left, threshold = [], [], np.arange(len(unit)), THRESHOLD
+    while len(left):
+        row, number = exceeded(unit[left], codes, threshold)
+        enough = np.bincount(row, minlength=len(left)) >= (FEWEST if threshold > 0 else 0)
+        rows.append(left[row[enough[row]]])
+        numbers.append(number[enough[row]])
+        left, threshold = left[~enough], threshold - 0.25
+    row, number = np.concatenate([*rows, np.empty(0, np.int64)]), np.concatenate([*numbers, np.empty(0, np.int64)])
+    order = np.argsort(row, kind="stable")
+    return row[order], number[order]
+
+
 def component_type(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
@@ -92,7 +107,7 @@ def filtered(distinct: DataFrame) -> DataFrame:
                 given = flat[starts[rows][:, None] + np.arange(dims)]
                 unit = given / np.abs(given).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                row, number = exceeded(unit, codes[dims])
+                row, number = caps_of(unit, codes[dims])
                 cut = np.searchsorted(row, np.arange(len(rows) + 1))
                 packed = [number[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(len(rows))]
                 take = pa.array(rows[row])
