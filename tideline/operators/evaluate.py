@@ -264,7 +264,8 @@ def quantile_conformal(cal: DataFrame, test: DataFrame, p: Sequence[str], y: str
 
 def walk_forward_conformal(df: DataFrame, p: Sequence[str], y: str, qid: str, keys: Sequence[str], pred_time: str, mature_at: str,
                            alpha: float = 0.10, minimum: int = 30) -> DataFrame:
-    """One conformal set per case from all earlier cases matured by its prediction time.
+    """One conformal set per case from all earlier cases matured by its prediction time; a case counts only after it was predicted,
+    so none calibrates on its own outcome.
 
     Counting matured scores above a threshold is a range count on the maturity axis, see
     :func:`tideline.operators.ordered.prior_range_counts`.
@@ -273,7 +274,7 @@ def walk_forward_conformal(df: DataFrame, p: Sequence[str], y: str, qid: str, ke
     hit = cols[-1]
     for i in range(len(p) - 2, -1, -1):
         hit = F.when(F.col(y) == i, cols[i]).otherwise(hit)
-    facts = df.select(*keys, F.col(mature_at).alias("_ts"), (1.0 - hit).alias("_score"))
+    facts = df.select(*keys, F.greatest(F.col(mature_at), F.col(pred_time) + F.expr("INTERVAL 0.000001 SECOND")).alias("_ts"), (1.0 - hit).alias("_score"))
     asks = df.select(*keys, F.col(pred_time).alias("_ts"), qid, F.posexplode(F.array(*[1.0 - c for c in cols], F.lit(-1.0))).alias("_cls", "_lo"))
     asks = asks.withColumns({"_hi": F.lit(2.0), "_qid": F.concat_ws("#", qid, "_cls")})
     counts = O.prior_range_counts(facts, asks, keys, "_ts", "_score", "_lo", "_hi", "_qid", {"n": F.lit(1)})

@@ -123,7 +123,7 @@ def policy_replay(cases: DataFrame, qid: str, p: Sequence[str], y: str, minimum:
 
     sums = _sums(p, y)
     facts = by_stratum(cases, "game_id", "prediction_time", "available_at", *[c.alias(n) for n, c in sums.items()])
-    facts = facts.withColumn("_case", F.concat_ws("#", "game_id", "scope", "key"))
+    facts = facts.withColumn("_case", F.concat_ws("#", "game_id", "scope"))
     asks = by_stratum(cases, qid, "prediction_time")
     seen = matured_sums(asks, facts, ["scope", "key"], "prediction_time", "prediction_time", "available_at", {"rows": F.lit(1), **{n: F.col(n) for n in sums}}, game="_case")
     top = seen.filter((F.col("scope") == "global") & (F.col("rows") > 0)).select(qid, *[(F.col(REAL[i]) / F.col("rows")).alias(f"_g{i}") for i in range(3)], F.col("rows").alias("matured_rows"))

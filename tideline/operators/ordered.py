@@ -33,15 +33,6 @@ def day_segment(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give compute-heavy work at least one partition per core when the input has fewer files than cores.
-
-    On a large input this returns the frame unchanged, so no shuffle is added where it would hurt.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi join that keeps the left key columns only."""
     if not keys:

@@ -45,7 +45,7 @@ def fit_temperature(df: DataFrame, p: Sequence[str], y: str, keys: Sequence[str]
     and temperature.
     """
     logs = [F.log(F.greatest(F.col(c), F.lit(1e-15))).alias(f"_l{i}") for i, c in enumerate(p)]
-    trial = O.spread(df.select(*keys, y, *logs)).select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("t"))
+    trial = df.select(*keys, y, *logs).select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("t"))
     scaled = [F.col(f"_l{i}") / F.col("t") for i in range(len(p))]
     hit = scaled[-1]
     for i in range(len(p) - 2, -1, -1):

@@ -61,13 +61,20 @@ def table_quality(df: DataFrame, numeric: Sequence[str], others: Sequence[str] =
 
 
 def feature_reliability(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Completeness, finiteness and stability per column combined into one score."""
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[a for c in features for a in (F.count(c).alias(f"{c}_k"), F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))])
+    """Completeness, finite share of what is known, and stability per column combined into one score.
+
+    NaN counts as missing. Infinite values lower the finite share; mean and deviation are then undefined, and such a column gets the
+    score of no stability.
+    """
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
+    finite_only = {c: F.when(F.abs(x) < float("inf"), x) for c, x in known.items()}
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[a for c in features for a in (
+        F.count(known[c]).alias(f"{c}_k"), F.count(finite_only[c]).alias(f"{c}_f"), F.avg(finite_only[c]).alias(f"{c}_m"), F.stddev_pop(finite_only[c]).alias(f"{c}_s"))])
     rows = []
     for c in features:
         k, m, s = F.col(f"{c}_k"), F.col(f"{c}_m"), F.col(f"{c}_s")
-        variability = F.when(k < 3, 1.0).otherwise(A.clip(s / F.greatest(F.abs(m), F.lit(1.0)), 0.0, 1.0))
-        finite = F.when(k > 0, 1.0).otherwise(0.0)
+        variability = F.when((k < 3) | (F.col(f"{c}_f") < k), 1.0).otherwise(A.clip(s / F.greatest(F.abs(m), F.lit(1.0)), 0.0, 1.0))
+        finite = F.when(k > 0, F.col(f"{c}_f") / k).otherwise(0.0)
         rows.append(F.struct(F.lit(c).alias("feature"), A.clip(0.45 * k / F.col("_n") + 0.35 * finite + 0.20 * (1.0 - variability * 0.35), 0.0, 1.0).alias("reliability")))
     return one.select(F.inline(F.array(*rows)))
 

@@ -82,7 +82,7 @@ def venue_form(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                    "venue_ga": F.coalesce(F.avg("ga").over(_past(w, 10)), F.lit(0.0))},
     )
     totals = O.prior_sums(rows, by, "ts", {"venue_n": F.lit(1), "venue_points": points(F.col("gf"), F.col("ga"))})
-    joined = recent.join(totals, [*by, "ts"])
+    joined = O.attach(recent, totals, [*by, "ts"])
     return joined.withColumn(
         "venue_pts", F.when(F.col("venue_n") > 0, F.col("venue_points") / F.col("venue_n")).otherwise(1.0)
     ).drop("venue_points")
@@ -247,7 +247,8 @@ def bullpen_window(records: DataFrame, n: int = 10, keys: Sequence[str] = KEYS)
     return O.frozen_state(records, keys, "ts", ["game_id"], n, build)
 
 
-DECAY_BLOCK, DECAY_HALO = 1024, 320
+#: Powers stay within exp(+-RANGE) inside a block and its halo; what lies behind the halo weighs less than exp(-LOST) < 1e-18.
+RANGE, LOST = 690.0, 41.5
 
 
 def decayed_load(
@@ -255,19 +256,40 @@ def decayed_load(
 ) -> DataFrame:
     """``b <- keep*b + gain*x`` after every event, read frozen at each instant.
 
-    Written as a positional power sum inside short blocks, so it stays a prefix sum; what lies further back than the
-    halo weighs less than double precision can hold (0.88**320 < 2e-18).
+    A positional power sum inside blocks, so it stays a prefix sum. Halo and block follow from ``keep``: slow decays get long halos,
+    fast ones short blocks, and recurrences whose halos and blocks do not go together are scanned apart. ``keep`` of 1 is a plain sum.
     """
-    def build(w: WindowSpec) -> dict[str, Column]:
-        pos = (F.col("rn") - F.col(O.BLK) * DECAY_BLOCK + DECAY_HALO).cast("double")
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = {}
-        for name, (keep, gain) in recurrences.items():
-            scaled = F.sum(value * F.pow(F.lit(keep), -pos)).over(before)
-            out[name] = F.coalesce(F.lit(gain) * scaled * F.pow(F.lit(keep), pos - 1), F.lit(0.0))
-        return out
-
-    return O.frozen_state(rows, keys, "ts", ["game_id"], DECAY_HALO, build, size=DECAY_BLOCK)
+    rates = {name: -math.log(keep) for name, (keep, _) in recurrences.items()}
+    if any(r < 0 for r in rates.values()):
+        raise ValueError("keep must lie in (0, 1]")
+    groups: list[list[str]] = []
+    for name in sorted((n for n in rates if rates[n]), key=rates.get):
+        if groups and rates[name] / rates[groups[-1][0]] * LOST * 2 <= RANGE:
+            groups[-1].append(name)
+        else:
+            groups.append([name])
+    out = None
+    for names in groups:
+        back = math.ceil(LOST / rates[names[0]])
+        size = max(back, int(RANGE / rates[names[-1]]) - back)
+
+        def build(w: WindowSpec, names=names, back=back, size=size) -> dict[str, Column]:
+            pos = (F.col("rn") - F.col(O.BLK) * size + back).cast("double")
+            before = w.rowsBetween(Window.unboundedPreceding, -1)
+            cols = {}
+            for name in names:
+                keep, gain = recurrences[name]
+                scaled = F.sum(value * F.exp(pos * rates[name] - RANGE / 2)).over(before)
+                cols[name] = F.coalesce(F.lit(gain) * scaled * F.exp(RANGE / 2 - (pos - 1) * rates[name]), F.lit(0.0))
+            return cols
+
+        found = O.frozen_state(rows, keys, "ts", ["game_id"], back, build, size=size)
+        out = found if out is None else O.attach(out, found, [*keys, "ts"])
+    plain = [n for n in rates if not rates[n]]
+    if plain:
+        sums = O.prior_sums(rows, keys, "ts", {n: F.lit(recurrences[n][1]) * value for n in plain})
+        out = sums if out is None else O.attach(out, sums, [*keys, "ts"])
+    return out
 
 
 def volatility_trend(rows: DataFrame, metrics: Sequence[str], n: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -290,26 +312,34 @@ def exp_weighted(
 ) -> DataFrame:
     """Positionally decayed means that skip missing values, with last-5 mean and deviation.
 
-    Weights below exp(-28) are outside the halo.  ``metrics`` maps a column to its value when there is no history.
+    ``metrics`` maps a column to its value when there is no history. The mean after each known value needs only known values within
+    ``LOST * tau`` positions before it (older ones weigh less than 1e-18 of it); an instant then reads the mean at the last known value
+    before it, however far back that lies.
     """
-    halo = math.ceil(28 * tau)
-    size = 4096
-
     def build(w: WindowSpec) -> dict[str, Column]:
-        pos = (F.col("rn") - F.col(O.BLK) * size).cast("double")
-        weight = F.exp(pos / tau)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
         last5 = _past(w, 5)
         out = {"n_prior": F.col("rn") - 1}
         for m, empty in metrics.items():
             v = F.col(m).cast("double")
-            known = F.when(v.isNotNull(), weight)
-            out[f"{m}_ew"] = F.coalesce(ratio(F.sum(v * weight).over(before), F.sum(known).over(before)), F.lit(empty))
             out[f"{m}_recent"] = F.coalesce(F.avg(v).over(last5), F.lit(empty))
             out[f"{m}_recent_sd"] = F.coalesce(F.stddev_pop(v).over(last5), F.lit(0.0))
         return out
 
-    return O.frozen_state(rows, keys, "ts", order, halo, build, size=size)
+    out = O.frozen_state(rows, keys, "ts", order, 5, build)
+    numbered = O.row_numbers(rows, keys, ["ts", *order])
+    instants = out.select(*keys, F.col("ts").alias("at"))
+    back = math.ceil(LOST * tau)
+    size = max(back, math.ceil(300 * tau))
+    for m, empty in metrics.items():
+        known = numbered.filter(F.col(m).isNotNull()).select(*keys, "ts", "rn", F.col(m).cast("double").alias("_v"))
+        spread, w = O.blocks(known, keys, back=back, size=size)
+        weight = F.exp((F.col("rn") - F.col(O.BLK) * size).cast("double") / tau - 150.0)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        mean = ratio(F.sum(F.col("_v") * weight).over(so_far), F.sum(weight).over(so_far))
+        after = O.drop_halo(spread.withColumn("_ew", mean)).select(*keys, "ts", "rn", "_ew")
+        found = O.as_of(instants, after, keys, "at", "ts", ["ts", "rn"], ["_ew"], inclusive=False)
+        out = O.attach(out, found.select(*keys, F.col("at").alias("ts"), F.coalesce("_ew", F.lit(empty)).alias(f"{m}_ew")), [*keys, "ts"])
+    return out.select(*keys, "ts", "n_prior", *[f"{m}_{x}" for m in metrics for x in ("ew", "recent", "recent_sd")])
 
 
 def tail_slope(
@@ -355,11 +385,11 @@ def lagged_entity_features(rows: DataFrame, metrics: Sequence[str], n: int = 5,
 
 
 def match_features(games: DataFrame, state: DataFrame, features: Sequence[str], keys: Sequence[str] = ("league",)) -> DataFrame:
-    """Home, away and difference columns for every feature of the entity state, plus the scoring environment."""
+    """Home, away and difference columns for every feature of the entity state, plus the scoring environment; games of unknown key stay."""
     out = games
     for side, p in (("home", "h"), ("away", "a")):
         right = state.select(*keys, F.col("entity").alias(side), "ts", *[F.col(f).alias(f"{p}_{f}") for f in features])
-        out = out.join(right, [*keys, side, "ts"])
+        out = O.attach(out, right, [*keys, side, "ts"])
     cols = {"home_adv": F.lit(1.0)}
     cols.update({f"d_{f}": F.col(f"h_{f}") - F.col(f"a_{f}") for f in features})
     if {"gf_10", "ga_10"} <= set(features):
@@ -488,17 +518,25 @@ def team_strength(
 ) -> DataFrame:
     """Offence and defence factors of each entity against its league, time-decayed, strictly before each instant.
 
-    Decay is a ratio of prefix sums of values scaled by ``2**(days/half_life)`` since 1970, which stays inside double
-    range for a thousand half-lives.
+    Decay is a ratio of prefix sums of values scaled by ``2**(days/half_life)`` since the start of a block of 400 half-lives, and the last
+    60 half-lives of a block count in the next one too; older values weigh less than 1e-18.
     """
     if half_life_days:
         days = F.unix_micros("ts") / 86400e6
-        scale = F.pow(F.lit(2.0), days / half_life_days)
+        span = 400.0 * half_life_days
+        home = F.floor(days / span)
+        late = days - home * span > span - 60.0 * half_life_days
+        placed = rows.withColumn("_span", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
+        placed = placed.withColumn("_scale", F.pow(F.lit(2.0), (days - F.col("_span") * span) / half_life_days))
+        scale = F.pow(F.lit(2.0), (days - F.col("_span") * span) / half_life_days)
+        own_rows = lambda df: df.filter(F.col("_span") == home)
     else:
-        scale = F.lit(1.0)
-    own = O.prior_sums(rows, [*keys, entity], "ts", {"_gf": F.col("gf") * scale, "_ga": F.col("ga") * scale, "_n": scale})
-    league = O.prior_sums(rows, list(keys), "ts", {"_runs": F.col("gf") * scale, "_weight": scale})
-    both = own.join(league, [*keys, "ts"])
+        placed, scale = rows.withColumns({"_span": F.lit(0), "_scale": F.lit(1.0)}), F.lit(1.0)
+        own_rows = lambda df: df
+    w = F.col("_scale")
+    own = own_rows(O.prior_sums(placed, [*keys, entity, "_span"], "ts", {"_gf": F.col("gf") * w, "_ga": F.col("ga") * w, "_n": w}))
+    league = own_rows(O.prior_sums(placed, [*keys, "_span"], "ts", {"_runs": F.col("gf") * w, "_weight": w}))
+    both = O.attach(own, league.drop("_span"), [*keys, "ts"])
     decay = F.lit(1.0) / scale
     mean = F.when(F.col("_weight") > 0, F.greatest(F.lit(0.1), F.col("_runs") / F.col("_weight"))).otherwise(base_run)
     n = F.col("_n") * decay

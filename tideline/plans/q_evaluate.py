@@ -94,7 +94,7 @@ h AS (SELECT league, probs.lam_h, probs.lam_a, home_score, away_score, MAX(CASE
 
 @register("e5_top4_metrics", f"WITH {BIVTOP} SELECT league, count(*) AS rows, ROUND(avg(t1), 8) AS top1_hit_rate, ROUND(avg(t4), 8) AS top4_hit_rate, ROUND(avg(abs(p1 - t1)), 8) AS top1_probability_mae FROM h GROUP BY 1")
 def _(v: Views):
-    s = O.spread(v.probs.select("league", "home_score", "away_score", "lam_h", "lam_a")).withColumn("s", S.grid_summary(F.col("lam_h"), F.col("lam_a"), F.lit(0.3)))
+    s = v.probs.select("league", "home_score", "away_score", "lam_h", "lam_a").withColumn("s", S.grid_summary(F.col("lam_h"), F.col("lam_a"), F.lit(0.3)))
     return us(E.top4_metrics(s, F.col("s.scores"), F.col("s.probabilities")[0], F.concat_ws("-", "home_score", "away_score"), ["league"]), digits=8)
 
 

@@ -55,10 +55,13 @@ NAMES = {0: ("npb_regular", "regular_season", "regular_season", "official"), 1:
          6: ("mlb_regular", "regular_season", "regular_season", "official"), 7: ("npb_farm", "regular_season", "farm", "official")}
 
 
+NONE, QUOTED = "CASE WHEN event_id % 27 = 8 THEN 'unknown' ELSE 'npb_unknown' END", "'unknown'"
+
+
 @register("p7_classify_competition", "SELECT event_id, " + ", ".join(
-    "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{x[i]}'" for k, x in NAMES.items()) + f" ELSE 'unknown' END AS {n}" for i, n in enumerate(N.LABELS)) +
+    "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{x[i]}'" for k, x in NAMES.items()) + f" ELSE {NONE if i == 0 else QUOTED} END AS {n}" for i, n in enumerate(N.LABELS)) +
     ", CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{'MLB' if k in (5, 6) else 'NPB'}:{x[0]}:{x[1]}'" for k, x in NAMES.items()) +
-    " ELSE CASE WHEN event_id % 27 = 8 THEN 'OTHER:unknown' ELSE 'NPB:unknown' END END AS competition_key, CASE WHEN event_id % 9 = 8 THEN 'unknown' ELSE 'classified' END AS classification_status FROM events")
+    " ELSE CASE WHEN event_id % 27 = 8 THEN 'OTHER:unknown' ELSE 'NPB:npb_unknown:unknown' END END AS competition_key, CASE WHEN event_id % 9 = 8 THEN 'unknown' ELSE 'classified' END AS classification_status FROM events")
 def _(v: Views):
     out = N.classify_competition(v.table("events").select("event_id"), F.expr(LG), F.expr(KIND))
     return out.select("event_id", *N.LABELS, "competition_key", "classification_status")
@@ -202,7 +205,7 @@ STG = "CASE k1 % 6 WHEN 0 THEN 'regular_season' WHEN 1 THEN 'wild_card' WHEN 2 T
 
 @register("p27_strategy_labels", f"""WITH s AS (SELECT game_id, k2, {STG} AS raw, CASE WHEN {STG} = 'unknown' THEN CASE WHEN k2 % 2 = 0 THEN 'interleague' ELSE 'unknown' END ELSE {STG} END AS s FROM games)
 SELECT game_id, CASE WHEN s IN ('regular_season', 'interleague') THEN 'league_adaptive_ensemble' WHEN s = 'wild_card' THEN 'postseason_shrunk_ensemble' WHEN s = 'tournament' THEN 'tournament_shrunk_ensemble' WHEN s = 'all_star' THEN 'exhibition_fallback' WHEN s = 'unknown' THEN 'unknown_fail_closed' ELSE 'competition_shrunk_ensemble' END AS strategy_id,
- CASE WHEN s IN ('all_star', 'unknown') THEN 'league_temperature_only' ELSE 'competition_temperature' END AS calibration_id, CASE WHEN s IN ('regular_season', 'interleague') THEN 40 WHEN s = 'wild_card' THEN 50 WHEN s = 'tournament' THEN 60 WHEN s IN ('all_star', 'unknown') THEN 999999 ELSE 50 END AS minimum_rows FROM s""")
+ CASE WHEN s IN ('all_star', 'unknown') THEN 'league_temperature_only' ELSE 'competition_temperature' END AS calibration_id, CASE WHEN s IN ('regular_season', 'interleague') THEN 40 WHEN s = 'wild_card' THEN 50 WHEN s = 'tournament' THEN 60 WHEN s IN ('all_star', 'unknown') THEN 999999 ELSE 60 END AS minimum_rows FROM s""")
 def _(v: Views):
     key = F.expr("CASE WHEN k2 % 2 = 0 THEN 'A:b:interleague' WHEN k1 % 6 = 4 THEN 'A:unknown' ELSE 'A:b:c' END")
     return v.games.select("game_id", *[c.alias(n) for n, c in N.strategy_labels(key, F.expr(STG), F.lit("league")).items()])

@@ -34,12 +34,12 @@ CLS = ("home", "draw", "away")
 
 
 def _summary(v: Views, shared: float):
-    return O.spread(v.probs.select("game_id", "lam_h", "lam_a")).select("game_id", S.grid_summary(LH, LA, F.lit(shared)).alias("s"))
+    return v.probs.select("game_id", "lam_h", "lam_a").select("game_id", S.grid_summary(LH, LA, F.lit(shared)).alias("s"))
 
 
 def _expected_cells(v: Views, shared: float):
     width = S.MAX_RUNS + 1
-    cells = O.spread(v.probs.select("league", "lam_h", "lam_a")).select("league", F.posexplode(S.grid_cells(LH, LA, F.lit(shared))).alias("pos", "p"))
+    cells = v.probs.select("league", "lam_h", "lam_a").select("league", F.posexplode(S.grid_cells(LH, LA, F.lit(shared))).alias("pos", "p"))
     sums = cells.groupBy("league", "pos").agg(F.sum("p").alias("expected_games"))
     return us(sums.select("league", F.expr(f"pos div {width}").cast("int").alias("home_runs"), (F.col("pos") % width).alias("away_runs"), "expected_games"), digits=6)
 

@@ -33,12 +33,14 @@ FEATS = ("home_score", "lam_h", "p_home")
 
 
 def _rel(c):
-    return (f"SELECT '{c}' AS feature, ROUND(GREATEST(0, LEAST(1, 0.45 * count({c}) / count(*) + 0.35 + 0.20 * (1 - 0.35 * LEAST(1, stddev_pop({c}) / GREATEST(abs(avg({c})), 1))))), 8) AS reliability FROM qf")
+    known = f"count({c}) FILTER (NOT isnan({c}))"
+    unstable = f"CASE WHEN count(*) FILTER (isinf({c})) > 0 THEN 1 ELSE LEAST(1, stddev_pop(CASE WHEN isfinite({c}) THEN {c} END) / GREATEST(abs(avg(CASE WHEN isfinite({c}) THEN {c} END)), 1)) END"
+    return (f"SELECT '{c}' AS feature, ROUND(GREATEST(0, LEAST(1, 0.45 * {known} / count(*) + 0.35 * count(*) FILTER (isfinite({c})) / {known} + 0.20 * (1 - 0.35 * {unstable}))), 8) AS reliability FROM qf")
 
 
-@register("q3_feature_reliability", "WITH qf AS (SELECT CASE WHEN k1 % 5 > 0 THEN CAST(home_score AS DOUBLE) END AS home_score, lam_h, p_home FROM probs) " + " UNION ALL ".join(map(_rel, FEATS)))
+@register("q3_feature_reliability", "WITH qf AS (SELECT CASE WHEN k1 % 5 > 0 THEN CAST(home_score AS DOUBLE) END AS home_score, CASE WHEN k1 % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE lam_h END AS lam_h, CASE WHEN k2 % 9 = 0 THEN CAST('inf' AS DOUBLE) ELSE p_home END AS p_home FROM probs) " + " UNION ALL ".join(map(_rel, FEATS)))
 def _(v: Views):
-    t = v.probs.select(F.expr("CASE WHEN k1 % 5 > 0 THEN double(home_score) END").alias("home_score"), "lam_h", "p_home")
+    t = v.probs.select(F.expr("CASE WHEN k1 % 5 > 0 THEN double(home_score) END").alias("home_score"), F.expr("CASE WHEN k1 % 7 = 0 THEN double('NaN') ELSE lam_h END").alias("lam_h"), F.expr("CASE WHEN k2 % 9 = 0 THEN double('Infinity') ELSE p_home END").alias("p_home"))
     return us(Q.feature_reliability(t, FEATS), digits=8)
 
 

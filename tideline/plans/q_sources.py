@@ -142,12 +142,6 @@ def _(v: Views):
     return S.observation_records(v.games.select("k3", "k1").distinct(), sched, ["k3"])
 
 
-@register("s17_html_tables")
-def _(v: Views):
-    out = S.html_tables(v.table("pages"), row="ul", cells=("li",))
-    return out.select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
-
-
 @register("u1_union_drift", "SELECT o_orderkey AS id, o_totalprice AS price, NULL AS size FROM orders UNION ALL SELECT p_partkey, NULL, p_size FROM part")
 def _(v: Views):
     return S.union_all([v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))])

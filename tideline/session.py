@@ -26,7 +26,10 @@ def build_session(app: str = "tideline", master: str | None = None, **conf: str)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else built."""
+    """Apply the run-time settings to a session somebody else built. On a local master the Python workers import the package from
+    where the driver did; a cluster ships it (``--py-files``)."""
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
