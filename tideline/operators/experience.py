@@ -122,10 +122,9 @@ def policy_replay(cases: DataFrame, qid: str, p: Sequence[str], y: str, minimum:
     from tideline.operators.joins import matured_sums
 
     sums = _sums(p, y)
-    facts = by_stratum(cases, "game_id", "prediction_time", "available_at", *[c.alias(n) for n, c in sums.items()])
-    facts = facts.withColumn("_case", F.concat_ws("#", "game_id", "scope"))
+    facts = cases.select("game_id", "prediction_time", "available_at", "strata", *[c.alias(n) for n, c in sums.items()])
     asks = by_stratum(cases, qid, "prediction_time")
-    seen = matured_sums(asks, facts, ["scope", "key"], "prediction_time", "prediction_time", "available_at", {"rows": F.lit(1), **{n: F.col(n) for n in sums}}, game="_case")
+    seen = matured_sums(asks, facts, ["scope", "key"], "prediction_time", "prediction_time", "available_at", {"rows": F.lit(1), **{n: F.col(n) for n in sums}}, game="game_id", strata="strata")
     top = seen.filter((F.col("scope") == "global") & (F.col("rows") > 0)).select(qid, *[(F.col(REAL[i]) / F.col("rows")).alias(f"_g{i}") for i in range(3)], F.col("rows").alias("matured_rows"))
     ok = seen.filter(F.col("rows") >= minimum).join(top, qid)
     delta = [((F.col(REAL[i]) + prior * F.col(f"_g{i}")) / (F.col("rows") + prior) - F.col(PRED[i]) / F.col("rows")).alias(f"delta{i}") for i in range(3)]

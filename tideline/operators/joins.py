@@ -72,25 +72,27 @@ def hour_join(left: DataFrame, hourly: DataFrame, keys: Sequence[str], left_ts:
 
 
 def matured_sums(targets: DataFrame, history: DataFrame, keys: Sequence[str], at: str, pred_time: str, mature_at: str,
-                 sums: Mapping[str, Column], game: str = "game_id", order: Sequence[str] = ()) -> DataFrame:
+                 sums: Mapping[str, Column], game: str = "game_id", order: Sequence[str] = (), strata: str | None = None) -> DataFrame:
     """Per target: sums over prior cases already matured (``mature_at <= t``), the latest matured revision of each game, the target's
     own game excluded.
 
     On the maturity axis a revision that is later than all matured before it enters with its values and takes its predecessor's out, so
-    nothing is paired and no target sees a revision from after its time; the two may lie under different keys. A case must mature after it was predicted; otherwise the query
+    nothing is paired and no target sees a revision from after its time; the two may lie under different keys. ``strata`` names an array
+    of structs that hold the keys, for cases that count under several. A case must mature after it was predicted; otherwise the query
     fails. Targets of unknown key stay and see the history of that key.
     """
     ok = F.when(F.col(mature_at) > F.col(pred_time), F.col(mature_at)).otherwise(
         F.raise_error(F.lit("outcome not after its prediction")).cast("timestamp"))
     rank = F.struct(F.col(pred_time).alias("r"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(order)])
+    under = F.transform(F.array_compact(strata), lambda x: F.struct(*[x[k].alias(k) for k in keys])) if strata else F.array(F.struct(*keys))
     # one row per game and maturity: the latest prediction among those that mature together
     cases = history.withColumns({"_t": ok, **{n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}})
-    cases = cases.groupBy(game, "_t").agg(F.max(F.struct(rank.alias("_rank"), F.struct(*keys).alias("_key"), F.struct(*sums).alias("_sums"))).alias("_c"))
+    cases = cases.groupBy(game, "_t").agg(F.max(F.struct(rank.alias("_rank"), under.alias("_under"), F.struct(*sums).alias("_sums"))).alias("_c"))
     prior = F.max("_c").over(Window.partitionBy(game).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
     steps = cases.withColumn("_p", prior).filter(F.col("_p").isNull() | (F.col("_c._rank") > F.col("_p._rank")))
     moved = F.array_compact(F.array(F.struct(F.lit(1).alias("_sign"), F.col("_c").alias("_of")), F.when(F.col("_p").isNotNull(), F.struct(F.lit(-1).alias("_sign"), F.col("_p").alias("_of")))))
-    facts = steps.select("_t", F.inline(moved)).select(
-        *[F.col(f"_of._key.{k}").alias(k) for k in keys], "_t", F.lit(0).alias("_side"), *[(F.col("_sign") * F.col(f"_of._sums.{n}")).alias(n) for n in sums])
+    facts = steps.select("_t", F.inline(moved)).select("_t", "_sign", "_of._sums", F.inline("_of._under"))
+    facts = facts.select(*keys, "_t", F.lit(0).alias("_side"), *[(F.col("_sign") * F.col(f"_sums.{n}")).alias(n) for n in sums])
     rows = targets.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*targets.columns).alias("_left"))
     both = rows.unionByName(facts, allowMissingColumns=True)
     # totals are pre-aggregated per instant, then scanned; targets read the inclusive total of their instant
@@ -100,9 +102,9 @@ def matured_sums(targets: DataFrame, history: DataFrame, keys: Sequence[str], at
     out = found.select("_left.*", *[F.col(f"_s_{n}").alias(n) for n in sums])
     if game not in targets.columns:
         return out
-    mine = steps.select(game, "_t", F.col("_c._key").alias("_own_key"), F.col("_c._sums").alias("_own"))
-    seen = O.as_of(out, mine, [game], at, "_t", ["_t"], ["_own_key", "_own"])
-    here = F.col("_own_key").eqNullSafe(F.struct(*keys))
+    mine = steps.select(game, "_t", F.col("_c._under").alias("_own_under"), F.col("_c._sums").alias("_own"))
+    seen = O.as_of(out, mine, [game], at, "_t", ["_t"], ["_own_under", "_own"])
+    here = F.exists("_own_under", lambda x: x.eqNullSafe(F.struct(*keys)))
     return seen.select(*targets.columns, *[(F.col(n) - F.when(here, F.col(f"_own.{n}")).otherwise(F.lit(0))).alias(n) for n in sums])
 
 
