@@ -33,7 +33,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind:
         model = RandomForestClassifier(**common, numTrees=20, maxDepth=5, seed=SEED)
     elif kind == "boosted":
         base = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=8, maxDepth=3, seed=SEED)
-        model = OneVsRest(classifier=base, featuresCol="_x", labelCol=label, rawPredictionCol="rawPrediction")
+        model = OneVsRest(classifier=base, rawPredictionCol="rawPrediction", **common)
     else:
         raise ValueError(f"unknown model kind: {kind}")
     return Pipeline(stages=[*stages, model]).fit(train)
@@ -89,13 +89,23 @@ def hierarchical_draw_model(train: DataFrame, test: DataFrame, features: Sequenc
     return both.select(*test.columns, *[(c / total).alias(f"p{i}") for i, c in enumerate(raw)])
 
 
-def fit_score_models(train: DataFrame, test: DataFrame, features: Sequence[str], targets: Mapping[str, str], top: int = 3) -> DataFrame:
+def later_part(df: DataFrame, order: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """(earlier, later) rows by an instant: the cut is the ``share`` quantile of its distinct values' rows, and equal instants stay together."""
+    at = df.agg(F.percentile_approx(F.unix_micros(order), share, 10_000)).first()[0]
+    late = F.unix_micros(order) > at
+    return df.filter(~late), df.filter(late)
+
+
+def fit_score_models(train: DataFrame, test: DataFrame, features: Sequence[str], targets: Mapping[str, str], order: str, top: int = 3,
+                     share: float = 0.75) -> DataFrame:
     """Poisson, Tweedie and forest intensities per target, blended by inverse validation error.
 
-    ``targets`` maps an output prefix to its label.  Adds ``lam_<prefix>`` and one column per member.
+    The error is that on the latest rows of ``train`` (after the ``share`` quantile of ``order``) of models fitted on the earlier ones; the
+    members are then fitted on all of it. ``targets`` maps an output prefix to its label.  Adds ``lam_<prefix>`` and one column per member.
     """
     x = VectorAssembler(inputCols=list(features), outputCol="_x")
     tr, te = x.transform(train), x.transform(test)
+    early, late = later_part(tr, order, share)
     kinds: dict[str, Callable[[str], object]] = {
         "poisson": lambda y: GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol=y, regParam=0.15, maxIter=25),
         "tweedie": lambda y: GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, featuresCol="_x", labelCol=y, regParam=0.08, maxIter=25),
@@ -108,7 +118,8 @@ def fit_score_models(train: DataFrame, test: DataFrame, features: Sequence[str],
             model = make(y).fit(tr)
             col = f"{name}_{prefix}"
             out = model.transform(out).withColumn(col, A.clip(F.col("prediction"), 0.05, 15.0)).drop("prediction")
-            errors[name] = model.transform(tr).agg(F.avg(F.abs(F.col("prediction") - F.col(y)))).first()[0]
+            checked = make(y).fit(early).transform(late)
+            errors[name] = checked.agg(F.avg(F.abs(A.clip(F.col("prediction"), 0.05, 15.0) - F.col(y)))).first()[0]
         best = sorted(errors, key=lambda n: (errors[n], n))[:top]
         inverse = {n: 1.0 / max(errors[n], 1e-9) for n in best}
         z = sum(inverse.values())
@@ -116,12 +127,12 @@ def fit_score_models(train: DataFrame, test: DataFrame, features: Sequence[str],
     return out.drop("_x")
 
 
-def stacked_model(dev: DataFrame, hold: DataFrame, members: Mapping[str, Sequence[str]], label: str) -> tuple[DataFrame, dict]:
-    """Multinomial model over member probabilities, used on the hold-out only where it beats the plain mean on dev data."""
+def stacked_model(dev: DataFrame, hold: DataFrame, members: Mapping[str, Sequence[str]], label: str, order: str, share: float = 0.7) -> tuple[DataFrame, dict]:
+    """Multinomial model over member probabilities, fitted on the earlier ``share`` of the dev data and used on the hold-out only where it
+    beats the plain mean on the later rest."""
     inputs = [c for cs in members.values() for c in cs]
     k = len(next(iter(members.values())))
-    fit_part = dev.filter(F.pmod(F.xxhash64(*inputs), F.lit(10)) < 7)
-    check = dev.filter(F.pmod(F.xxhash64(*inputs), F.lit(10)) >= 7)
+    fit_part, check = later_part(dev, order, share)
     model = fit_classifier(fit_part, inputs, label, "logistic")
     mean = [A.add([F.col(c[i]) for c in members.values()]) / len(members) for i in range(k)]
     scored = predict(model, check, k, "_k")

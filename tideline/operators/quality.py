@@ -154,11 +154,20 @@ def availability_rules(side: str) -> dict[str, Column]:
         f"{side}_announcement_unknown": g("announced_at").isNull() & (named | g("published_at").isNotNull() | g("available_at").isNotNull()),
         f"{side}_announced_after_cutoff": g("announced_at") > cutoff, f"{side}_announced_after_retrieval": g("announced_at") > retrieved,
         f"{side}_available_after_cutoff": effective > cutoff, f"{side}_available_after_retrieval": effective > retrieved,
-        f"{side}_published_after_retrieval": g("published_at") > retrieved, f"{side}_published_after_announcement": g("published_at") > g("announced_at")}
+        f"{side}_published_after_retrieval": g("published_at") > retrieved, f"{side}_published_after_announcement": g("published_at") > g("announced_at"),
+        f"{side}_published_after_cutoff": g("published_at") > cutoff}
 
 
-def validate_availability(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+# States a line-up may be in.
+LINEUP_STATES = ("CONFIRMED", "UNCONFIRMED", "UNAVAILABLE", "UNVERIFIABLE")
+
+
+def validate_availability(df: DataFrame, ids: Sequence[str], states: Sequence[str] = LINEUP_STATES) -> DataFrame:
     rules = {"event_id_missing": F.col("event_id").isNull(), "retrieved_after_cutoff": F.col("retrieved_at") > F.col("prediction_cutoff")}
+    rules["team_missing"] = (F.coalesce("home_team", F.lit("")) == "") | (F.coalesce("away_team", F.lit("")) == "")
+    rules["lineup_status_invalid"] = ~F.coalesce(F.upper("lineup_status").isin(*states), F.lit(False))
+    rules["revision_after_cutoff"] = F.col("revision_time") > F.col("prediction_cutoff")
+    rules["revision_after_retrieval"] = F.col("revision_time") > F.col("retrieved_at")
     for side in ("home", "away"):
         rules.update(availability_rules(side))
     rules["lineup_not_pit_safe"] = (F.col("lineup_announced_at") > F.col("prediction_cutoff")) | (F.col("lineup_announced_at") > F.col("retrieved_at"))

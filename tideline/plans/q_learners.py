@@ -57,14 +57,14 @@ def _(v: Views):
 def _(v: Views):
     dev, hold = split(matrix(v))
     typed = [d.withColumns({"home_score": F.col("home_score").cast("double"), "away_score": F.col("away_score").cast("double")}) for d in (dev, hold)]
-    out = L.fit_score_models(*typed, FEATURES, {"home": "home_score", "away": "away_score"})
+    out = L.fit_score_models(*typed, FEATURES, {"home": "home_score", "away": "away_score"}, "ts")
     return us(out.select("game_id", "lam_home", "lam_away"), digits=6)
 
 
 @register("e19_stacked_model")
 def _(v: Views):
     dev, hold = split(matrix(v))
-    out, _ = L.stacked_model(dev, hold, MODELS, "y")
+    out, _ = L.stacked_model(dev, hold, MODELS, "y", "ts")
     return us(out.select("game_id", *P3), digits=6)
 
 

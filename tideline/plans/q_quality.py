@@ -88,10 +88,12 @@ def _(v: Views):
 
 
 AV = """a AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'H' END AS hs, CASE WHEN event_id % 4 > 0 THEN available_at END AS ha, CASE WHEN event_id % 5 = 0 THEN source_timestamp END AS hp, CASE WHEN event_id % 8 = 0 THEN retrieved_at + INTERVAL 1 MINUTE END AS hv,
- 'A' AS as_, source_timestamp AS aa, retrieved_at AS r, prediction_cutoff - INTERVAL 2 HOUR AS c, CASE WHEN event_id % 6 = 0 THEN retrieved_at + INTERVAL 3 MINUTE END AS la, CASE WHEN event_id % 7 = 0 THEN 'confirmed' ELSE 'PROJECTED' END AS ls FROM ledger)"""
+ 'A' AS as_, source_timestamp AS aa, retrieved_at AS r, prediction_cutoff - INTERVAL 2 HOUR AS c, CASE WHEN event_id % 6 = 0 THEN retrieved_at + INTERVAL 3 MINUTE END AS la, CASE WHEN event_id % 7 = 0 THEN 'confirmed' WHEN event_id % 7 = 1 THEN 'PROJECTED' WHEN event_id % 7 > 2 THEN 'unconfirmed' END AS ls,
+ CASE WHEN event_id % 11 > 0 THEN 'T' END AS ht, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'U' END AS at_, CASE WHEN event_id % 10 = 0 THEN retrieved_at + INTERVAL 5 MINUTE WHEN event_id % 10 = 1 THEN retrieved_at - INTERVAL 5 MINUTE END AS rv FROM ledger)"""
 AVR = [("retrieved_after_cutoff", "r > c"), ("home_announcement_unknown", "ha IS NULL AND (hs IS NOT NULL OR hp IS NOT NULL OR hv IS NOT NULL)"), ("home_announced_after_cutoff", "ha > c"), ("home_announced_after_retrieval", "ha > r"),
        ("home_available_after_cutoff", "CASE WHEN ha IS NOT NULL THEN COALESCE(hv, ha) END > c"), ("home_available_after_retrieval", "CASE WHEN ha IS NOT NULL THEN COALESCE(hv, ha) END > r"), ("home_published_after_retrieval", "hp > r"),
-       ("home_published_after_announcement", "hp > ha"), ("away_announced_after_cutoff", "aa > c"), ("away_announced_after_retrieval", "aa > r"), ("away_available_after_cutoff", "aa > c"), ("away_available_after_retrieval", "aa > r"),
+       ("home_published_after_announcement", "hp > ha"), ("home_published_after_cutoff", "hp > c"), ("team_missing", "COALESCE(ht, '') = '' OR COALESCE(at_, '') = ''"),
+       ("lineup_status_invalid", "NOT COALESCE(upper(ls) IN ('CONFIRMED', 'UNCONFIRMED', 'UNAVAILABLE', 'UNVERIFIABLE'), FALSE)"), ("revision_after_cutoff", "rv > c"), ("revision_after_retrieval", "rv > r"), ("away_announced_after_cutoff", "aa > c"), ("away_announced_after_retrieval", "aa > r"), ("away_available_after_cutoff", "aa > c"), ("away_available_after_retrieval", "aa > r"),
        ("lineup_not_pit_safe", "(la > c OR la > r)"), ("confirmed_without_time", "upper(ls) = 'CONFIRMED' AND la IS NULL")]
 
 
@@ -101,7 +103,9 @@ def _availability(v: Views):
         "event_id", F.expr("CASE WHEN event_id % 3 > 0 THEN 'H' END").alias("home_starter"), F.expr("CASE WHEN event_id % 4 > 0 THEN available_at END").alias("home_starter_announced_at"), F.expr("CASE WHEN event_id % 5 = 0 THEN source_timestamp END").alias("home_starter_published_at"),
         F.expr("CASE WHEN event_id % 8 = 0 THEN retrieved_at + INTERVAL 1 MINUTE END").alias("home_starter_available_at"), F.lit("A").alias("away_starter"), F.col("source_timestamp").alias("away_starter_announced_at"), none.alias("away_starter_published_at"),
         none.alias("away_starter_available_at"), "retrieved_at", F.expr("prediction_cutoff - INTERVAL 2 HOURS").alias("prediction_cutoff"), F.expr("CASE WHEN event_id % 6 = 0 THEN retrieved_at + INTERVAL 3 MINUTES END").alias("lineup_announced_at"),
-        F.expr("CASE WHEN event_id % 7 = 0 THEN 'confirmed' ELSE 'PROJECTED' END").alias("lineup_status"), "source")
+        F.expr("CASE WHEN event_id % 7 = 0 THEN 'confirmed' WHEN event_id % 7 = 1 THEN 'PROJECTED' WHEN event_id % 7 > 2 THEN 'unconfirmed' END").alias("lineup_status"), "source",
+        F.expr("CASE WHEN event_id % 11 > 0 THEN 'T' END").alias("home_team"), F.expr("CASE WHEN event_id % 13 = 0 THEN '' ELSE 'U' END").alias("away_team"),
+        F.expr("CASE WHEN event_id % 10 = 0 THEN retrieved_at + INTERVAL 5 MINUTES WHEN event_id % 10 = 1 THEN retrieved_at - INTERVAL 5 MINUTES END").alias("revision_time"))
 
 
 @register("q9_validate_availability", f"WITH {AV} " + " UNION ALL ".join(f"SELECT event_id, '{n}' AS violation FROM a WHERE {c}" for n, c in AVR))

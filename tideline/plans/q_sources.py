@@ -78,6 +78,18 @@ def _(v: Views):
     return S.read_ledger(v.spark, path, LDDL).select("event_id", "source", F.unix_micros("retrieved_at").alias("retrieved_us"), "status", "value")
 
 
+@register("s8_append_ledger", """SELECT event_id, source, status, value FROM ledger
+WHERE retrieved_at IS NOT NULL AND COALESCE(source_timestamp <= retrieved_at, TRUE) AND COALESCE(available_at <= retrieved_at, TRUE)""")
+def _(v: Views):
+    # two appends of validated rows; the second leaves what the first wrote untouched
+    path = scratch_path(v.spark, "ledger")
+    led = v.ledger.drop("prediction_cutoff")
+    ok = F.col("retrieved_at").isNotNull() & F.coalesce(F.col("source_timestamp") <= F.col("retrieved_at"), F.lit(True)) & F.coalesce(F.col("available_at") <= F.col("retrieved_at"), F.lit(True))
+    for part in (0, 1):
+        S.append_ledger(led.filter(ok & (F.col("event_id") % 2 == part)), path)
+    return S.read_ledger(v.spark, path, LDDL).select("event_id", "source", "status", "value")
+
+
 @register("s9_append_once", "SELECT event_id, value FROM ledger")
 def _(v: Views):
     path = scratch_path(v.spark, "once")

@@ -36,13 +36,15 @@ def _(v: Views):
     return out.select("event_id", "kind", "previous_hash", "current_hash")
 
 
-@register("t4_late_data_replay", "SELECT event_id, COALESCE(retrieved_at > TIMESTAMP '2024-01-16 12:00:00', FALSE) AS after_cutoff, value FROM ledger WHERE status NOT IN ('UNAVAILABLE', 'MISSING') AND available_at <= TIMESTAMP '2024-01-16 12:00:00'")
+@register("t4_late_data_replay", """SELECT event_id, value, COALESCE(retrieved_at <= TIMESTAMP '2024-01-16 12:00:00', TRUE) AS known_at_cutoff FROM ledger
+WHERE COALESCE(status, 'KNOWN') NOT IN ('UNAVAILABLE', 'MISSING') AND available_at <= TIMESTAMP '2024-01-16 12:00:00'""")
 def _(v: Views):
-    # late rows stay in the table; the replay decides which were known
+    # late rows stay in the table; the replay, retrieval rule included, decides which were known at the cutoff and which came later
     late = T.materialized(v.spark, v.ledger_of(v.stream("events")))
     cut = F.expr("TIMESTAMP '2024-01-16 12:00:00 UTC'")
-    kept = P.pit_replay(late.drop("retrieved_at").withColumn("retrieved_at", F.lit(None).cast("timestamp")), cut).select("event_id", "value")
-    return kept.join(late.select("event_id", (F.col("retrieved_at") > cut).alias("after_cutoff")), "event_id")
+    known = P.pit_replay(late, cut).select("event_id", "value", F.lit(True).alias("known_at_cutoff"))
+    ever = P.pit_replay(late, F.greatest(cut, F.col("retrieved_at"))).filter(F.col("available_at") <= cut)
+    return known.unionByName(ever.join(known, "event_id", "left_anti").select("event_id", "value", F.lit(False).alias("known_at_cutoff")))
 
 
 @register("t5_maturity_gate", "SELECT event_id, user_id, value FROM events WHERE event_id % 5 > 0 AND (event_id % 9) BETWEEN 1 AND 7")
