@@ -185,7 +185,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     label = components(found.select("a", "b"))
     each = named.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first"))
     each = each.join(links, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_id = each.groupBy("label").agg(F.min("first").alias("smallest"))
+    least_id = stage(each.groupBy("label").agg(F.min("first").alias("smallest")), "least")  # a plain side, so a hot label can be split
     about = each.join(least_id, "label").select("node", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("links"), "smallest")
     out = named.join(about, "node", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     fps = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     label = components(links(fps, radius)).withColumnRenamed("node", "fp")
     grouped = fps.join(label, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = stage(grouped.groupBy("label").agg(F.min("first").alias("component_id")), "least")  # a plain side, so a hot label can be split
     named = grouped.join(least, "label").select("fp", "label", "component_id")
     return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "label")
 
