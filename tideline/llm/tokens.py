@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces in a generation, about 200 bytes each; a worker keeps two.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: A blank after white space that no visible character follows: there, cutting at every blank would cut inside a run.
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
 _BEFORE_WORD = re.compile(r" (?=\S)")

@@ -45,7 +45,7 @@ EDGE = ".,;:!?\"'()[]{}<>…*#%&~"
 _RUN = re.compile(r"(.)\1\1")
 #: Marks of one kind, two or more in a row, at either end of a token: emphasis, not letters.
 _TAIL = re.compile(r"^([^\w])\1+|([^\w])\2+$")
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def slots(chars: np.ndarray, n: int) -> np.ndarray:
