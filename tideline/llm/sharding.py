@@ -69,26 +69,27 @@ def cut_points(groups: DataFrame, shards: int, largest: int) -> list[int]:
         starts = [0, *accumulate(n for _, n, _ in units)]
         low = max(-(-starts[-1] // shards), largest)
         high = least_capacity(starts, shards, low)
-        wide: set[int] = set()
-        at, reach = 0, 0
-        for _ in range(shards - 1):  # where a cut may fall: from what the least capacity reaches to what the largest could
+        windows: list[list[int]] = []  # units, from the first to the last, that a cut may fall into
+        at, reach, split = 0, 0, False
+        for _ in range(shards - 1):  # from what the least capacity reaches to what the largest could
             at = max(at, bisect_right(starts, starts[at] + low) - 1)
             reach += high
-            last = min(bisect_right(starts, reach), len(units))
-            wide.update(k for k in range(at, last) if not units[k][2])
-        if not wide or low == high or bits >= 60:
-            return [units[k][0] for k in greedy(starts, shards, high)[1:]]
-        runs: list[list[int]] = []
-        for k in sorted(wide):
-            if runs and runs[-1][1] == k - 1:
-                runs[-1][1] = k
+            last = min(bisect_right(starts, reach), len(units)) - 1
+            if at > last:
+                continue
+            split |= not all(one for _, _, one in units[at : last + 1])
+            if windows and at <= windows[-1][1] + 1:
+                windows[-1][1] = max(last, windows[-1][1])
             else:
-                runs.append([k, k])
+                windows.append([at, last])
+        if not split or low == high or bits >= 60:
+            return [units[k][0] for k in greedy(starts, shards, high)[1:]]
         ends = [u[0] for u in units[1:]] + [None]
         inside = lambda a, b: (F.col("_hash") >= units[a][0]) & (F.lit(True) if ends[b] is None else F.col("_hash") < ends[b])  # noqa: B023, E731
         bits = min(60, bits + MORE_BITS)
-        finer = _sums(groups, bits, reduce(lambda x, y: x | y, [inside(a, b) for a, b in runs]))
-        units = sorted([u for k, u in enumerate(units) if k not in wide] + finer)
+        finer = _sums(groups, bits, reduce(lambda x, y: x | y, [inside(a, b) for a, b in windows]))  # fewer windows than shards
+        again = {k for a, b in windows for k in range(a, b + 1)}
+        units = sorted([u for k, u in enumerate(units) if k not in again] + finer)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
