@@ -7,7 +7,7 @@ from tideline.plans.catalog import register
 from tideline.plans.q_timeline import us
 from tideline.plans.views import Views
 
-SEG = F.col("inning")
+SEG = "inning"
 ORDER = ["play_order"]
 OK = """g AS (SELECT game_id, MAX(CASE WHEN added_runs < 0 OR added_runs > 4 THEN 1 ELSE 0 END) AS bad, arg_min(added_runs, play_order) AS first_runs,
   SUM(CASE WHEN half = 'B' THEN added_runs ELSE 0 END) AS h, SUM(CASE WHEN half = 'T' THEN added_runs ELSE 0 END) AS a,
@@ -18,7 +18,7 @@ st AS (SELECT p.*, CAST(SUM(CASE WHEN half = 'B' THEN added_runs ELSE 0 END) OVE
 
 
 def _states(v: Views):
-    return P.state_scores(v.plays, ORDER, SEG)
+    return P.state_scores(v.plays, ORDER, F.col(SEG))
 
 
 @register("w22_state_scores", f"WITH {OK} SELECT game_id, play_order, state_home, state_away FROM st")
@@ -37,7 +37,7 @@ mv AS (SELECT game_id, CASE WHEN inning <= 3 THEN 1 WHEN inning <= 6 THEN 2 WHEN
 
 
 def _moves(v: Views):
-    return P.transitions(_states(v), ORDER, SEG, dense="play_order")
+    return P.transitions(_states(v), ORDER, F.col(SEG), dense="play_order")
 
 
 @register("w23_transitions", f"WITH {MOVES} SELECT * FROM mv")
@@ -96,7 +96,7 @@ h AS (SELECT game_id, CAST(island AS BIGINT) AS island, inning, half, plays, sta
 
 
 def _halves(v: Views):
-    return P.half_innings(_states(v), ORDER, SEG, dense="play_order")
+    return P.half_innings(_states(v), ORDER, F.col(SEG), dense="play_order")
 
 
 @register("w25_half_innings", f"WITH {HALVES} SELECT * FROM h")

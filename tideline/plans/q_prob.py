@@ -29,17 +29,22 @@ BIV = f"""lp AS (SELECT DISTINCT lam_h, lam_a FROM probs), ks AS (SELECT unnest(
 raw AS (SELECT lam_h, lam_a, i.k AS i, j.k AS j, SUM({pmf('GREATEST(lam_h - c, 1e-9)', '(i.k - s.k)')} * {pmf('GREATEST(lam_a - c, 1e-9)', '(j.k - s.k)')} * {pmf('c', 's.k')}) AS p
   FROM lc CROSS JOIN ks i CROSS JOIN ks j JOIN ks s ON s.k <= LEAST(i.k, j.k) GROUP BY ALL),
 gr AS (SELECT lam_h, lam_a, i, j, p / SUM(p) OVER (PARTITION BY lam_h, lam_a) AS p FROM raw)"""
-LH, LA = F.col("lam_h"), F.col("lam_a")
+
+
+def lam(side: str):
+    return F.col(f"lam_{side}")
+
+
 CLS = ("home", "draw", "away")
 
 
 def _summary(v: Views, shared: float):
-    return v.probs.select("game_id", "lam_h", "lam_a").select("game_id", S.grid_summary(LH, LA, F.lit(shared)).alias("s"))
+    return v.probs.select("game_id", "lam_h", "lam_a").select("game_id", S.grid_summary(lam("h"), lam("a"), F.lit(shared)).alias("s"))
 
 
 def _expected_cells(v: Views, shared: float):
     width = S.MAX_RUNS + 1
-    cells = v.probs.select("league", "lam_h", "lam_a").select("league", F.posexplode(S.grid_cells(LH, LA, F.lit(shared))).alias("pos", "p"))
+    cells = v.probs.select("league", "lam_h", "lam_a").select("league", F.posexplode(S.grid_cells(lam("h"), lam("a"), F.lit(shared))).alias("pos", "p"))
     sums = cells.groupBy("league", "pos").agg(F.sum("p").alias("expected_games"))
     return us(sums.select("league", F.expr(f"pos div {width}").cast("int").alias("home_runs"), (F.col("pos") % width).alias("away_runs"), "expected_games"), digits=6)
 
@@ -76,12 +81,15 @@ def _(v: Views):
     return us(_summary(v, 0.3).select("game_id", *[F.col(f"s.final_{c}").alias(c) for c in CLS]), digits=8)
 
 
-RES_H, RES_A = F.col("home_score") - LH, F.col("away_score") - LA
+def residual(name: str, side: str):
+    return F.col(f"{name}_score") - lam(side)
+
+
 
 
 @register("d6_shared_lambda", "SELECT league, count(*) AS n, ROUND(CASE WHEN count(*) >= 25 THEN GREATEST(0.0, LEAST(1.25, avg((home_score - lam_h) * (away_score - lam_a)))) ELSE 0.0 END, 8) AS shared_lambda FROM probs GROUP BY 1")
 def _(v: Views):
-    return us(P.shared_lambda(v.probs, RES_H, RES_A, ["league"]), digits=8)
+    return us(P.shared_lambda(v.probs, residual("home", "h"), residual("away", "a"), ["league"]), digits=8)
 
 
 @register("d7_negbin_low", """WITH d AS (SELECT league, CASE WHEN count(*) < 8 OR var_samp(home_score) <= avg(home_score) + 1e-9 THEN 1e6 ELSE GREATEST(0.25, LEAST(1e6, pow(avg(home_score), 2) / (var_samp(home_score) - avg(home_score)))) END AS s,
@@ -294,7 +302,10 @@ def _(v: Views):
     return us(P.regime_weights(losses), digits=8)
 
 
-LOSSES = {m: P.nll_cols([F.col(c) for c in cols], F.col("y")) for m, cols in HDA.items()}
+def losses():
+    return {m: P.nll_cols([F.col(c) for c in cols], F.col("y")) for m, cols in HDA.items()}
+
+
 LSQL = {m: f"-ln(CASE y WHEN 0 THEN {c[0]} WHEN 1 THEN {c[1]} ELSE {c[2]} END)" for m, c in HDA.items()}
 PAIRS = list(itertools.combinations(HDA, 2))
 CORR = "c AS (" + " UNION ALL ".join(f"SELECT '{a}::{b}' AS pair, corr({LSQL[a]}, {LSQL[b]}) AS correlation FROM probs" for a, b in PAIRS) + ")"
@@ -302,7 +313,7 @@ CORR = "c AS (" + " UNION ALL ".join(f"SELECT '{a}::{b}' AS pair, corr({LSQL[a]}
 
 @register("d20_error_redundancy", f"WITH {CORR} SELECT model, ROUND(GREATEST(0.0, LEAST(1.0, avg(correlation))), 8) AS redundancy FROM (SELECT unnest(string_split(pair, '::')) AS model, correlation FROM c) GROUP BY 1")
 def _(v: Views):
-    return us(P.error_redundancy(P.member_correlations(v.probs, LOSSES)), digits=8)
+    return us(P.error_redundancy(P.member_correlations(v.probs, losses())), digits=8)
 
 
 def _errsql(c):
@@ -327,7 +338,7 @@ def _(v: Views):
 @register("d22_blend_run_share", """WITH s AS (SELECT game_id, lam_h + lam_a AS t, GREATEST(0.15, LEAST(0.85, 0.75 * lam_h / (lam_h + lam_a) + 0.25 * p_home / (p_home + p_away))) AS s FROM probs)
 SELECT game_id, ROUND(t * s, 8) AS lam_home, ROUND(t * (1 - s), 8) AS lam_away FROM s""")
 def _(v: Views):
-    h, a = P.blend_run_share(LH, LA, F.col("p_home"), F.col("p_away"))
+    h, a = P.blend_run_share(lam("h"), lam("a"), F.col("p_home"), F.col("p_away"))
     return us(v.probs.select("game_id", h.alias("lam_home"), a.alias("lam_away")), digits=8)
 
 
@@ -379,7 +390,7 @@ def _(v: Views):
 @register("d29_fallback_lambdas", "SELECT game_id, ROUND(COALESCE(CASE WHEN k1 % 4 > 0 THEN lam_h END, CASE WHEN league = 'N' THEN 2.35::DOUBLE ELSE 4.55::DOUBLE END), 8) AS lam_home, ROUND(COALESCE(CASE WHEN k1 % 4 > 0 THEN lam_a END, CASE WHEN league = 'N' THEN 2.35::DOUBLE ELSE 4.55::DOUBLE END), 8) AS lam_away FROM probs")
 def _(v: Views):
     ok = F.expr("k1 % 4 > 0")
-    h, a = P.fallback_lambdas(F.when(ok, LH), F.when(ok, LA), F.col("league") == "N")
+    h, a = P.fallback_lambdas(F.when(ok, lam("h")), F.when(ok, lam("a")), F.col("league") == "N")
     return us(v.probs.select("game_id", h.alias("lam_home"), a.alias("lam_away")), digits=8)
 
 
