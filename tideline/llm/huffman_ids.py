@@ -34,7 +34,8 @@ DOCS = "docs array<struct<doc_id: {}, place: int, before: long, n: int>>"
 
 
 def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(part, block, first, n, docs, ids): ids and end id of all documents in order, as blocks of little-endian unsigned 32 bits."""
+    """(part, block, first, n, docs, ids, tally): ids and end id of all documents in order, as blocks of little-endian unsigned 32 bits; and
+    from each task a row of part -1 whose tally holds (id, count) pairs of little-endian unsigned 64 bits."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     ordered = by_ranges(docs, 3 * width(spark)).repartition(width(spark), "range")
     ordered = ordered.sortWithinPartitions("range", F.col("doc_id").asc_nulls_last(), "text_hash").select("range", "doc_id", "text")
@@ -44,9 +45,10 @@ def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         coder, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         part, block, first, place, held, parts = None, 0, 0, 0, bytearray(), []
         rows: list[tuple] = []
+        total = np.zeros(len(coder.n_bytes), np.int64)
 
         def close():
-            nonlocal block, first, held, parts
+            nonlocal block, first, held, parts, total
             n = min(len(held) // 4, BLOCK_IDS)
             inside, left, taken = [], [], 0
             for doc_id, at, before, size in parts:
@@ -56,13 +58,15 @@ def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     taken += here
                 if here < size:
                     left.append((doc_id, at, before + here, size - here))
-            rows.append((part, block, first, n, inside, bytes(held[: 4 * n])))
+            ids = bytes(held[: 4 * n])
+            total += np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            rows.append((part, block, first, n, inside, ids, None))
             held, parts, block, first = held[4 * n :], left, block + 1, first + n
 
         def flush(kind_of_id):
             doc = pa.list_(pa.struct([("doc_id", kind_of_id), ("place", pa.int32()), ("before", pa.int64()), ("n", pa.int32())]))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), doc, pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "block", "first", "n", "docs", "ids"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), doc, pa.binary(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "block", "first", "n", "docs", "ids", "tally"])
             rows.clear()
             return out
 
@@ -83,10 +87,12 @@ def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 yield flush(id_type)
         while held:
             close()
-        if rows:
+        used = np.nonzero(total)[0]
+        if len(used):
+            rows.append((-1, 0, 0, 0, [], b"", np.stack([used, total[used]], axis=1).astype("<u8").tobytes()))
             yield flush(id_type)
 
-    return ordered.mapInArrow(run, f"part int, block int, first long, n int, {DOCS.format(kind)}, ids binary")
+    return ordered.mapInArrow(run, f"part int, block int, first long, n int, {DOCS.format(kind)}, ids binary, tally binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -176,16 +182,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     small_batches(spark, 64)
 
     def tally(batches):
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column("ids").to_pylist():
-                found = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+            for pairs in b.column("tally").to_pylist():
+                found = np.frombuffer(pairs, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["id", "n"])
 
-    counts = raw.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
+    counts = raw.where("part = -1").select("tally").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary
+    raw = raw.where("part >= 0").drop("tally")
     ids = counts["id"].to_numpy(np.int64)
     code = Code(ids, code_lengths(counts["n"].to_numpy(np.int64)))
     table = pd.DataFrame({"id": code.ids, "bits": code.bits.astype(np.int32)})
