@@ -83,12 +83,6 @@ def test_unreadable_probabilities_fail(spark):
         Z.normalize_probability_rows(bad, ["a", "b", "c"]).collect()
 
 
-def test_table_rows(spark):
-    html = "<table><tr><th>a</th><th><b>b</b> c</th></tr><tr><td>1</td><td>2<br>3</td></tr></table><p>x</p>"
-    got = [(r.row_no, r.cells) for r in Y.html_tables(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("row_no").collect()]
-    assert got == [(0, ["a", "b c"]), (1, ["1", "23"])]
-
-
 def test_elo_equals_the_fold_for_any_segment_size(spark):
     rng = random.Random(4)
     rows = []
