@@ -454,12 +454,14 @@ def game_batting(records: DataFrame, keys: Sequence[str], player: str, counters:
 
 # Event words in order of precedence and the counters each kind adds to.
 EVENT_KINDS = (
-    ("hr", ("本塁打", "ホームラン"), ("hr", "h", "ab", "pa")), ("double", ("二塁打",), ("doubles", "h", "ab", "pa")), ("triple", ("三塁打",), ("triples", "h", "ab", "pa")),
-    ("walk", ("四球", "死球"), ("pa",)), ("strikeout", ("三振",), ("so", "ab", "pa")), ("bunt", ("犠打", "バント"), ("sh", "pa")), ("sac_fly", ("犠飛",), ("sf", "pa")),
-    ("gidp", ("併殺",), ("gidp", "ab", "pa")), ("error", ("失策",), ("errors", "ab", "pa")), ("single", ("安打", "単打"), ("h", "ab", "pa")), ("groundout", ("ゴロ",), ("groundout", "ab", "pa")),
+    ("hr", ("本塁打", "ホームラン"), ("hr", "h", "ab", "pa", "power_events", "contact_events")),
+    ("double", ("二塁打",), ("doubles", "h", "ab", "pa", "power_events", "contact_events")),
+    ("triple", ("三塁打",), ("triples", "h", "ab", "pa", "power_events", "contact_events")),
+    ("walk", ("四球", "死球"), ("pa",)), ("strikeout", ("三振",), ("so", "ab", "pa")), ("bunt", ("犠打", "バント"), ("sh", "bunt", "pa")), ("sac_fly", ("犠飛",), ("sf", "pa")),
+    ("gidp", ("併殺",), ("gidp", "ab", "pa")), ("error", ("失策",), ("errors", "ab", "pa")), ("single", ("安打", "単打"), ("h", "ab", "pa", "contact_events")), ("groundout", ("ゴロ",), ("groundout", "ab", "pa")),
     ("flyout", ("フライ",), ("flyout", "ab", "pa")), ("lineout", ("ライナー",), ("lineout", "ab", "pa")),
 )
-COUNTERS = ("pa", "ab", "h", "hr", "doubles", "triples", "bb", "hbp", "so", "sh", "sf", "gidp", "errors", "groundout", "flyout", "lineout", "sb", "cs", "rbi")
+COUNTERS = ("pa", "ab", "h", "hr", "doubles", "triples", "bb", "hbp", "so", "sh", "sf", "gidp", "errors", "groundout", "flyout", "lineout", "sb", "cs", "rbi", "bunt", "power_events", "contact_events")
 
 
 def event_kind(text: Column) -> Column:
@@ -471,7 +473,7 @@ def event_kind(text: Column) -> Column:
 
 
 def player_game_counters(events: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """Counters per key from event texts; a text without a known kind adds nothing."""
+    """Counters per key from event texts; a text without a known kind adds nothing, and plate appearances are never fewer than their parts."""
     t, k = F.col(text), F.col("_k")
     adds = {c: [kind for kind, _, cs in EVENT_KINDS if c in cs] for c in COUNTERS}
     cond = {c: k.isin(*kinds) for c, kinds in adds.items() if kinds}
@@ -480,4 +482,5 @@ def player_game_counters(events: DataFrame, text: str, keys: Sequence[str]) -> D
     cond["cs"] = F.contains(t, F.lit("盗塁死"))
     cond["sb"] = F.contains(t, F.lit("盗塁")) & ~cond["cs"]
     known = events.withColumn("_k", event_kind(t)).filter(k.isNotNull())
-    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"), *[F.sum(cond[c].cast("int")).alias(c) for c in COUNTERS])
+    out = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"), *[F.sum(cond[c].cast("int")).alias(c) for c in COUNTERS])
+    return out.withColumn("pa", F.greatest("pa", "ab", "bb", "hbp", "sf", "sh"))

@@ -307,11 +307,28 @@ def _(v: Views):
 
 
 TXT = ("本塁打 打点2", "右中間二塁打", "三塁打", "四球", "死球", "空振り三振", "犠打", "犠飛 RBI", "併殺打", "失策", "中前安打", "ゴロ", "フライ", "ライナー", "盗塁", "安打 盗塁", "安打 盗塁死")
-GOT = {0: "hr h ab pa rbi", 1: "doubles h ab pa", 2: "triples h ab pa", 3: "pa bb", 4: "pa hbp", 5: "so ab pa", 6: "sh pa", 7: "sf pa rbi", 8: "gidp ab pa", 9: "errors ab pa", 10: "h ab pa", 11: "groundout ab pa", 12: "flyout ab pa", 13: "lineout ab pa", 15: "h ab pa sb", 16: "h ab pa cs"}
+GOT = {
+    0: ("hr", "h", "ab", "pa", "rbi", "power_events", "contact_events"),
+    1: ("doubles", "h", "ab", "pa", "power_events", "contact_events"),
+    2: ("triples", "h", "ab", "pa", "power_events", "contact_events"),
+    3: ("pa", "bb"),
+    4: ("pa", "hbp"),
+    5: ("so", "ab", "pa"),
+    6: ("sh", "bunt", "pa"),
+    7: ("sf", "pa", "rbi"),
+    8: ("gidp", "ab", "pa"),
+    9: ("errors", "ab", "pa"),
+    10: ("h", "ab", "pa", "contact_events"),
+    11: ("groundout", "ab", "pa"),
+    12: ("flyout", "ab", "pa"),
+    13: ("lineout", "ab", "pa"),
+    15: ("h", "ab", "pa", "sb", "contact_events"),
+    16: ("h", "ab", "pa", "cs", "contact_events"),
+}
 
 
 @register("a6_player_game_counters", "SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'H' ELSE 'A' END AS side, count(*) AS event_count, " + ", ".join(
-    f"CAST(SUM(CASE WHEN event_id % 17 IN ({', '.join(str(k) for k, s in GOT.items() if c in s.split())}) THEN 1 ELSE 0 END) AS BIGINT) AS {c}" for c in N.COUNTERS) + " FROM events WHERE event_id % 17 <> 14 GROUP BY ALL")
+    f"CAST(SUM(CASE WHEN event_id % 17 IN ({', '.join(str(k) for k, s in GOT.items() if c in s)}) THEN 1 ELSE 0 END) AS BIGINT) AS {c}" for c in N.COUNTERS) + " FROM events WHERE event_id % 17 <> 14 GROUP BY ALL")
 def _(v: Views):
     text = F.element_at(F.array(*[F.lit(t) for t in TXT]), (F.col("event_id") % 17 + 1).cast("int"))
     e = v.table("events").select("user_id", F.expr("CASE WHEN event_id % 2 = 0 THEN 'H' ELSE 'A' END").alias("side"), text.alias("text"))
