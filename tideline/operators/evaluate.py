@@ -391,20 +391,46 @@ def error_attribution(df: DataFrame, signals: Mapping[str, Column]) -> DataFrame
 
 
 # The promotion policy.
-GATE_POLICY = {"min_rows": 200, "min_relative_log_loss": 0.03, "min_relative_brier": 0.01, "accuracy_target": 0.80}
+GATE_POLICY = {"min_rows": 200, "min_relative_log_loss": 0.03, "min_relative_brier": 0.01, "accuracy_target": 0.80, "max_accuracy_regression": 0.005}
 
 
-def candidate_gate(df: DataFrame, policy: Mapping[str, float] = GATE_POLICY) -> DataFrame:
-    """Promotion verdict per candidate row ``(rows, base_*, cand_*)`` with the reasons that block it; NULL metrics block."""
+# Bounds on the further evidence of a candidate.
+EVIDENCE_POLICY = {"min_windows": 2, "min_ci_lower": 0.0, "min_positive_probability": 0.95, "min_periods": 2, "min_non_worse_fraction": 0.70,
+                   "max_log_loss_regression": 0.005, "max_brier_regression": 0.005, "max_score_mae_regression": 0.0}
+
+
+def candidate_gate(df: DataFrame, policy: Mapping[str, float] = GATE_POLICY, evidence: Sequence[str] = (),
+                   bounds: Mapping[str, float] = EVIDENCE_POLICY) -> DataFrame:
+    """Promotion verdict per candidate row ``(rows, base_*, cand_*)`` with the reasons that block it; NULL metrics block.
+
+    ``evidence`` names further groups that must hold, each failing closed on NULL: ``rows`` (base_rows), ``windows`` (validation_windows),
+    ``calibration`` (calibration_ok), ``pit`` (development_pit_ok, holdout_pit_ok), ``uncertainty`` (ci_lower, p_positive), ``periods``
+    (periods, non_worse_periods), ``regression`` (tolerances on log loss and Brier) and ``score`` (base_score_mae, cand_score_mae).
+    """
     rel = lambda m: ratio(F.col(f"base_{m}") - F.col(f"cand_{m}"), F.col(f"base_{m}"))
     missing = F.lit(False)
     for m in ("log_loss", "brier", "accuracy", "ece"):
         missing = missing | F.col(f"base_{m}").isNull() | F.col(f"cand_{m}").isNull()
+    unless = lambda ok: ~F.coalesce(ok, F.lit(False))
+    more = lambda m: F.col(f"cand_{m}") - F.col(f"base_{m}")
+    further = {
+        "rows": lambda: [("baseline_candidate_row_mismatch", unless(F.col("base_rows") == F.col("rows")))],
+        "windows": lambda: [("insufficient_validation_windows", unless(F.col("validation_windows") >= bounds["min_windows"]))],
+        "calibration": lambda: [("calibration_check_failed", unless(F.col("calibration_ok")))],
+        "pit": lambda: [("development_pit_evidence_not_verified", unless(F.col("development_pit_ok"))), ("holdout_pit_evidence_not_verified", unless(F.col("holdout_pit_ok")))],
+        "uncertainty": lambda: [("improvement_interval_failed", unless(F.col("ci_lower") > bounds["min_ci_lower"])),
+                                ("improvement_probability_failed", unless(F.col("p_positive") >= bounds["min_positive_probability"]))],
+        "periods": lambda: [("insufficient_evaluation_periods", unless(F.col("periods") >= bounds["min_periods"])),
+                            ("too_few_periods_not_worse", unless(F.col("non_worse_periods") >= bounds["min_non_worse_fraction"] * F.col("periods")))],
+        "regression": lambda: [("log_loss_regression", unless(more("log_loss") <= bounds["max_log_loss_regression"])), ("brier_regression", unless(more("brier") <= bounds["max_brier_regression"]))],
+        "score": lambda: [("score_mae_regression", unless(more("score_mae") <= bounds["max_score_mae_regression"]))],
+    }
     why = reasons(
         ("insufficient_locked_holdout_rows", F.col("rows") < policy["min_rows"]), ("non_finite_metric", missing),
         ("log_loss_improvement_too_small", rel("log_loss") < policy["min_relative_log_loss"]),
         ("brier_improvement_too_small", rel("brier") < policy["min_relative_brier"]),
-        ("accuracy_regression", F.col("cand_accuracy") < F.col("base_accuracy")), ("calibration_regression", F.col("cand_ece") > F.col("base_ece")))
+        ("accuracy_regression", F.col("base_accuracy") - F.col("cand_accuracy") > policy["max_accuracy_regression"]), ("calibration_regression", F.col("cand_ece") > F.col("base_ece")),
+        *[rule for name in evidence for rule in further[name]()])
     return df.withColumn("reasons", F.concat_ws(",", why)).withColumn("adopt", F.size(why) == 0)
 
 

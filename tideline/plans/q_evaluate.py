@@ -389,20 +389,35 @@ def _(v: Views):
     return us(out.select("game_id", "primary", "primary_score", "ranking"))
 
 
-GATE = f"""sb AS (SELECT home AS k, avg({NLLSQL.format('q_home', 'q_draw', 'q_away')}) AS bl, avg({NLLSQL.format('p_home', 'p_draw', 'p_away')}) AS cl, avg({BRSQL.format('q_home', 'q_draw', 'q_away')}) AS bb, avg({BRSQL.format('p_home', 'p_draw', 'p_away')}) AS cb,
- avg(CASE WHEN {TOPSQL.format('q_home', 'q_draw', 'q_away')} = y THEN 1 ELSE 0 END) AS ba, avg(CASE WHEN {TOPSQL.format('p_home', 'p_draw', 'p_away')} = y THEN 1 ELSE 0 END) AS ca, count(*) AS n FROM probs WHERE league = 'A' OR home % 2 = 0 GROUP BY 1)"""
+BASE3, CAND3 = ("q_home", "q_draw", "q_away"), ("p_home", "p_draw", "p_away")
+GATE = f"""ro AS (SELECT home AS k, year(ts) AS yr, {NLLSQL.format(*BASE3)} AS bl, {NLLSQL.format(*CAND3)} AS cl, {BRSQL.format(*BASE3)} AS bb, {BRSQL.format(*CAND3)} AS cb,
+ CASE WHEN {TOPSQL.format(*BASE3)} = y THEN 1 ELSE 0 END AS ba, CASE WHEN {TOPSQL.format(*CAND3)} = y THEN 1 ELSE 0 END AS ca, GREATEST(q_home, q_draw, q_away) AS bt, GREATEST(p_home, p_draw, p_away) AS ct FROM probs),
+pe AS (SELECT k, count(*) AS periods, SUM(CASE WHEN cl <= bl THEN 1 ELSE 0 END) AS fine FROM (SELECT k, yr, avg(bl) AS bl, avg(cl) AS cl FROM ro GROUP BY ALL) GROUP BY 1),
+sb AS (SELECT k, count(*) AS n, avg(bl) AS bl, avg(cl) AS cl, avg(bb) AS bb, avg(cb) AS cb, avg(ba) AS ba, avg(ca) AS ca, abs(avg(bt) - avg(ba)) AS be, abs(avg(ct) - avg(ca)) AS ce FROM ro GROUP BY 1)"""
 
 
-@register("e37_candidate_gate", f"""WITH {GATE}, r AS (SELECT k, n, concat_ws(',', CASE WHEN n < 200 THEN 'insufficient_locked_holdout_rows' END, CASE WHEN (bl - cl) / bl < 0.03 THEN 'log_loss_improvement_too_small' END, CASE WHEN (bb - cb) / bb < 0.01 THEN 'brier_improvement_too_small' END,
- CASE WHEN ca < ba THEN 'accuracy_regression' END) AS reasons FROM sb) SELECT k AS candidate, n AS rows, reasons, reasons = '' AS adopt FROM r""")
+@register("e37_candidate_gate", f"""WITH {GATE}, r AS (SELECT k, n, concat_ws(',', CASE WHEN n < 200 THEN 'insufficient_locked_holdout_rows' END, CASE WHEN (bl - cl) / bl < 0.03 THEN 'log_loss_improvement_too_small' END,
+ CASE WHEN (bb - cb) / bb < 0.01 THEN 'brier_improvement_too_small' END, CASE WHEN ba - ca > 0.005 THEN 'accuracy_regression' END, CASE WHEN ce > be THEN 'calibration_regression' END,
+ CASE WHEN k % 7 = 0 THEN 'baseline_candidate_row_mismatch' END, CASE WHEN periods < 2 THEN 'insufficient_validation_windows' END, CASE WHEN k % 5 = 0 THEN 'holdout_pit_evidence_not_verified' END,
+ CASE WHEN k % 3 = 0 THEN 'improvement_interval_failed' END, CASE WHEN k % 4 = 0 THEN 'improvement_probability_failed' END,
+ CASE WHEN periods < 2 THEN 'insufficient_evaluation_periods' END, CASE WHEN fine < 0.7 * periods THEN 'too_few_periods_not_worse' END, CASE WHEN cl - bl > 0.005 THEN 'log_loss_regression' END, CASE WHEN cb - bb > 0.005 THEN 'brier_regression' END) AS reasons
+ FROM sb JOIN pe USING (k)) SELECT k AS candidate, n AS rows, reasons, reasons = '' AS adopt FROM r""")
 def _(v: Views):
     y = F.col("y")
     b, c = [F.col(x) for x in M["m2"]], [F.col(x) for x in M["m1"]]
-    rows = v.probs.filter("league = 'A' OR home % 2 = 0").groupBy(F.col("home").alias("candidate")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(P.nll_cols(b, y)).alias("base_log_loss"), F.avg(P.nll_cols(c, y)).alias("cand_log_loss"), F.avg(P.brier_cols(b, y)).alias("base_brier"),
-        F.avg(P.brier_cols(c, y)).alias("cand_brier"), F.avg((A.arg_max_cols(b) == y).cast("int")).alias("base_accuracy"), F.avg((A.arg_max_cols(c) == y).cast("int")).alias("cand_accuracy"),
-        F.lit(0.0).alias("base_ece"), F.lit(0.0).alias("cand_ece"))
-    return E.candidate_gate(rows).select("candidate", "rows", "reasons", "adopt")
+    scored = v.probs.select(
+        F.col("home").alias("candidate"), F.year("ts").alias("year"), P.nll_cols(b, y).alias("bl"), P.nll_cols(c, y).alias("cl"), P.brier_cols(b, y).alias("bb"), P.brier_cols(c, y).alias("cb"),
+        (A.arg_max_cols(b) == y).cast("int").alias("ba"), (A.arg_max_cols(c) == y).cast("int").alias("ca"), F.greatest(*b).alias("bt"), F.greatest(*c).alias("ct"))
+    periods = scored.groupBy("candidate", "year").agg(F.avg("bl").alias("bl"), F.avg("cl").alias("cl")).groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("periods"), F.sum((F.col("cl") <= F.col("bl")).cast("int")).alias("non_worse_periods"))
+    rows = scored.groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.avg(x).alias(n) for x, n in (("bl", "base_log_loss"), ("cl", "cand_log_loss"), ("bb", "base_brier"), ("cb", "cand_brier"), ("ba", "base_accuracy"), ("ca", "cand_accuracy"))],
+        F.abs(F.avg("bt") - F.avg("ba")).alias("base_ece"), F.abs(F.avg("ct") - F.avg("ca")).alias("cand_ece")).join(periods, "candidate")
+    seen = rows.withColumns({
+        "base_rows": F.expr("CASE WHEN candidate % 7 = 0 THEN rows + 1 ELSE rows END"), "validation_windows": F.col("periods"), "development_pit_ok": F.lit(True), "holdout_pit_ok": F.expr("CASE WHEN candidate % 5 > 0 THEN true END"),
+        "ci_lower": F.expr("CASE WHEN candidate % 3 = 0 THEN 0D ELSE 0.1D END"), "p_positive": F.expr("CASE WHEN candidate % 4 = 0 THEN 0.9D ELSE 0.97D END")})
+    out = E.candidate_gate(seen, evidence=("rows", "windows", "pit", "uncertainty", "periods", "regression"))
+    return out.select("candidate", "rows", "reasons", "adopt")
 
 
 @register("e41_revision_value", f"""WITH l AS (SELECT game_id, {NLLSQL.format('q_home', 'q_draw', 'q_away')} AS o, {NLLSQL.format('p_home', 'p_draw', 'p_away')} AS n, (abs(p_home - q_home) + abs(p_draw - q_draw) + abs(p_away - q_away)) / 2 AS s FROM probs)
