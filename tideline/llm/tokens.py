@@ -9,6 +9,8 @@ is full, which costs time and changes no id.
 from __future__ import annotations
 
 import re
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -61,20 +63,26 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set()
+        found, new = [], set()
         for c in cuts:
             del c[0]
-            new.update(c)
+            ids = list(map(known.get, c))
+            if None in ids:
+                new.update(compress(c, map(not_, ids)))
+            found.append(ids)
         unknown = []
         for p in new:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    unknown.append(p)
+            if p in older:
+                known[p] = older[p]
+            else:
+                unknown.append(p)
         if unknown:
             self._learn(unknown)
-        return [h.tobytes() + b"".join(map(known.__getitem__, c)) for h, c in zip(heads, cuts, strict=True)]
+        if new:
+            for c, ids in zip(cuts, found, strict=True):
+                for i in [*compress(count(), map(not_, ids))]:
+                    ids[i] = known[c[i]]
+        return [h.tobytes() + b"".join(ids) for h, ids in zip(heads, found, strict=True)]
 
 
 def encoder(path: str | None = None) -> Encoder:
