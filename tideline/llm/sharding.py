@@ -2,10 +2,12 @@
 
 Groups are equal texts, ordered by a 64-bit hash of the text (texts that collide stay together too). A group larger than an even
 share of what is left takes a shard of its own, in front; the rest is cut into contiguous shards by searching the smallest capacity
-that a greedy pass can keep to. The order is never brought to one place: sizes are summed over hash prefixes (4,096 of them), the
-search on these sums brackets the capacity, and only the prefixes that a cut can fall into for any capacity within the bracket are
-summed again with six more bits, until every one of them is a single group or the bracket is closed. So the result is the optimum
-over single groups, while a round brings the driver some 64 sums for each prefix in question, whatever the data.
+that a greedy pass can keep to. The order is never brought to one place: sizes are summed over hash prefixes (4,096 of them). A
+capacity that a greedy pass over whole prefixes keeps to is enough; one that fails even if prefixes of several groups could be cut
+anywhere is too small. A capacity between is settled by summing again, with six more bits, only prefixes that its own first cuts may
+fall into, one for each shard at most in a round. So the result is the optimum over single groups, a round brings the driver 64 sums for
+each shard at most, and it holds 4,096 and some 1,024 for each shard (sums of settled capacities are given up beyond that), whatever
+the sizes of the groups.
 
 Law `bytes` holds. Slots are numbered in salted runs inside a shard.
 
@@ -54,42 +56,86 @@ def least_capacity(starts: list[int], shards: int, low: int) -> int:
     return low
 
 
-def _sums(groups: DataFrame, bits: int, among: Column | None = None) -> list[tuple[int, int, bool]]:
-    """(first hash, bytes, whether it is one group) of each prefix of `bits` bits, in order."""
-    rows = groups if among is None else groups.where(among)
-    prefix = F.shiftright("_hash", 64 - bits)
-    found = rows.groupBy(prefix.alias("p")).agg(F.sum("size").alias("n"), (F.min("_hash") == F.max("_hash")).alias("one"), F.min("_hash").alias("first"))
-    return sorted((r["first"], r["n"], r["one"]) for r in found.collect())
+def furthest(starts: list[int], one: list[bool], shards: int, capacity: int) -> list[int] | None:
+    """Bytes at which shards begin if units of several groups could be cut anywhere: no cut of single groups gets further.
+    None if even so the shards do not suffice."""
+    cuts, at, n = [], 0, len(starts) - 1
+    for _ in range(shards):
+        cuts.append(at)
+        reach = at + capacity
+        k = bisect_right(starts, reach) - 1
+        if k >= n:
+            return cuts
+        at = max(at, starts[k]) if one[k] else reach
+    return None
+
+
+def proven_least(starts: list[int], one: list[bool], shards: int, low: int, high: int) -> int:
+    """Smallest capacity in low to high that `furthest` does not rule out."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if furthest(starts, one, shards, middle) is not None else (middle + 1, high)
+    return low
+
+
+def in_question(starts: list[int], one: list[bool], shards: int, capacity: int) -> list[int]:
+    """Units of several groups that the first cuts of this capacity may fall into, as many as there are shards at most. Up to
+    the first of them cuts are known, so it is one unit."""
+    found: list[int] = []
+    at, reach, n = 0, 0, len(starts) - 1
+    for _ in range(shards):
+        at = max(at, bisect_right(starts, starts[at] + capacity) - 1)
+        k = bisect_right(starts, reach + capacity) - 1
+        reach = starts[n] if k >= n else max(reach, starts[k]) if one[k] else reach + capacity
+        for u in range(max(at, found[-1] + 1 if found else 0), min(k, n - 1) + 1):
+            if len(found) == shards:
+                return found
+            if not one[u]:
+                found.append(u)
+        if at >= n:
+            break
+    return found
+
+
+def _sums(groups: DataFrame, spans: list[tuple[int | None, int | None, int]]) -> list[tuple[int, int, bool, int]]:
+    """(first hash, bytes, whether it is one group, bits) of each prefix of `bits` bits within spans (from, before, bits), in order."""
+    inside = lambda lo, hi: (F.lit(True) if lo is None else F.col("_hash") >= lo) & (F.lit(True) if hi is None else F.col("_hash") < hi)
+    bits = reduce(lambda x, s: F.when(inside(*s[:2]), s[2]).otherwise(x), spans, F.lit(None).cast("int"))
+    rows = groups.where(reduce(lambda x, y: x | y, [inside(lo, hi) for lo, hi, _ in spans])).withColumn("bits", bits)
+    prefix = F.call_function("shiftright", "_hash", 64 - F.col("bits"))
+    found = rows.groupBy("bits", prefix.alias("p")).agg(F.sum("size").alias("n"), (F.min("_hash") == F.max("_hash")).alias("one"), F.min("_hash").alias("first"))
+    return sorted((r["first"], r["n"], r["one"], r["bits"]) for r in found.collect())
 
 
 def cut_points(groups: DataFrame, shards: int, largest: int) -> list[int]:
     """First hash of each shard but the first, over groups (_hash, size) ordered by hash."""
-    bits, units = FIRST_BITS, _sums(groups, FIRST_BITS)
+    coarse = units = _sums(groups, [(None, None, FIRST_BITS)])
+    most = len(coarse) + 16 * shards * 2**MORE_BITS
+    low, high, tried, cuts = 0, None, None, []
     while True:
-        starts = [0, *accumulate(n for _, n, _ in units)]
-        low = max(-(-starts[-1] // shards), largest)
-        high = least_capacity(starts, shards, low)
-        windows: list[list[int]] = []  # units, from the first to the last, that a cut may fall into
-        at, reach, split = 0, 0, False
-        for _ in range(shards - 1):  # from what the least capacity reaches to what the largest could
-            at = max(at, bisect_right(starts, starts[at] + low) - 1)
-            reach += high
-            last = min(bisect_right(starts, reach), len(units)) - 1
-            if at > last:
+        starts, one = [0, *accumulate(u[1] for u in units)], [u[2] for u in units]
+        low = max(low, -(-starts[-1] // shards), largest)
+        kept_to = least_capacity(starts, shards, low)
+        if high is None or kept_to < high:
+            high, cuts = kept_to, [units[k][0] for k in greedy(starts, shards, kept_to)[1:]]
+        low = proven_least(starts, one, shards, low, high)
+        if low >= high:
+            return cuts
+        if tried is None or not low <= tried < high:  # the last one is settled
+            tried = (low + high) // 2
+            if len(units) > most:
+                units = coarse
                 continue
-            split |= not all(one for _, _, one in units[at : last + 1])
-            if windows and at <= windows[-1][1] + 1:
-                windows[-1][1] = max(last, windows[-1][1])
-            else:
-                windows.append([at, last])
-        if not split or low == high or bits >= 60:
-            return [units[k][0] for k in greedy(starts, shards, high)[1:]]
-        ends = [u[0] for u in units[1:]] + [None]
-        inside = lambda a, b: (F.col("_hash") >= units[a][0]) & (F.lit(True) if ends[b] is None else F.col("_hash") < ends[b])  # noqa: B023, E731
-        bits = min(60, bits + MORE_BITS)
-        finer = _sums(groups, bits, reduce(lambda x, y: x | y, [inside(a, b) for a, b in windows]))  # fewer windows than shards
-        again = {k for a, b in windows for k in range(a, b + 1)}
-        units = sorted([u for k, u in enumerate(units) if k not in again] + finer)
+        spans: list[tuple[int | None, int | None, int]] = []
+        again = in_question(starts, one, shards, tried)
+        for k in again:
+            lo, hi, bits = units[k][0], units[k + 1][0] if k + 1 < len(units) else None, min(64, units[k][3] + MORE_BITS)
+            if spans and spans[-1][1:] == (lo, bits):
+                lo = spans.pop()[0]
+            spans.append((lo, hi, bits))
+        finer = _sums(groups, spans)
+        gone = set(again)
+        units = sorted([u for k, u in enumerate(units) if k not in gone] + finer)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
