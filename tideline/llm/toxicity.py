@@ -5,7 +5,8 @@ character is a step of a lattice with the letters it may stand for (itself, a lo
 or two for a run of equal ones), each at a cost. Viterbi search over that lattice under a character trigram model finds the
 likeliest spelling. The model is counted over the words of all documents (hashed counts, so its size is fixed and its counts
 grow with the corpus). Then the restored words are scored with a lexicon learned from labelled rows: words and beginnings of words
-whose share of toxic documents cannot be chance (Poisson tail times the number tried under one half), and a logistic fit on a
+at least twice as frequent in toxic as in clean documents where that cannot be chance (binomial tail times the number tried under
+one half), whatever the share of toxic documents, and a logistic fit on a
 document's hits.
 
 Three passes read the documents and none shuffles a text: character counts and word counts are summed inside a task first, the
@@ -275,11 +276,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 
     tried = stage(rows.mapInArrow(seen, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("clean + bad > 2"), "words")
     n_tried = tried.count()
-    kept = tried.where(F.col("bad") > 2 * model["base"] * (F.col("clean") + F.col("bad"))).where("bad > 2").toPandas()  # a few words in a thousand of a bounded sample
+    kept = tried.where(F.col("bad") * size[0] > 2 * F.col("clean") * size[1]).where("bad > 2").toPandas()  # a few words in a thousand of a bounded sample
     for word, clean, bad in kept.itertuples(index=False):
-        expected = model["base"] * (clean + bad)
-        tail = math.exp(min(0.0, bad - expected + bad * math.log(expected / bad)))  # Chernoff bound of the Poisson tail
-        if tail * n_tried < 0.5:
+        if chance(bad, clean, model["base"]) * n_tried < 0.5:
             model["lexicon"][word] = math.log((bad + 0.5) / (size[1] + 1)) - math.log((clean + 0.5) / (size[0] + 1))
     lexicon = model["lexicon"]
 
@@ -297,6 +296,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     return model
 
 
+def chance(bad: int, clean: int, base: float) -> float:
+    """Chernoff bound of the chance that of bad + clean documents at least `bad` are toxic, if each is with probability `base`."""
+    share = bad / (bad + clean)
+    if share <= base:
+        return 1.0
+    return math.exp(-bad * math.log(share / base) - (clean * math.log((1 - share) / (1 - base)) if clean else 0.0))
+
+
 def features(hits: list[tuple[str, float]]) -> tuple[float, float]:
     """Summed weight of distinct hits (to a tenth, at most 40) and log of the number of hits."""
     return round(min(40.0, sum(dict(hits).values())), 1), round(math.log1p(len(hits)), 2)
