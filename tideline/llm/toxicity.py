@@ -4,7 +4,8 @@ Disguised words ("1d10t", "s.t.u.p.i.d", "stuuupid", "l o s e r") are read as th
 character is a step of a lattice with the letters it may stand for (itself, a look-alike, nothing for a separator, one letter
 or two for a run of equal ones), each at a cost. Viterbi search over that lattice under a character trigram model finds the
 likeliest spelling. The model is counted over the words of all documents (hashed counts, so its size is fixed and its counts
-grow with the corpus). Then the restored words are scored with a lexicon learned from labelled rows: words and beginnings of words
+grow with the corpus). A run of single characters or of short groups of letters is one lattice in which a blank is nothing or a word
+end, so "a l o s e r", "i d i o t s a r e" and "id iot" come apart where the model says. Then the restored words are scored with a lexicon learned from labelled rows: words and beginnings of words
 at least twice as frequent in toxic as in clean documents where that cannot be chance (binomial tail times the number tried under
 one half), whatever the share of toxic documents, and a logistic fit on a
 document's hits.
@@ -47,6 +48,11 @@ _RUN = re.compile(r"(.)\1\1")
 #: Marks of one kind, two or more in a row, at either end of a token: emphasis, not letters.
 _TAIL = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 REMEMBERED = 150_000
+#: Letters of a token that may be part of a spaced word, and of such a word; parts of a word cut into groups.
+PART, SPACED, GROUPS = 3, 24, 3
+#: Cost of a blank that is no word end, between groups of letters (GAP_COST between single ones); tokens of two or three letters
+#: that cost at most ORDINARY are words of their own.
+BLANK_COST, ORDINARY = 6.0, 5.5
 
 
 def slots(chars: np.ndarray, n: int) -> np.ndarray:
@@ -144,6 +150,10 @@ class Decoder:
         return steps
 
     def decode(self, token: str) -> str:
+        return self.best(token)[1]
+
+    def best(self, token: str) -> tuple[float, str]:
+        """Cost and letters of the cheapest path, with its end mark."""
         paths = {"\x00\x01": (0.0, None)}  # last two characters: cost and chain of letters
         for step in self.lattice(token):
             ahead: dict[str, tuple] = {}
@@ -156,12 +166,19 @@ class Decoder:
                     if s not in ahead or total < ahead[s][0]:
                         ahead[s] = (total, (chain, letters) if letters else chain)
             paths = ahead
-        _, chain = min(((cost + self._cost(s, "\x02"), chain) for s, (cost, chain) in paths.items()), key=lambda x: x[0])
+        total, chain = min(((cost + self._cost(s, "\x02"), chain) for s, (cost, chain) in paths.items()), key=lambda x: x[0])
         out = []
         while chain:
             chain, letters = chain
             out.append(letters)
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
+
+    def word_cost(self, word: str) -> float:
+        """Cost of a piece of text as one word, as it stands or restored."""
+        if not word.isalpha() or _RUN.search(word):
+            return self.best(word)[0]
+        marked = "\x00\x01" + word + "\x02"
+        return sum(self._cost(marked[i : i + 2], marked[i + 2]) for i in range(len(word) + 1))
 
 
 def disguised(token: str) -> bool:
@@ -177,6 +194,7 @@ class Reader:
 
     def __init__(self, counts: np.ndarray):
         self.decoder, self.known, self.weights = Decoder(counts), {}, {}
+        self.parts, self.runs, self.costs = {}, {}, {}
 
     def restore(self, token: str) -> str:
         core = token.strip(EDGE)
@@ -192,9 +210,18 @@ class Reader:
 
     def words(self, text: str) -> list[str]:
         tokens = text.lower().split()
-        single = [i for i, w in enumerate(tokens) if len(w) == 1 or (len(w) == 2 and w[1] in GAPS)]
-        if len(single) > 2:
-            tokens = self._joined(tokens, single)
+        if len(self.parts) > REMEMBERED // 4:
+            self.parts = {}
+        parts = self.parts
+        short = []
+        for i, w in enumerate(tokens):
+            if len(w) <= PART + 1:
+                if w not in parts:
+                    parts[w] = self.part(w)
+                if parts[w]:
+                    short.append(i)
+        if len(short) > 1:
+            tokens = self._joined(tokens, short)
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
@@ -203,6 +230,15 @@ class Reader:
                 known[w] = self.restore(w)
         return [known[w] for w in tokens]
 
+    def part(self, token: str) -> str:
+        """What a token adds to a word spaced out: one character, or two or three letters that are no common word; else nothing."""
+        if len(token) == 1 or (len(token) == 2 and token[1] in GAPS):
+            return token[0]
+        core = token.rstrip(EDGE)
+        if len(core) == 1 and (core.isalpha() or core in LOOKS):
+            return core
+        return core if core.isalpha() and len(core) <= PART and self.decoder.word_cost(core) > ORDINARY else ""
+
     def hits(self, text: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
         """(restored word, weight) of each word that the lexicon knows, by itself or by how it begins."""
         if len(self.weights) > REMEMBERED:
@@ -213,21 +249,74 @@ class Reader:
                 weights[w] = max((lexicon.get(u, 0.0) for u in forms(w)), default=0.0)
         return [(w, weights[w]) for w in words if weights[w]]
 
-    @staticmethod
-    def _joined(tokens: list[str], single: list[int]) -> list[str]:
-        """Runs of three or more single characters in a row become one token."""
+    def _joined(self, tokens: list[str], short: list[int]) -> list[str]:
+        """Runs of two or more parts in a row become the words of their cheapest reading."""
         out, at, k = [], 0, 0
-        while k < len(single):
+        while k < len(short):
             n = 1
-            while k + n < len(single) and single[k + n] == single[k] + n:
+            while k + n < len(short) and short[k + n] == short[k] + n:
                 n += 1
-            if n > 2:
-                out += tokens[at : single[k]]
-                out.append("".join(w[0] for w in tokens[single[k] : single[k] + n]))
-                at = single[k] + n
+            if n > 1:
+                run = tuple(tokens[short[k] : short[k] + n])
+                if len(self.runs) > REMEMBERED // 8:
+                    self.runs = {}
+                if n > SPACED:
+                    read = self.segment(run)
+                else:
+                    read = self.runs[run] = self.runs.get(run) or self.segment(run)
+                out += tokens[at : short[k]]
+                out += read
+                at = short[k] + n
             k += n
         return out + tokens[at:]
 
+    def segment(self, run: tuple[str, ...]) -> list[str]:
+        """Cheapest reading of a run of parts: Viterbi over the lattice in which a blank is nothing or a word end."""
+        parts = [self.parts[w] if w in self.parts else self.part(w) for w in run]
+        best: list[tuple[float, int]] = [(0.0, 0), *[(math.inf, 0)] * len(parts)]
+        for i in range(len(parts)):
+            piece, state, cost, plain = "", "\x00\x01", best[i][0], True
+            blanks = 0.0
+            for j in range(i, len(parts)):
+                if piece:
+                    if len(piece) + len(parts[j]) > SPACED or (j - i >= GROUPS and len(piece) + len(parts[j]) > j - i + 1):
+                        break
+                    blanks += GAP_COST if len(parts[j - 1]) == len(parts[j]) == 1 else BLANK_COST
+                piece += parts[j]
+                plain = plain and parts[j].isalpha() and not (len(piece) > 2 and _RUN.search(piece))
+                if plain:
+                    more, end = self.going_on(state, parts[j])
+                    cost, state = cost + more, (state + parts[j])[-2:]
+                    total = cost + blanks + end
+                elif j == i or piece.isalpha() or disguised(piece):
+                    total = best[i][0] + blanks + self.cost_of(piece)
+                else:
+                    continue
+                if total < best[j + 1][0]:
+                    best[j + 1] = (total, i)
+        out, j = [], len(parts)
+        while j:
+            i = best[j][1]
+            out.append(run[i] if j - i == 1 else "".join(parts[i:j]))
+            j = i
+        return out[::-1]
+
+    def going_on(self, state: str, part: str) -> tuple[float, float]:
+        """Cost of the letters of a part after two characters, and of a word end then."""
+        key = (state, part)
+        if key not in self.costs:
+            marked = state + part + "\x02"
+            steps = [self.decoder._cost(marked[i : i + 2], marked[i + 2]) for i in range(len(part) + 1)]
+            self.costs[key] = (sum(steps[:-1]), steps[-1])
+        return self.costs[key]
+
+    def cost_of(self, piece: str) -> float:
+        if len(self.costs) > REMEMBERED // 4:
+            self.costs = {}
+        if piece not in self.costs:
+            self.costs[piece] = self.decoder.word_cost(piece)
+        return self.costs[piece]
+
 
 def forms(word: str) -> list[str]:
     """What the lexicon may know of a word: itself and its beginnings of 4 to 6 letters."""
