@@ -3,7 +3,8 @@
 Lengths are at most the capacity (2,048), so the instance is a histogram with at most 2,048 rows however many documents there
 are; that histogram is all the driver sees. On it, sizes are taken in falling order and the small sets that provably dominate
 every other way to fill a bin with that size are fixed for good (Martello and Toth's criterion): a size nothing fits beside; a
-pair that fills the bin, or whose partner is the largest that fits and weighs at least any other two that fit together. What
+pair that fills the bin; and where no three others fit beside the size, a pair whose partner is the largest that fits and weighs at
+least any two that fit together, or the triple of the largest that fits and the best other if no two above that other fit. What
 is left is packed best-fit decreasing, a whole class of equal sizes at a time: bins that look alike are one group with a count,
 so groups grow with the capacity, not with the data. The plan comes back as runs of bins for ranges of ranks within a size, and
 each piece finds its place from its size and its rank among equal sizes (numbered in salted runs, no global sort).
@@ -71,14 +72,32 @@ def dominated(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
             if not fits:
                 fix((s,), count[s] if s > room else 1)
                 continue
-            best = fits[-1]
-            if best < room and _best_pair(fits, {k: count[k] - (k == s) for k in fits}, room) > best:
-                break  # some two others may be worth more than the best partner: left to best fit
-            times = count[s] // 2 if best == s else min(count[s], count[best])
-            fix((s, best), times)
+            best, beside = fits[-1], {k: count[k] - (k == s) for k in fits}
+            if best < room and len(three := _smallest(fits, beside, 3)) == 3 and sum(three) <= room:
+                break  # three others fit: their worth is not compared, so this size is left to best fit
+            pair = _best_pair(fits, beside, room) if best < room else 0
+            if pair <= best:
+                chosen = (s, best)
+            else:
+                third = pair - best
+                above = _smallest([k for k in fits if k > third], beside, 2)
+                if not beside.get(third, 0) > (third == best) or (len(above) == 2 and sum(above) <= room):
+                    break  # some other two are not dominated: left to best fit
+                chosen = (s, best, third)
+            fix(chosen, min(count[k] // chosen.count(k) for k in chosen))
     return fixed
 
 
+def _smallest(sizes: list[int], count: dict[int, int], n: int) -> list[int]:
+    """The n smallest items of rising sizes, fewer if there are not so many."""
+    out: list[int] = []
+    for k in sizes:
+        out += [k] * min(count[k], n - len(out))
+        if len(out) == n:
+            break
+    return out
+
+
 def _best_pair(sizes: list[int], count: dict[int, int], room: int) -> int:
     """Largest sum of two of the sizes within room; 0 if no two fit."""
     i, j, best = 0, len(sizes) - 1, 0
