@@ -24,9 +24,11 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: a row may be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices of few rows, whatever the session's batch size: a row may be a very long text."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def width(spark: SparkSession) -> int:

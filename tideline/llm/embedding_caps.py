@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import components, forest, small_batches, stage, width
+from tideline.llm.common import components, forest, slices, stage, width
 
 COSINE = 0.93
 CODES, BLOCKS, WORDS, THRESHOLD, FEWEST, SEED = 4, 3, 12, 2.7, 8, 11
@@ -92,11 +92,10 @@ def component_type(vectors: DataFrame) -> str:
 def filtered(distinct: DataFrame) -> DataFrame:
     """(label, dims, filter, node, times, vector, filters) for each direction that a vector exceeds."""
     kind, kept = distinct.schema["label"].dataType.simpleString(), component_type(distinct)
-    small_batches(distinct.sparkSession, 2000)
 
     def run(batches):
         codes: dict[int, list] = {}
-        for b in batches:
+        for b in slices(batches, 2000):
             lists = b.column("embedding")
             lengths = np.diff(lists.offsets.to_numpy())
             flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
@@ -155,7 +154,6 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     key = ["label", "dims", "filter", "a", "b"]
     spread = dealt.withColumn("cell", F.explode(cells)).select("label", "dims", "filter", "cell.a", "cell.b", "chunk", "node", "times", "vector", "filters")
     spread = spread.repartition(parts, *key).sortWithinPartitions(*key)
-    small_batches(spark, 2000)
 
     def run(batches):
         held, name = [], None
@@ -171,7 +169,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
                 none = np.zeros(len(i), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], node[i]])), pa.array(np.concatenate([node[some], node[j]])), pa.array(np.concatenate([n[some], none]))], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in slices(batches, 2000):
             columns = [batch.column(c).to_pylist() for c in (*key, "chunk", "node", "times", "vector", "filters")]
             for *k, chunk, node, times, vector, filters in zip(*columns, strict=True):
                 if k != name:

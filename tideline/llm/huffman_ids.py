@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import by_ranges, small_batches, stage, texts, width
+from tideline.llm.common import by_ranges, slices, stage, texts, width
 from tideline.llm.tokens import END_ID, encoder
 
 BLOCK_IDS, STRIDE = 65_536, 256
@@ -39,13 +39,12 @@ def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     ordered = by_ranges(docs, 3 * width(spark)).repartition(width(spark), "range")
     ordered = ordered.sortWithinPartitions("range", F.col("doc_id").asc_nulls_last(), "text_hash").select("range", "doc_id", "text")
-    small_batches(spark)
 
     def run(batches):
         coder, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         part, block, first, place, held, parts = None, 0, 0, 0, bytearray(), []
         rows: list[tuple] = []
-        total = np.zeros(len(coder.n_bytes), np.int64)
+        total = np.zeros(coder.ids, np.int64)
 
         def close():
             nonlocal block, first, held, parts, total
@@ -71,7 +70,7 @@ def raw_blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             return out
 
         id_type = None
-        for b in batches:
+        for b in slices(batches):
             id_type = b.schema.field("doc_id").type
             for at, doc_id, ids in zip(b.column("range").to_pylist(), b.column("doc_id").to_pylist(), coder.encode(texts(b)), strict=True):
                 if at != part:
@@ -179,10 +178,9 @@ class Code:
 def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     spark = docs.sparkSession
     raw = stage(raw_blocks(docs, vocabulary), "raw-ids", compression="zstd")
-    small_batches(spark, 64)
 
     def tally(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             for pairs in b.column("tally").to_pylist():
                 found = np.frombuffer(pairs, "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["id", "n"])
@@ -196,7 +194,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     head = ["part", "block", "first", "n", "docs"]
 
     def pack(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             done = [code.pack(np.frombuffer(i, "<u4").astype(np.int64)) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in head), *(pa.array(c, pa.binary()) for c in (zip(*done, strict=True) if done else ([], [])))], [*head, "payload", "checkpoints"])
 
@@ -241,13 +239,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     code = Code(table["id"].to_numpy(np.int64), table["bits"].to_numpy(np.int64))
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    small_batches(spark, 32)
     names = ["part", "place", "doc_id", "before", "at", "n", "crc"]
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 32):
             part, first, n, docs, payload, checkpoints = (b.column(c).to_pylist() for c in ("part", "first", "n", "docs", "payload", "checkpoints"))
             rows = []
             for p, f, inside, ids in zip(part, first, docs, code.unpack(list(zip(payload, checkpoints, n, strict=True))), strict=True):

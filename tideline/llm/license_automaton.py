@@ -18,7 +18,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import small_batches
+from tideline.llm.common import slices
 
 #: Phrases whose words, standing consecutively, name a license (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -164,14 +164,13 @@ class Scanner:
 
 def scan(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every row; options as for Scanner."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
 
     def run(batches):
         scanner = Scanner(**options)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 r = scanner.scan(t or "")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import numbered, small_batches, stage, texts
+from tideline.llm.common import numbered, slices, stage, texts
 from tideline.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -31,12 +31,11 @@ CAPACITY = 2048
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids and end id of each document, cut so that only the first piece is short."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         coder, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, got in enumerate(coder.encode(texts(b))):
                 ids = memoryview(got + end)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import embedding_caps, huffman_ids, license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, winnowing
+from tideline.llm import conversation_repair, embedding_caps, harmonic, huffman_ids, license_automaton, mixing, packing, sharding, simhash_gray, toxicity, unit_dedup, vector_codes, winnowing
 from tideline.llm.common import stage
 from tideline.session import configure, scratch_path
 
@@ -60,8 +60,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
+@query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -90,3 +92,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "huffman")
     huffman_ids.write(table(spark, sf_dir, "documents"), path)
     return huffman_ids.read(spark, path)
+
+
+@query("op13_vector_codes", vector_codes.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks, _ = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    named = F.lit(vector_codes.digest(codebooks[-1] if codebooks else None))
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", named.alias("codebooks_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows)
+
+
+@query("op11_harmonic_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack(table(spark, sf_dir, "documents"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, blob, components, forest, small_batches, stage, texts, width
+from tideline.llm.common import LOWER, blob, components, forest, slices, stage, texts, width
 
 BLOCK, NODE, LEAF = 16_384, 512, 16
 SEED = 42
@@ -54,10 +54,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp) of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(shingle_hashes(t, k)) for t in texts(b)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
@@ -171,10 +170,9 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     pairs = stage(pairs.select("a", F.col("block").alias("b")), "pairs")
     load = lambda c: tree.select(F.col("block").alias(c), F.col("packed").alias(f"p{c}"))
     loaded = pairs.join(load("a"), "a").join(load("b"), "b").repartition(parts, "a", "b")
-    small_batches(spark, 16)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 16):
             for a, b, pa_, pb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
                 x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb, np.uint64)
                 n, shift = len(x), 0 if a == b else len(x)

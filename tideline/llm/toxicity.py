@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small_batches, stage, text_of, texts
+from tideline.llm.common import slices, stage, text_of, texts
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -81,7 +81,6 @@ def word_codes(words: list[str]) -> list[np.ndarray]:
 
 def count_characters(docs: DataFrame) -> np.ndarray:
     """Hashed counts of the 1- to 3-grams of all alphabetic words of all documents, by their number of occurrences."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         total, words = np.zeros(BUCKETS, np.float64), Counter()
@@ -94,7 +93,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
                     total[:] += np.bincount(at.ravel(), np.repeat(times, at.shape[1]), BUCKETS)
             words.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for t in texts(b):
                 words.update(w.strip(EDGE) for w in t.lower().split())
             if len(words) > REMEMBERED:
@@ -357,7 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 
     def seen(batches):
         found = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
                 found[toxic].update({u for w in set(reader(name, shared.value).words(t)) for u in forms(w)})
         words = list(found[0].keys() | found[1].keys())
@@ -373,7 +372,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 
     def hits(batches):
         tally = Counter()
-        for b in batches:
+        for b in slices(batches):
             for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
                 tally[(toxic, *features(reader(name, shared.value).hits(t, lexicon)))] += 1
         columns = zip(*((*k, n) for k, n in tally.items()), strict=True) if tally else [[]] * 4
@@ -411,7 +410,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from `threshold` on)."""
-    small_batches(docs.sparkSession)
     model = learn(docs, labels, train_rows)
     shared, name, lexicon, fit, base = model["counts"], model["name"], model["lexicon"], model["fit"], model["base"]
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small_batches, stage, text_of, texts
+from tideline.llm.common import slices, stage, text_of, texts
 
 MIN_WORDS = 8
 #: A sentence: what comes before closing marks or a line end, these, and the white space after; or the rest of the text.
@@ -50,11 +50,10 @@ def units(text: str, min_words: int = MIN_WORDS):
 
 def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _cut_text, high, low, start, end) of every unit; _cut_text is the hash of the text."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             row, start, end, digest = [], [], [], []
             for i, text in enumerate(texts(b)):
                 for unit, lo, hi in units(text, min_words):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import by_ranges, small_batches, width
+from tideline.llm.common import by_ranges, slices, width
 
 K, WINDOW = 16, 48
 _BASE = 0x9E3779B97F4A7C15
@@ -110,13 +110,12 @@ def in_order(docs: DataFrame, ranges: int) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each text against itself with its
     second half overwritten by the start of its successor, and against the successor."""
-    small_batches(docs.sparkSession, 200)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
     def run(batches):
         held = None
-        for b in batches:
+        for b in slices(batches, 200):
             ids, done = [], []
             for where, halo, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("range", "halo")), b.column("doc_id"), b.column("text").to_pylist(), strict=True):
                 if held and held[0] != where:
