@@ -48,6 +48,10 @@ _RUN = re.compile(r"(.)\1\1")
 #: Marks of one kind, two or more in a row, at either end of a token: emphasis, not letters.
 _TAIL = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 REMEMBERED = 150_000
+#: Bytes of the store of tokens read (an entry takes its token and about ENTRY bytes), and what a token may be.
+BYTES, ENTRY, HIT, SHORT = 60_000_000, 150, 1, 2
+_SHORT = bytes(c >> 1 & 1 for c in range(256))
+_HIT = re.compile(b"[\x01\x03]")
 #: Letters of a token that may be part of a spaced word, and of such a word; parts of a word cut into groups.
 PART, SPACED, GROUPS = 3, 24, 3
 #: Cost of a blank that is no word end, between groups of letters (GAP_COST between single ones); tokens of two or three letters
@@ -86,8 +90,13 @@ def count_characters(docs: DataFrame) -> np.ndarray:
         total, words = np.zeros(BUCKETS, np.float64), Counter()
 
         def fold():
-            for same, codes in word_codes([w for w in words if w.isalpha()]):
-                times = np.array([words[w] for w in same], np.float64)
+            bare = Counter()
+            for w, n in words.items():
+                core = w.strip(EDGE)
+                if core.isalpha():
+                    bare[core] += n
+            for same, codes in word_codes(list(bare)):
+                times = np.array([bare[w] for w in same], np.float64)
                 for n in (1, 2, 3):
                     at = slots(codes, n)[:, 1:]
                     total[:] += np.bincount(at.ravel(), np.repeat(times, at.shape[1]), BUCKETS)
@@ -95,9 +104,9 @@ def count_characters(docs: DataFrame) -> np.ndarray:
 
         for b in slices(batches):
             for t in texts(b):
-                words.update(w.strip(EDGE) for w in t.lower().split())
-            if len(words) > REMEMBERED:
-                fold()
+                words.update(t.lower().split())
+                if len(words) > REMEMBERED:
+                    fold()
         fold()
         used = np.nonzero(total)[0]
         if len(used):
@@ -192,8 +201,10 @@ class Reader:
     """Turns a text into its restored words, remembering tokens it has seen (emptied when full)."""
 
     def __init__(self, counts: np.ndarray):
-        self.decoder, self.known, self.weights = Decoder(counts), {}, {}
+        self.decoder, self.known = Decoder(counts), {}
         self.parts, self.runs, self.costs = {}, {}, {}
+        self.codes, self.found, self.held = {}, {}, 0
+        self.lexicon, self.starts = None, set()
 
     def restore(self, token: str) -> str:
         core = token.strip(EDGE)
@@ -238,15 +249,46 @@ class Reader:
             return core
         return core if core.isalpha() and len(core) <= PART and self.decoder.word_cost(core) > ORDINARY else ""
 
-    def hits(self, text: str, lexicon: dict[str, float]) -> list[tuple[str, float]]:
-        """(restored word, weight) of each word that the lexicon knows, by itself or by how it begins."""
-        if len(self.weights) > REMEMBERED:
-            self.weights = {}
-        weights, words = self.weights, self.words(text)
-        for w in words:
-            if w not in weights:
-                weights[w] = max((lexicon.get(u, 0.0) for u in forms(w)), default=0.0)
-        return [(w, weights[w]) for w in words if weights[w]]
+    def hits(self, texts_: list[str], lexicon: dict[str, float]) -> list[list[tuple[str, float]]]:
+        """For each text (restored word, weight) of each word that the lexicon knows, by itself or by how it begins.
+
+        Each distinct token is read once: what it is for a text is a code of two bits (HIT, SHORT: may be part of a spaced word), so a text is
+        one string of codes and only tokens with a code are looked at again."""
+        tokens = [t.lower().split() for t in texts_]
+        self.note(set().union(*tokens), lexicon)
+        out = []
+        for words in tokens:
+            codes = bytes(map(self.codes.__getitem__, words))
+            if codes.translate(_SHORT).find(b"\x01\x01") >= 0:
+                words = self._joined(words, [i for i, c in enumerate(codes) if c & SHORT])
+                self.note(set(words), lexicon)
+                codes = bytes(map(self.codes.__getitem__, words))
+            out.append([self.found[words[m.start()]] for m in _HIT.finditer(codes)] if codes.translate(None, b"\x00\x02") else [])
+        if self.held > BYTES:
+            self.codes, self.found, self.parts, self.held = {}, {}, {}, 0
+        return out
+
+    def note(self, tokens: set[str], lexicon: dict[str, float]) -> None:
+        if lexicon is not self.lexicon:
+            self.lexicon, self.starts = lexicon, {u[:4] for u in lexicon if u.endswith("*")}  # a longer beginning has a shorter one
+        new = tokens.difference(self.codes)
+        codes, starts = dict.fromkeys(new, 0), self.starts
+        for w in new:
+            if len(w) <= PART + 1:
+                if w not in self.parts:
+                    self.parts[w] = self.part(w)
+                if self.parts[w]:
+                    codes[w] = SHORT
+            word = w.strip(EDGE)
+            if not word.isalpha() or _RUN.search(word):
+                word = self.restore(w)
+            if word[:4] in starts or word in lexicon:
+                weight = max((lexicon.get(u, 0.0) for u in forms(word)), default=0.0)
+                if weight:
+                    self.found[w] = (word, weight)
+                    codes[w] |= HIT
+        self.codes.update(codes)
+        self.held += sum(map(len, new)) + ENTRY * len(new)
 
     def _joined(self, tokens: list[str], short: list[int]) -> list[str]:
         """Runs of two or more parts in a row become the words of their cheapest reading."""
@@ -257,18 +299,29 @@ class Reader:
                 n += 1
             if n > 1:
                 run = tuple(tokens[short[k] : short[k] + n])
-                if len(self.runs) > REMEMBERED // 8:
+                if len(self.runs) > REMEMBERED // 4:
                     self.runs = {}
                 if n > SPACED:
                     read = self.segment(run)
                 else:
-                    read = self.runs[run] = self.runs.get(run) or self.segment(run)
+                    read = self.runs.get(run)
+                    if read is None:
+                        read = self.runs[run] = self.pair(run) if n == 2 else self.segment(run)
                 out += tokens[at : short[k]]
                 out += read
                 at = short[k] + n
             k += n
         return out + tokens[at:]
 
+    def pair(self, run: tuple[str, ...]) -> list[str]:
+        """segment() of two parts, as one word or as two."""
+        a, b = (self.parts[w] if w in self.parts else self.part(w) for w in run)
+        if (a + b).isalpha() or disguised(a + b):
+            blank = GAP_COST if len(a) == len(b) == 1 else BLANK_COST
+            if self.cost_of(a + b) + blank <= self.cost_of(a) + self.cost_of(b):
+                return [a + b]
+        return list(run)
+
     def segment(self, run: tuple[str, ...]) -> list[str]:
         """Cheapest reading of a run of parts: Viterbi over the lattice in which a blank is nothing or a word end."""
         parts = [self.parts[w] if w in self.parts else self.part(w) for w in run]
@@ -372,9 +425,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 
     def hits(batches):
         tally = Counter()
-        for b in slices(batches):
-            for toxic, t in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
-                tally[(toxic, *features(reader(name, shared.value).hits(t, lexicon)))] += 1
+        for b in slices(batches, 200):
+            for toxic, found in zip(b.column("toxic").to_pylist(), reader(name, shared.value).hits(texts(b), lexicon), strict=True):
+                tally[(toxic, *features(found))] += 1
         columns = zip(*((*k, n) for k, n in tally.items()), strict=True) if tally else [[]] * 4
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["toxic", "a", "b", "n"])
@@ -417,7 +470,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, thre
         if fit is None:
             return pd.Series(np.full(len(text), base))
         at = reader(name, shared.value)
-        z = [fit[0] + fit[1] * a + fit[2] * b for a, b in (features(at.hits(t, lexicon)) for t in text)]
+        z = [fit[0] + fit[1] * a + fit[2] * b for lo in range(0, len(text), 200) for a, b in map(features, at.hits(list(text[lo : lo + 200]), lexicon))]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
     scored = docs.withColumn("_tox_score", F.pandas_udf(of, "double")(text_of()))
