@@ -1,15 +1,18 @@
 """Sequential ratings (Elo) computed in parallel over time segments.
 
 A rating depends on every earlier game of both sides, so a plain fold needs one task per league.  Here each league is cut
-into time segments.  Every pass folds all segments at once from guessed start ratings and also returns how the end
-ratings react to the start ratings; a small per-league step then corrects all starts (Newton's method on the segment
-boundaries, "multiple shooting").  One more segment is exact after every pass, and in practice a handful of passes reach
-1e-9; the loop ends only when no start rating moves.  Tasks see one segment, never a league.
+into time segments of a fixed number of rows.  Every pass folds all segments at once from guessed start ratings and also returns how the
+end ratings react to the start ratings: an affine map over the entities that played there, and a factor for all others.  Such maps
+compose, so a tree of merges (:func:`tideline.operators.scan.tree_prefix`) gives every segment the start ratings that follow from all segments
+before it, which is Newton's method on the segment boundaries ("multiple shooting").  One more segment is exact after every pass, and in
+practice a handful of passes reach 1e-9; the loop ends only when no start rating moves.  A task folds one segment or composes two maps;
+a map is quadratic in the entities that played in its stretch, and no task sees a league's rows or all of its maps.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import sys
 from collections.abc import Callable
 
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import ordered as O
+from tideline.operators.scan import tree_prefix
 from tideline.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,43 +69,72 @@ def _fold(games: pd.DataFrame, start: dict, rule: dict, jacobian: bool) -> tuple
     return dict(zip(names, x, strict=True)), sens, names, factor, out
 
 
+def _affine(names: list, used: np.ndarray, ends: np.ndarray, sens: np.ndarray, factor: float) -> bytes:
+    """The map of deviations from START: constant + slope x deviation for `names`, factor x deviation for all others."""
+    return pickle.dumps((names, ends - START - sens @ (used - START), sens, factor))
+
+
+def _spread(state: tuple, names: list) -> tuple[np.ndarray, np.ndarray]:
+    """Constant and slope of a map over more entities than it names."""
+    own, constant, slope, factor = state
+    at = {n: i for i, n in enumerate(names)}
+    where = np.array([at[n] for n in own], int)
+    c, a = np.zeros(len(names)), np.eye(len(names)) * factor
+    c[where] = constant
+    a[np.ix_(where, where)] = slope
+    return c, a
+
+
+def _compose(first: bytes, second: bytes) -> bytes:
+    f, g = pickle.loads(first), pickle.loads(second)
+    names = f[0] if f[0] == g[0] else sorted(set(f[0]).union(g[0]))
+    (c, a), (d, b) = _spread(f, names), _spread(g, names)
+    return pickle.dumps((names, b @ c + d, b @ a, f[3] * g[3]))
+
+
+def _advance(carry: bytes | None, state: bytes) -> bytes:
+    """Deviations of all entities seen so far, past one more stretch."""
+    names, constant, slope, factor = pickle.loads(state)
+    before = pickle.loads(carry) if carry is not None else {}
+    after = {n: factor * v for n, v in before.items()}
+    after.update(zip(names, (slope @ np.array([before.get(n, 0.0) for n in names]) + constant).tolist(), strict=True))
+    return pickle.dumps(after)
+
+
+def _start(above: pd.DataFrame) -> dict:
+    carry = above["before"].iloc[0] if len(above) else None
+    return {n: START + v for n, v in pickle.loads(carry).items()} if carry is not None else {}
+
+
 def _shoot(rule: dict) -> Callable:
-    def run(key: tuple, games: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        start = dict(zip(starts["entity"], starts["rating"], strict=True))
+    def run(key: tuple, games: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        start = _start(above)
         end, sens, names, factor, _ = _fold(games, start, rule, True)
-        return pd.DataFrame({"league": [key[0]], "seg": [key[1]], "factor": [factor], "names": [names], "used": [[start.get(n, START) for n in names]],
-                             "ends": [[end[n] for n in names]], "sens": [sens.ravel().tolist()]})
+        used = np.array([start.get(n, START) for n in names])
+        state = _affine(names, used, np.array([end[n] for n in names]), sens, factor)
+        return pd.DataFrame({"league": [key[0]], "seg": [key[1]], "state": [state], "used": [pickle.dumps((names, used))]})
     return run
 
 
-def _correct(key: tuple, shots: pd.DataFrame) -> pd.DataFrame:
-    """New start ratings of every segment of one league, from the segment summaries."""
-    state: dict = {}
-    rows = []
-    for s in shots.sort_values("seg").itertuples():
-        names = list(s.names)
-        used, ends = np.asarray(s.used), np.asarray(s.ends)
-        new = np.array([state.get(n, START) for n in names])
-        rows += [(key[0], s.seg, n, v, abs(v - u)) for n, v, u in zip(names, new, used, strict=True)]
-        after = ends + np.asarray(s.sens).reshape(len(names), len(names)) @ (new - used)
-        state = {n: START + s.factor * (v - START) for n, v in state.items()}
-        state.update(zip(names, after, strict=True))
-    return pd.DataFrame(rows, columns=["league", "seg", "entity", "rating", "moved"])
+def _moved(key: tuple, shot: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+    """How far the start ratings of a segment are from those it was folded from."""
+    names, used = pickle.loads(shot["used"].iloc[0])
+    start = _start(above)
+    return pd.DataFrame({"moved": [max((abs(start.get(n, START) - u) for n, u in zip(names, used, strict=True)), default=0.0)]})
 
 
 def _emit(rule: dict) -> Callable:
-    def run(key: tuple, games: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        start = dict(zip(starts["entity"], starts["rating"], strict=True))
-        return pd.DataFrame(_fold(games, start, rule, False)[4])
+    def run(key: tuple, games: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_fold(games, _start(above), rule, False)[4])
     return run
 
 
 def elo(games: DataFrame, k: float = 20.0, home_adv: float = 25.0, margin: float = 0.35, season_keep: float = 0.20,
-        rows_per_segment: int = 4000, max_segments: int = 2048, tolerance: float = 1e-9, season: Column | None = None) -> DataFrame:
+        rows_per_segment: int = 4000, tolerance: float = 1e-9, season: Column | None = None, fan: int = 4) -> DataFrame:
     """Pre-game ratings of both sides, in (time, id) order, and frozen at the instant.
 
     ``games(league, game_id, ts, home, away, home_score, away_score)``.  A change of ``season`` (by default the year)
-    keeps ``season_keep`` of every deviation from 1500.  Segments grow with the data once ``max_segments`` is reached.
+    keeps ``season_keep`` of every deviation from 1500.
     """
     rule = {"k": k, "home_adv": home_adv, "margin": margin, "season_keep": season_keep}
     base = games.select("league", "game_id", "ts", "home", "away", "home_score", "away_score", (F.year("ts") if season is None else season).alias("_season"))
@@ -109,25 +142,20 @@ def elo(games: DataFrame, k: float = 20.0, home_adv: float = 25.0, margin: float
     spread, w = O.blocks(numbered, ["league"])
     changed = F.coalesce(F.lag("_season").over(w) != F.col("_season"), F.lit(False))
     flagged = O.drop_halo(spread.withColumn("new_season", changed))
-    size = base.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
     instant = flagged.groupBy("league", "ts").agg(F.min("rn").alias("_first"))
-    width = F.greatest(F.lit(rows_per_segment), F.ceil(F.col("_n") / max_segments))
     # a segment starts at an instant, so frozen reads never cross a boundary
-    cut = flagged.join(instant, ["league", "ts"]).join(size, "league").withColumn("seg", F.floor((F.col("_first") - 1) / width))
+    cut = flagged.join(instant, ["league", "ts"]).withColumn("seg", F.floor((F.col("_first") - 1) / rows_per_segment))
     ready = materialize(cut.select("league", "seg", "rn", "game_id", F.unix_micros("ts").alias("ts"), "home", "away", "home_score", "away_score", "new_season"))
-    by_seg = ready.groupBy("league", "seg")
-    kind = dict(ready.dtypes)["home"]
-    starts = ready.sparkSession.createDataFrame([], f"league {dict(ready.dtypes)['league']}, seg bigint, entity {kind}, rating double, moved double")
-    shot_schema = f"league {dict(ready.dtypes)['league']}, seg bigint, factor double, names array<{kind}>, used array<double>, ends array<double>, sens array<double>"
-    state_schema = f"league {dict(ready.dtypes)['league']}, seg bigint, entity {kind}, rating double, moved double"
-    limit = ready.agg(F.max("seg")).first()[0] + 2
-    for _ in range(int(limit)):
-        shots = by_seg.cogroup(starts.groupBy("league", "seg")).applyInPandas(_shoot(rule), shot_schema)
-        starts = materialize(shots.groupBy("league").applyInPandas(_correct, state_schema))
-        if (starts.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+    by_seg, key = ready.groupBy("league", "seg"), f"league {dict(ready.dtypes)['league']}, seg bigint"
+    before = ready.sparkSession.createDataFrame([], f"{key}, before binary")
+    for _ in range(int(ready.agg(F.coalesce(F.max("seg"), F.lit(0))).first()[0]) + 2):
+        shots = materialize(by_seg.cogroup(before.groupBy("league", "seg")).applyInPandas(_shoot(rule), f"{key}, state binary, used binary"))
+        before = materialize(tree_prefix(shots.select("league", "seg", "state"), ["league"], _compose, _advance, fan))
+        moved = shots.groupBy("league", "seg").cogroup(before.groupBy("league", "seg")).applyInPandas(_moved, "moved double")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
     out_schema = f"game_id {dict(ready.dtypes)['game_id']}, elo_home double, elo_away double, frozen_home double, frozen_away double, expected_home double"
-    return by_seg.cogroup(starts.groupBy("league", "seg")).applyInPandas(_emit(rule), out_schema)
+    return by_seg.cogroup(before.groupBy("league", "seg")).applyInPandas(_emit(rule), out_schema)
 
 
 def elo_simple(games: DataFrame, k: float = 24.0, home_adv: float = 25.0, **kw) -> DataFrame:

@@ -11,6 +11,7 @@ from tideline.operators import evaluate as E
 from tideline.operators import joins as J
 from tideline.operators import ordered as O
 from tideline.operators import prob as P
+from tideline.operators.retrieval import retrieval_conformal
 from tideline.plans.catalog import register
 from tideline.plans.q_prob import BIV
 from tideline.plans.q_timeline import us
@@ -479,3 +480,22 @@ def _(v: Views):
     y = F.col("y")
     src = v.probs.select("league", "ts", "game_id", P.nll_cols([F.col(c) for c in M["m2"]], y).alias("b"), P.nll_cols([F.col(c) for c in M["m1"]], y).alias("c"))
     return us(E.period_losses(src, F.col("b"), F.col("c"), ["league"], ["ts", "game_id"]), digits=8)
+
+
+@register("e23_retrieval_conformal", """WITH c AS (SELECT league, game_id, epoch_us(ts) AS t, p_home, p_draw, p_away, 1.0 - CASE y WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END AS s,
+  CAST(k1 % 11 AS DOUBLE) AS f0, CAST(k2 % 13 AS DOUBLE) AS f1, CAST(k3 AS DOUBLE) AS f2, row_number() OVER (PARTITION BY league ORDER BY ts, game_id) AS rn FROM probs),
+w AS (SELECT league, t, SUM(count(*)) OVER (PARTITION BY league ORDER BY t) AS done FROM c GROUP BY league, t),
+r AS (SELECT c.*, CAST(COALESCE(w.done, 0) AS BIGINT) AS done FROM c ASOF LEFT JOIN w ON c.league = w.league AND c.t - 2 * 86400000000 >= w.t),
+u AS (SELECT *, unnest(range(GREATEST(done - 199, 1), done + 1)) AS at FROM r WHERE done >= 30),
+j AS (SELECT u.game_id, u.p_home, u.p_draw, u.p_away, c.rn, c.s, c.f0 - u.f0 AS d0, c.f1 - u.f1 AS d1, c.f2 - u.f2 AS d2, stddev_pop(c.f0) OVER g AS s0, stddev_pop(c.f1) OVER g AS s1, stddev_pop(c.f2) OVER g AS s2
+  FROM u JOIN c ON c.league = u.league AND c.rn = u.at WINDOW g AS (PARTITION BY u.game_id)),
+z AS (SELECT *, pow(d0 / CASE WHEN s0 > 1e-9 THEN s0 ELSE 1 END, 2) + pow(d1 / CASE WHEN s1 > 1e-9 THEN s1 ELSE 1 END, 2) + pow(d2 / CASE WHEN s2 > 1e-9 THEN s2 ELSE 1 END, 2) AS d FROM j),
+n AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY ROUND(d, 9), rn) <= 30),
+a AS (SELECT game_id, count(*) AS calibration_count, ROUND(sqrt(min(d)), 6) AS nearest_distance, (1.0 + count(*) FILTER (s >= 1.0 - p_home - 1e-12)) / (count(*) + 1.0) AS pv0,
+  (1.0 + count(*) FILTER (s >= 1.0 - p_draw - 1e-12)) / (count(*) + 1.0) AS pv1, (1.0 + count(*) FILTER (s >= 1.0 - p_away - 1e-12)) / (count(*) + 1.0) AS pv2 FROM n GROUP BY game_id)
+SELECT r.game_id, LEAST(done, 200) AS pool_count, COALESCE(calibration_count, 0) AS calibration_count, nearest_distance, ROUND(pv0, 6) AS pv0, ROUND(pv1, 6) AS pv1, ROUND(pv2, 6) AS pv2,
+  concat_ws(',', CASE WHEN pv0 > 0.1 THEN '0' END, CASE WHEN pv1 > 0.1 THEN '1' END, CASE WHEN pv2 > 0.1 THEN '2' END) AS "set" FROM r LEFT JOIN a USING (game_id)""")
+def _(v: Views):
+    src = v.probs.withColumns({"outcome_at": F.expr("ts + INTERVAL 2 DAYS"), "f0": F.expr("k1 % 11"), "f1": F.expr("k2 % 13")})
+    out = retrieval_conformal(src, M["m1"], "y", ["f0", "f1", "k3"], "game_id", "game_id", "ts", "outcome_at", ["league"])
+    return us(out.select(F.col("case").alias("game_id"), "pool_count", "calibration_count", "nearest_distance", "pv0", "pv1", "pv2", "set"), digits=6)
