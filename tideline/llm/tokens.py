@@ -6,8 +6,9 @@ piece that is letters of the Latin blocks and ASCII marks after them is one or t
 and goes to the library's model directly, any other goes through the whole library by itself. Texts that hold the string of a special token
 are never cut: the library alone decides about them. So ids are those of the plain call `encode(text, add_special_tokens=False)`.
 
-The store is two generations, each bounded by BYTES; pieces of more than LONGEST characters are never stored, so texts without
-blanks leave nothing behind. Emptying a store costs time and changes no id.
+The store is two generations, each bounded by BYTES; a piece enters when it is met a second time (remembered by its hash), so words that
+occur once take no room, and pieces of more than LONGEST characters never enter, so texts without blanks leave nothing behind. Emptying a
+store costs time and changes no id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Bytes of a generation of the store (an entry takes its piece, its ids and about ENTRY bytes), characters of a piece stored,
 #: pieces looked up at once.
-BYTES, ENTRY, LONGEST, AT_ONCE = 100_000_000, 200, 64, 200_000
+BYTES, ENTRY, LONGEST, AT_ONCE = 65_000_000, 200, 64, 200_000
+#: Slots of the hashes of pieces met once, less one.
+MEETINGS = (1 << 22) - 1
 #: A blank after white space that no visible character follows: there, cutting at every blank would cut inside a run.
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
 #: Letters that are one word to either splitting rule; ASCII marks (no apostrophe) after them are another.
@@ -56,7 +59,7 @@ class Encoder:
             self.size[i], self.last[i] = len(token), token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.met, self.meetings = 0, bytearray(MEETINGS + 1), 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the plain call."""
@@ -90,9 +93,9 @@ class Encoder:
         return bool(_INSIDE_RUN.search(text))
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Stores new pieces; returns the ids of those that are not to be stored."""
+        """Ids of new pieces that are not in the store afterwards: those met for the first time, and those never stored."""
         known, older, before = self.known, self.older, len(self.known)
-        other, plain, stems, bytes_ = [], [], {}, 0
+        other, plain, stems = [], [], {}
         if older:
             again = pieces & older.keys()
             known.update((p, older[p]) for p in again)
@@ -101,25 +104,28 @@ class Encoder:
             word = p.rstrip(MARKS)
             if word and len(p) <= LONGEST and (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
                 plain.append((p, word))
-                bytes_ += len(p)
             else:
                 other.append(p)
-        words = {w for _, w in plain}
-        for w in words:
+        for w in {w for _, w in plain}:
             stems[w] = known.get(w) or older.get(w)
         new = [w for w, ids in stems.items() if ids is None]
         stems.update(zip(new, self.word_ids([self.shown(w) for w in new]), strict=True))
-        known.update(stems)
         marks = list({p[len(w) :] for p, w in plain} - {""})
         marks = dict(zip(marks, self.word_ids(marks), strict=True))
-        for p, w in plain:
-            if len(p) != len(w):
-                known[p] = stems[w] + marks[p[len(w) :]]
         found = dict(zip(other, self.whole([self.blank + p for p in other]), strict=True))
-        for p, ids in found.items():
-            if p and len(p) <= LONGEST and not p[0].isspace():
-                known[p] = ids
-        self.held += (ENTRY + 24) * (len(known) - before) + bytes_
+        found.update((p, stems[w] + marks[p[len(w) :]] if len(p) != len(w) else stems[w]) for p, w in plain)
+        met, keep = self.met, []
+        for p in found:
+            at = hash(p) & MEETINGS
+            if not met[at]:
+                met[at] = 1
+            elif p and len(p) <= LONGEST and not p[0].isspace():
+                keep.append(p)
+        self.meetings += len(found) - len(keep)
+        if self.meetings > MEETINGS // 4:
+            self.met, self.meetings = bytearray(MEETINGS + 1), 0
+        known.update((p, found.pop(p)) for p in keep)
+        self.held += (ENTRY + 24) * (len(known) - before) + sum(map(len, keep))
         return found
 
     def look(self, texts: list[str], heads: list[bytes], pieces: list[str], ends: list[int]) -> list[bytes]:

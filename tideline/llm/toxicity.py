@@ -47,9 +47,9 @@ EDGE = ".,;:!?\"'()[]{}<>…*#%&~"
 _RUN = re.compile(r"(.)\1\1")
 #: Marks of one kind, two or more in a row, at either end of a token: emphasis, not letters.
 _TAIL = re.compile(r"^([^\w])\1+|([^\w])\2+$")
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Bytes of the store of tokens read (an entry takes its token and about ENTRY bytes), and what a token may be.
-BYTES, ENTRY, HIT, SHORT = 60_000_000, 150, 1, 2
+BYTES, ENTRY, HIT, SHORT = 30_000_000, 150, 1, 2
 _SHORT = bytes(c >> 1 & 1 for c in range(256))
 _HIT = re.compile(b"[\x01\x03]")
 #: Letters of a token that may be part of a spaced word, and of such a word; parts of a word cut into groups.
@@ -130,6 +130,8 @@ class Decoder:
         """Negative log probability of c after the two characters `before`, with interpolated back-off."""
         key = (before, c)
         if key not in self.cost:
+            if len(self.cost) > 2 * REMEMBERED:
+                self.cost.clear()
             codes = np.array([[ord(x) for x in before + c]], np.uint32)
             one, two, three = (float(self.counts[slots(codes, n)[0, -1]]) for n in (1, 2, 3))
             ctx1 = float(self.counts[slots(codes[:, :2], 1)[0, -1]]) if before[1] != "\x01" else self.letters
