@@ -11,7 +11,9 @@ its start, and rows are numbered only within a stretch. A source with a third of
 
 Defined results: null source is a source of its own, last in order; a null or empty text has size 0 and is taken 0 words
 (its copies follow the same rule, so an empty document may be repeated or left out); rows with equal or null doc_id each count;
-a source whose size is 0 has target 0; an empty table gives an empty result. Columns named `_mix_*` are the operator's own.
+a source whose size is 0 has target 0; an empty table gives an empty result. Columns named `_mix_*` are the operator's own, and given
+columns named source_size, target or copies are replaced by its own (the size may not have such a name). Documents of one class, doc_id
+and size are laid out by the hash of their text, if they have one, so a rerun repeats the same ones.
 """
 
 from __future__ import annotations
@@ -56,22 +58,24 @@ def size_class(size):
 
 def mix(docs: DataFrame, size: str, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with source_size, target and copies; `size` names a column of sizes (long, not null) in docs, which has doc_id and source."""
+    docs = docs.drop("source_size", "target", "copies")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumns({"_mix_key": key, "_mix_class": size_class(F.col(size)), "_mix_mark": mark, "_mix_run": F.substring(mark, 1, 1)})
     stretch = rows.groupBy("_mix_key", "_mix_class", "_mix_run").agg(
         F.count(F.lit(1)).alias("_mix_n"), F.sum(size).alias("_mix_size"), F.first("source").alias("source"))
     by_source = stretch.groupBy("_mix_key").agg(F.first("source").alias("source"), F.sum("_mix_size").alias("source_size"))
-    drawn = targets(by_source, weights, most).drop("source")
+    drawn = targets(by_source, weights, most).select("_mix_key", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_mix_key")), 1, 8), 16, 10).cast("double") / 4294967296.0
     ahead = W.partitionBy("_mix_key").orderBy("_mix_class", "_mix_run").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_mix_n").over(ahead), F.lit(0))
     plan = stretch.select("_mix_key", "_mix_class", "_mix_run", start.alias("_mix_start")).join(drawn, "_mix_key").withColumn("_mix_offset", offset)
-    within = F.row_number().over(W.partitionBy("_mix_key", "_mix_class", "_mix_run").orderBy("_mix_mark", size))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    within = F.row_number().over(W.partitionBy("_mix_key", "_mix_class", "_mix_run").orderBy("_mix_mark", size, *([F.xxhash64("text")] if "text" in docs.columns else [])))
+    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     place = F.col("_mix_start") + F.col("_mix_i")
     copies = F.floor(rate * place + F.col("_mix_offset")) - F.floor(rate * (place - 1) + F.col("_mix_offset"))
     out = rows.withColumn("_mix_i", within).join(plan, ["_mix_key", "_mix_class", "_mix_run"]).withColumn("copies", copies.cast("long"))
+    out = out.withColumns({"source_size": F.col("_mix_source_size"), "target": F.col("_mix_target")})
     return out.drop(*[c for c in out.columns if c.startswith("_mix_")])
 
 

@@ -11,7 +11,7 @@ occur more than once are joined back, an equi-join whose hot side Spark can spli
 
 Defined results: a null text stays null and an empty one stays empty; a text cut to nothing is empty, and its row stays; null
 doc_id ranks last; rows with the same doc_id and text are one document, cut alike; rows with the same doc_id and other texts are
-ranked by text hash; an empty table gives an empty result; other columns are kept, those named `_cut_*` are the operator's own.
+ranked by text hash; an empty table gives an empty result; other columns are kept, those named `_cut_*` are the operator's own and given ones named removed_spans or removed_chars are replaced.
 """
 
 from __future__ import annotations
@@ -101,6 +101,7 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text cut, removed_spans ("start-end,..." of the original text) and removed_chars."""
+    docs = docs.drop("removed_spans", "removed_chars")
     cuts = repeats(docs, min_words).select(F.col("doc_id").alias("_cut_doc"), F.col("_cut_text").alias("_cut_hash"), F.col("spans").alias("_cut_spans"))
     same = F.col("_cut_doc").eqNullSafe(F.col("doc_id")) & (F.col("_cut_hash") == F.xxhash64("text"))
     joined = docs.join(cuts, same, "left")
