@@ -261,3 +261,42 @@ def repair(rows: DataFrame, originals: DataFrame | None = None) -> DataFrame:
     out = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(F.col("_conv").alias("conv_id"), *[c for c in found.columns if c != "conv_id"])
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in (*counts, "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _after(x: str, cost: str, edit: str) -> str:
+    """SQL of a way: x, a padded cost and its audit in one string, after an edit."""
+    return f"lpad((substr({x}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || '{edit}' || substr({x}, 13)"
+
+
+def _spend(state: int) -> str:
+    to = NEXT[state][MADE[state][0]]
+    keep = " ".join(f"WHEN ok AND l = '{role}' THEN {_after(f'r{t}', 'm', 'K')}" for role, t in NEXT[state].items())
+    return f"LEAST({_after(f'r{state}', DELETE, 'D')}, CASE WHEN ok THEN {_after(f'r{to}', f'{REROLE} + m', 'R')} END, CASE {keep} END) AS s{state}"
+
+
+ORACLE = f"""
+WITH RECURSIVE tbl AS (SELECT list(list_reduce([n::BIGINT] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+d AS (SELECT k.*, xor(list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM k, tbl),
+e AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE how <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM e),
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i, substr(role, 1, 1) AS l,
+  CASE WHEN last = '' THEN 1 WHEN again THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+q AS (SELECT *, fault NOT IN (1, 2) AS ok, CASE fault WHEN 3 THEN {CUT_SHORT} ELSE 0 END AS m, lag(l) OVER (PARTITION BY g ORDER BY i) || l AS pair FROM o),
+c AS (SELECT g, any_value(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY g),
+b(g, i, r0, r1, r2, r3) AS (SELECT g, n, '000000000000', '000000000006II', '000000000003I', '000000000000' FROM c
+  UNION ALL SELECT g, i - 1, {', '.join(f"LEAST(s{z}, {_after(x, INSERT, 'I')})" for z, x in ((0, f"LEAST(s2, {_after('s3', INSERT, 'I')})"), (1, f"LEAST(s2, {_after('s3', INSERT, 'I')})"), (2, 's3'), (3, 's2')))}
+  FROM (SELECT b.g, b.i, {', '.join(map(_spend, range(4)))} FROM b JOIN q ON q.g = b.g AND q.i = b.i)),
+a AS (SELECT g, substr(r0, 1, 12)::BIGINT AS cost, substr(r0, 13) AS audit FROM b WHERE i = 0),
+w(g, p, i, state, made, audit) AS (SELECT g, 1, 1, 0, '', audit FROM a
+  UNION ALL SELECT w.g, p + 1, w.i + (e <> 'I')::INT,
+    CASE e WHEN 'D' THEN state WHEN 'K' THEN CASE l WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END,
+    CASE e WHEN 'D' THEN made ELSE made || chr(10) || CASE e WHEN 'K' THEN role ELSE CASE state WHEN 2 THEN 'assistant' ELSE 'user' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END END, audit
+  FROM (SELECT w.*, substr(audit, p, 1) AS e FROM w WHERE p <= length(audit)) w LEFT JOIN o ON o.g = w.g AND o.i = w.i),
+r AS (SELECT g, sha256(substr(made, 2)) AS repaired_sha256 FROM w WHERE p > length(audit)),
+z AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 FROM c JOIN a USING (g) JOIN r USING (g))
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN z ON v.conv_id IS NOT DISTINCT FROM z.conv_id
+"""

@@ -101,7 +101,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", named.alias("codebooks_sha256"))
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", conversation_repair.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damaged(rows), rows)
