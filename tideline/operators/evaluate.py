@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -297,22 +298,26 @@ def check_temporal_contract(cal: DataFrame, test: DataFrame) -> DataFrame:
     return c.join(t, "_one").select("calibration_rows", "test_rows", F.concat_ws(",", bad).alias("violations"))
 
 
+#: Shares of Poisson(1) draws of at most 0, 1, 2, ... as far as 32 bits tell them apart.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(12)]
+
+
 def paired_block_bootstrap(df: DataFrame, base: Mapping[str, Column], cand: Mapping[str, Column], order: Sequence[str], block: int = 30,
                            replications: int = 400, seed: int = 42) -> DataFrame:
     """Confidence limits of metric differences from resampled chronological blocks.
 
-    Rows are reduced to per-block sums first; each replicate then draws as many block numbers as there are blocks with a
-    seeded hash, and the draws join the block sums by number.
+    Rows are reduced to per-block sums first.  In each replicate a block counts a Poisson(1) number of times, read off a digest of
+    (seed, replicate, block), so every block folds its share into all replicates by itself and only one partial sum per
+    replicate and task is shuffled; sums are divided by the rows drawn.
     """
     numbered = O.row_numbers(df, [], order)
     diffs = {n: F.sum(base[n] - cand[n]).alias(n) for n in base}
     blocks = numbered.groupBy(F.floor((F.col("rn") - 1) / block).alias("_b")).agg(F.count(F.lit(1)).alias("_n"), *diffs.values())
-    count = blocks.agg(F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))
-    slots = blocks.select(F.col("_b").alias("_slot"), F.lit(1).alias("_one")).join(count, "_one")
-    draws = slots.select("_k", "_slot", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("_rep"))
-    draws = draws.select("_rep", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_slot"), F.col("_k")).alias("_b"))
-    picked = draws.groupBy("_rep", "_b").agg(F.count(F.lit(1)).alias("_m")).join(blocks, "_b")
-    reps = picked.groupBy("_rep").agg(*[(F.sum(F.col(n) * F.col("_m")) / F.sum(F.col("_n") * F.col("_m"))).alias(n) for n in base])
+    drawn = blocks.select("*", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("_rep"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_rep").cast("string"), F.lit(":"), F.col("_b").cast("string")))
+    drawn = drawn.withColumn("_u", F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0)
+    drawn = drawn.withColumn("_m", A.add([(F.col("_u") >= c).cast("bigint") for c in POISSON]))
+    reps = drawn.groupBy("_rep").agg(*[(F.sum(F.col(n) * F.col("_m")) / F.nullif(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).alias(n) for n in base])
     long = reps.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in base])))
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("replications"), F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"),
                                       F.avg((F.col("v") > 0).cast("int")).alias("p_improvement_positive"))

@@ -150,3 +150,27 @@ def shadow_reconcile(snapshots: DataFrame, results: DataFrame, p: Sequence[str],
         cover = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("snapshots"), F.avg(F.col("y").isNotNull().cast("int")).alias("coverage"))
         out.append(cover.join(classification_metrics(df.filter(F.col("y").isNotNull()), p, "y", list(keys)), list(keys), "left"))
     return out[0], out[1]
+
+
+def oos_blockers(
+    df: DataFrame, p: Sequence[str], y: str, order: Sequence[str], prediction: str = "prediction_time", available: str = "available_at", matched: str = "pit_matched",
+    keys: Sequence[str] = ("league",), minimum: int = 100,
+) -> DataFrame:
+    """``(keys, rows, blockers)``: what keeps a table of out-of-sample predictions from counting as evidence, comma-separated in a fixed order.
+
+    ``order`` is the order in which the rows were delivered; prediction times must not fall along it.  ``matched`` says whether a row met its
+    exact availability record; only then can ``available`` verify it."""
+    from tideline.operators.timeline import row_features
+
+    t, bad = F.col(prediction), lambda c: c.isNull() | F.isnan(c) | (c < 0) | (c == float("inf"))
+    seen = row_features(df, keys, order, 1, lambda w: {"_before": F.lag(prediction).over(w)})
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    invalid = F.lit(False)
+    for c in p:
+        invalid = invalid | bad(F.col(c).cast("double"))
+    flags = seen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), some(~F.coalesce(F.col(matched), F.lit(False))).alias("_join"), some(t.isNull()).alias("_time"), some(F.col("_before") > t).alias("_order"),
+        some(F.col(available).isNull() | t.isNull() | (F.col(available) > t)).alias("_pit"), some(invalid).alias("_p"), some(F.col(y).isNull() | ~F.col(y).isin(list(range(len(p))))).alias("_y"))
+    found = [("pit_join_incomplete", F.col("_join")), ("invalid_prediction_time", F.col("_time")), ("oos_not_chronological", F.col("_order") & ~F.col("_time")), ("insufficient_oos_rows", F.col("rows") < minimum),
+             ("pit_not_verified", F.col("_pit")), ("invalid_probabilities", F.col("_p")), ("target_contract", F.col("_y"))]
+    return flags.select(*keys, "rows", F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in found]).alias("blockers"))

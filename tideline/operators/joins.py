@@ -164,27 +164,33 @@ def application_plan(scopes: DataFrame, sources: DataFrame) -> DataFrame:
 def resolve_names(names: DataFrame, index: DataFrame) -> DataFrame:
     """Unique exact match, else unique substring match either way, else unresolved.
 
-    ``names(name)``, ``index(candidate, id)``.  A contained text starts with one of the container's 3-grams, so the
-    substring test is an equi join on grams followed by a check; texts shorter than a gram use their own length.
+    ``names(name)``, ``index(candidate, id)``.  A contained text shares all its 3-grams with its container (its own length, if it is
+    shorter), so the substring test is an equi join on grams followed by a check.  A contained text goes by the one of its grams that
+    the fewest containers have, counted over all of them; a text with a gram that none has meets nothing.
     """
     n = names.select("name").distinct()
     exact = n.join(index, n["name"] == index["candidate"]).groupBy("name").agg(
         F.count(F.lit(1)).alias("n_exact"), F.min("id").alias("exact_id"))
 
-    def grams(text: str) -> Column:
-        parts = []
-        for k in (1, 2, 3):
-            last = F.length(text) - k + 1
-            parts.append(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(k))))
-                         .otherwise(F.array().cast("array<string>")))
-        return F.array_distinct(F.concat(*parts))
-
-    head = lambda text: F.substring(text, 1, 3)
-    outer = n.filter("name <> ''").withColumn("_g", F.explode(grams("name")))
-    inside = index.filter("candidate <> ''").withColumn("_g", head("candidate"))
-    name_has = outer.join(inside, "_g").filter(F.contains("name", "candidate")).select("name", "id")
-    wide = index.withColumn("_g", F.explode(grams("candidate")))
-    cand_has = n.filter("name <> ''").withColumn("_g", head("name")).join(wide, "_g").filter(F.contains("candidate", "name")).select("name", "id")
+    def runs(text: str, k: Column) -> Column:
+        last = F.greatest(F.length(text) - k + 1, F.lit(1))
+        return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+
+    def grams(text: str, sizes: Sequence[Column]) -> Column:
+        return F.array_distinct(F.concat(*[runs(text, k) for k in sizes]))
+
+    def holding(outer: DataFrame, text: str) -> DataFrame:
+        return outer.filter(F.col(text) != "").withColumn("_g", F.explode(grams(text, [F.lit(k) for k in (1, 2, 3)])))
+
+    def by_rarest(inner: DataFrame, text: str, held: DataFrame) -> DataFrame:
+        counts = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+        each = inner.filter(F.col(text) != "").withColumn("_g", F.explode(grams(text, [F.least(F.length(text), F.lit(3))]))).join(counts, "_g", "left")
+        rare = each.groupBy(*inner.columns).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_g").alias("g"))).alias("_r"))
+        return rare.filter("_r.c > 0").select(*inner.columns, F.col("_r.g").alias("_g"))
+
+    of_names, of_index = holding(n, "name"), holding(index.select("candidate", "id"), "candidate")
+    name_has = of_names.join(by_rarest(index.select("candidate", "id"), "candidate", of_names), "_g").filter(F.contains("name", "candidate")).select("name", "id")
+    cand_has = of_index.join(by_rarest(n, "name", of_index), "_g").filter(F.contains("candidate", "name")).select("name", "id")
     partial = name_has.unionByName(cand_has).groupBy("name").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     out = n.join(exact, "name", "left").join(partial, "name", "left")
     how = (F.when(F.col("n_exact") == 1, "exact").when(F.col("_lo") == F.col("_hi"), "substring").otherwise("unresolved"))

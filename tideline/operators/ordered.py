@@ -53,18 +53,27 @@ def _before(spec: WindowSpec) -> WindowSpec:
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], seg: Column | None = None, out: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], seg: Column | None = None, out: str = "rn",
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per key in ``order``; ``seg`` must be non-decreasing along that order.
 
-    With ``keys=[]`` this numbers the whole table without a single-partition sort.
+    With ``keys=[]`` this numbers the whole table without a single-partition sort.  ``sums`` adds, by the same pass, each sum over
+    all rows before the row (0 when there are none).
     """
-    tagged = df.withColumns({SEG: day_segment(order[0]) if seg is None else seg, STEP: F.lit(1).cast("bigint"), HEAD: F.lit(1)})
-    offsets = tagged.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, SEG, F.coalesce(F.sum("_n").over(_before(_segment_window(keys))), F.lit(0)).alias(STEP), F.lit(0).alias(HEAD))
-    inside = Window.partitionBy(*keys, SEG).orderBy(HEAD, *order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = tagged.unionByName(offsets, allowMissingColumns=True).withColumn(out, F.sum(STEP).over(inside))
-    return numbered.filter(F.col(HEAD) == 1).drop(SEG, STEP, HEAD)
+    sums = dict(sums or {})
+    part = {n: f"_v_{n}" for n in sums}
+    tagged = df.withColumns({SEG: day_segment(order[0]) if seg is None else seg, STEP: F.lit(1).cast("bigint"), HEAD: F.lit(1),
+                             **{part[n]: c for n, c in sums.items()}})
+    totals = tagged.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in part.values()])
+    ahead = _before(_segment_window(keys))
+    offsets = totals.select(*keys, SEG, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(STEP), F.lit(0).alias(HEAD),
+                            *[F.sum(v).over(ahead).alias(v) for v in part.values()])
+    spec = Window.partitionBy(*keys, SEG).orderBy(HEAD, *order)
+    numbered = tagged.unionByName(offsets, allowMissingColumns=True).withColumns(
+        {out: F.sum(STEP).over(spec.rowsBetween(Window.unboundedPreceding, 0)),
+         **{n: F.coalesce(F.sum(v).over(_before(spec)), F.lit(0)) for n, v in part.items()}})
+    return numbered.filter(F.col(HEAD) == 1).drop(SEG, STEP, HEAD, *part.values())
 
 
 def blocks(
@@ -101,13 +110,15 @@ def frozen_state(
     seg: Column | None = None,
     size: int = BLOCK,
     prepare: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per ``(keys, ts)``: columns built on the rows strictly before ``ts``.
 
     ``build`` receives the block window (ordered by row number) and must use frames ending at ``-1`` and starting no
-    earlier than ``-back``.  ``prepare`` adds columns it may refer to (for instance running sums).
+    earlier than ``-back``.  ``prepare`` adds columns it may refer to (for instance running sums); ``totals`` names sums over all
+    earlier rows of the key, however far back, that it may refer to.
     """
-    numbered = row_numbers(df, keys, [ts, *order], seg)
+    numbered = row_numbers(df, keys, [ts, *order], seg, sums=totals)
     spread, window = blocks(numbered, keys, back=max(back, 1), size=size)
     if prepare:
         spread = spread.withColumns(dict(prepare(window)))

@@ -75,17 +75,14 @@ def shrunk_form(form: DataFrame, windows: Sequence[int] = (3, 5, 10, 20)) -> Dat
 
 def venue_form(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Games, points per game and last-10 means at the same side of the venue."""
-    by = [*keys, "side"]
-    recent = O.frozen_state(
-        rows, by, "ts", ["game_id"], 10,
+    seen = F.col("rn") - 1
+    return O.frozen_state(
+        rows, [*keys, "side"], "ts", ["game_id"], 10,
         lambda w: {"venue_gf": F.coalesce(F.avg("gf").over(_past(w, 10)), F.lit(0.0)),
-                   "venue_ga": F.coalesce(F.avg("ga").over(_past(w, 10)), F.lit(0.0))},
+                   "venue_ga": F.coalesce(F.avg("ga").over(_past(w, 10)), F.lit(0.0)),
+                   "venue_n": seen, "venue_pts": F.when(seen > 0, F.col("_points") / seen).otherwise(1.0)},
+        totals={"_points": points(F.col("gf"), F.col("ga"))},
     )
-    totals = O.prior_sums(rows, by, "ts", {"venue_n": F.lit(1), "venue_points": points(F.col("gf"), F.col("ga"))})
-    joined = O.attach(recent, totals, [*by, "ts"])
-    return joined.withColumn(
-        "venue_pts", F.when(F.col("venue_n") > 0, F.col("venue_points") / F.col("venue_n")).otherwise(1.0)
-    ).drop("venue_points")
 
 
 def rest_days(rows: DataFrame, keys: Sequence[str] = KEYS, default: float | None = 30.0, whole: bool = False) -> DataFrame:

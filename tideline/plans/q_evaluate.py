@@ -305,7 +305,18 @@ def _(v: Views):
     return E.check_temporal_contract(base.filter(F.col("available_at") <= cut), test)
 
 
-@register("e26_paired_block_bootstrap")
+_D = [f"{f.format('q_home', 'q_draw', 'q_away')} - ({f.format('p_home', 'p_draw', 'p_away')})" for f in (NLLSQL, BRSQL)]
+_D.append(" - ".join(f"CASE WHEN {TOPSQL.format(*(f'{m}_{c}' for c in ('home', 'draw', 'away')))} = y THEN 1 ELSE 0 END" for m in "pq"))
+_METRICS = ("LogLoss", "Brier", "Accuracy")
+
+
+@register("e26_paired_block_bootstrap", f"""WITH s AS (SELECT row_number() OVER (ORDER BY ts, game_id) - 1 AS r, {', '.join(f'{d} AS d{i}' for i, d in enumerate(_D))} FROM probs),
+b AS (SELECT r // 30 AS b, count(*) AS n, {', '.join(f'SUM(d{i}) AS d{i}' for i in range(3))} FROM s GROUP BY 1),
+u AS (SELECT k, b.*, ('0x' || substr(md5('42:' || k || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b, range(1, 401) t(k)),
+m AS (SELECT *, {' + '.join(f'(u >= {c!r}::DOUBLE)::BIGINT' for c in E.POISSON)} AS m FROM u),
+v AS (SELECT k, {', '.join(f'SUM(d{i} * m)::DOUBLE / SUM(n * m) AS v{i}' for i in range(3))} FROM m GROUP BY k),
+l AS ({' UNION ALL '.join(f"SELECT '{n}' AS metric, v{i} AS v FROM v" for i, n in enumerate(_METRICS))})
+SELECT metric, count(*) AS replications, ROUND(quantile_cont(v, 0.025), 8) AS ci_low, ROUND(quantile_cont(v, 0.975), 8) AS ci_high, ROUND(avg(CASE WHEN v > 0 THEN 1 ELSE 0 END), 8) AS p_improvement_positive FROM l GROUP BY metric""")
 def _(v: Views):
     b, c = [F.col(x) for x in M["m2"]], [F.col(x) for x in M["m1"]]
     y = F.col("y")

@@ -6,7 +6,7 @@ from tideline.operators import evaluate as E
 from tideline.operators import experience as X
 from tideline.operators import prob as P
 from tideline.plans.catalog import register
-from tideline.plans.q_evaluate import BRSQL, FOUR, M, NLLSQL, bundle
+from tideline.plans.q_evaluate import BRSQL, CAL, CL, FOUR, MEAN, NLLSQL, TOPSQL, M, _conf_sql, bundle
 from tideline.plans.q_timeline import us
 from tideline.plans.views import Views
 
@@ -101,9 +101,26 @@ def _(v: Views):
     return us(_shadow(v)[1], digits=8)
 
 
-@register("e45_real_oos_bridge")
+_OOD45 = " + ".join(f"abs(t.{x} - m_{x}) / (s_{x} + 1e-12)" for x in ("lam_h", "lam_a", "p_home"))
+_TOP45 = {m: TOPSQL.format(*(f"{m}_{c}" for c in CL)) for m in "pqr"}
+_RUNS = """o AS (SELECT league, y, p_home, p_draw, p_away, CASE WHEN league = 'N' AND k1 % 997 = 0 THEN NULL ELSE ts END AS pt, ts - INTERVAL 1 HOUR + CASE WHEN league = 'A' AND k2 % 97 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS av, NOT (league = 'R' AND k1 % 89 = 0) AS met,
+  ts - CASE WHEN league = 'R' THEN CAST(k1 % 3 AS INT) ELSE 0 END * INTERVAL 1 DAY AS delivered, game_id FROM t),
+ob AS (SELECT *, lag(pt) OVER (PARTITION BY league ORDER BY delivered, game_id) AS before FROM o),
+bl AS (SELECT league, concat_ws(',', CASE WHEN bool_or(NOT met) THEN 'pit_join_incomplete' END, CASE WHEN bool_or(pt IS NULL) THEN 'invalid_prediction_time' END, CASE WHEN bool_or(before > pt) AND NOT bool_or(pt IS NULL) THEN 'oos_not_chronological' END,
+  CASE WHEN count(*) < 100 THEN 'insufficient_oos_rows' END, CASE WHEN bool_or(av IS NULL OR pt IS NULL OR av > pt) THEN 'pit_not_verified' END) AS blockers FROM ob GROUP BY league)"""
+
+
+@register("e45_real_oos_bridge", _conf_sql("'*'", 10**9).replace(", t AS (", ", ct AS (").replace("\nt AS (SELECT", "\nct AS (SELECT").replace("FROM t LEFT JOIN z", "FROM ct t LEFT JOIN z") + f""", t AS (SELECT * FROM probs WHERE ts >= {CAL}), rf AS (SELECT * FROM probs WHERE ts < {CAL}),
+sm AS (SELECT {', '.join(f'avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}' for x in ('lam_h', 'lam_a', 'p_home'))} FROM rf),
+g AS (SELECT t.*, 1 - (({_TOP45['p']} = {TOPSQL.format(*MEAN.values())})::INT + ({_TOP45['q']} = {TOPSQL.format(*MEAN.values())})::INT + ({_TOP45['r']} = {TOPSQL.format(*MEAN.values())})::INT)::DOUBLE / 3 AS dis, LEAST(1.0, ({_OOD45}) / 3 / 5) AS ood FROM t CROSS JOIN sm),
+e AS (SELECT g.*, GREATEST(0.0, LEAST(1.0, 0.30 * (1 - (-(p_home * ln(p_home) + p_draw * ln(p_draw) + p_away * ln(p_away)) / ln(3.0))) + 0.15 * GREATEST(p_home, p_draw, p_away) + 0.20 * 0.5 + 0.15 + 0.10 + 0.05 * (1 - LEAST(1.0, ood)) + 0.05 * (1 - LEAST(1.0, dis)))) AS pr FROM g),
+dr AS (SELECT avg(d) AS drift FROM ({' UNION ALL '.join(f"SELECT GREATEST(0, LEAST(1, abs((SELECT avg({x}) FROM t) - avg({x})) / (stddev_pop({x}) + 1e-12) / 3)) AS d FROM rf" for x in ('lam_h', 'lam_a', 'p_home'))})),
+{_RUNS}
+SELECT e.league, count(*) AS rows, ROUND(avg(dis), 8) AS disagreement, ROUND(avg(ood), 8) AS ood, ROUND(avg(pr), 8) AS predictability, ROUND(avg(set_size), 8) AS mean_set_size, ROUND(avg(CASE WHEN set_size = 0 THEN 1 ELSE 0 END), 8) AS abstain_rate,
+  ROUND(any_value(drift), 8) AS drift, concat_ws(',', NULLIF(any_value(blockers), ''), CASE WHEN any_value(drift) >= 0.33 THEN 'drift' END) AS blockers
+FROM e JOIN f USING (game_id) CROSS JOIN dr JOIN bl ON bl.league = e.league GROUP BY e.league""")
 def _(v: Views):
-    """Disagreement, drift, out-of-distribution share, predictability and conformal size on one prediction table."""
+    """Disagreement, drift, out-of-distribution share, predictability, conformal size and blockers on one prediction table."""
     from tideline.operators import quality as Q
 
     cut = F.expr("TIMESTAMP '1999-06-01 00:00:00 UTC'")
@@ -118,7 +135,13 @@ def _(v: Views):
         F.count(F.lit(1)).alias("rows"), F.avg("disagreement").alias("disagreement"), F.avg("ood").alias("ood"), F.avg("predictability").alias("predictability"), F.avg("set_size").alias("mean_set_size"),
         F.avg((F.col("action") == "ABSTAIN").cast("int")).alias("abstain_rate"))
     drift = Q.drift(ref, cur, cols).agg(F.max("score").alias("drift")).withColumn("_one", F.lit(1))
-    return us(out.withColumn("_one", F.lit(1)).join(drift, "_one").drop("_one").withColumn("blockers", F.when(F.col("drift") >= 0.33, "drift").otherwise("")), digits=8)
+    oos = cur.withColumns({
+        "prediction_time": F.expr("CASE WHEN league = 'N' AND k1 % 997 = 0 THEN NULL ELSE ts END"), "available_at": F.expr("ts - INTERVAL 1 HOUR + CASE WHEN league = 'A' AND k2 % 97 = 0 THEN INTERVAL '1' DAY ELSE INTERVAL '0' DAY END"),
+        "pit_matched": F.expr("NOT (league = 'R' AND k1 % 89 = 0)"), "delivered": F.expr("ts - CASE WHEN league = 'R' THEN int(k1 % 3) ELSE 0 END * INTERVAL '1' DAY")})
+    blocked = X.oos_blockers(oos, M["m1"], "y", ["delivered", "game_id"]).select("league", "blockers")
+    both = out.withColumn("_one", F.lit(1)).join(drift, "_one").drop("_one").join(blocked, "league")
+    named = F.concat_ws(",", F.when(F.col("blockers") != "", F.col("blockers")), F.when(F.col("drift") >= 0.33, F.lit("drift")))
+    return us(both.withColumn("blockers", named), digits=8)
 
 
 @register("e46_candidate_replay")

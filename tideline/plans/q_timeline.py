@@ -123,11 +123,12 @@ def _(v: Views):
 
 
 @register("w9_apply_stages", f"""WITH {H2H},
-d AS (SELECT *, CAST(FLOOR((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY league, entity ORDER BY ts))) / 86400e6) AS DOUBLE) AS rest
-      FROM (SELECT DISTINCT league, entity, ts FROM entity_rows))
-SELECT hh.game_id, a.rest AS home_rest_days, b.rest AS away_rest_days, a.rest - b.rest AS rest_days_diff, h2h_meetings, h2h_home_win_rate,
-  h2h_draw_rate{SHOTS} FROM hh JOIN d a ON a.league = hh.league AND a.entity = hh.home AND a.ts = hh.ts
-JOIN d b ON b.league = hh.league AND b.entity = hh.away AND b.ts = hh.ts""")
+d AS MATERIALIZED (SELECT *, CAST(FLOOR((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY league, entity ORDER BY ts))) / 86400e6) AS DOUBLE) AS rest
+      FROM (SELECT DISTINCT league, entity, ts FROM entity_rows)),
+e AS (SELECT game_id, max(CASE WHEN side = 'H' THEN rest END) AS home_rest_days, max(CASE WHEN side = 'A' THEN rest END) AS away_rest_days
+      FROM entity_rows JOIN d USING (league, entity, ts) GROUP BY game_id)
+SELECT hh.game_id, home_rest_days, away_rest_days, home_rest_days - away_rest_days AS rest_days_diff, h2h_meetings, h2h_home_win_rate,
+  h2h_draw_rate{SHOTS} FROM hh JOIN e USING (game_id)""")
 def _(v: Views):
     out = T.apply_stages(_shots(v.games), ["rest_days", "head_to_head", "shot_efficiency"])
     keep = ["game_id", "home_rest_days", "away_rest_days", "rest_days_diff", "h2h_meetings", "h2h_home_win_rate", "h2h_draw_rate",

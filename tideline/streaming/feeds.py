@@ -83,7 +83,7 @@ def revision_stream(ledger: DataFrame) -> DataFrame:
     """Revisions and backfills with one small state row per (league, entity type, entity, source).
 
     Late observations are data, not noise: nothing is dropped, an earlier availability is reported as BACKFILL.  A batch
-    holds what one trigger admits (``maxFilesPerTrigger``), so a task never sees a key's whole history.
+    holds what one trigger admits; a source of many files should set ``maxFilesPerTrigger``, or the first trigger is its whole backlog.
     """
     cols = ["league", "entity_type", "entity_id", "source", "event_id", "payload_hash", "available_at", "source_timestamp", "retrieved_at"]
     return ledger.select(*cols).groupBy("league", "entity_type", "entity_id", "source").applyInPandasWithState(
