@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -24,6 +25,17 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What worker processes keep between tasks, by owner: functions that let go of it.
+STORES: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str = "") -> None:
+    """Lets go of what other operators have kept in this worker process."""
+    for name, forget in STORES.items():
+        if name != owner:
+            forget()
+
+
 def slices(batches, rows: int = 500):
     """Arrow batches in slices of few rows, whatever the session's batch size: a row may be a very long text."""
     for b in batches:

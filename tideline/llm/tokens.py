@@ -21,6 +21,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tideline.llm.common import STORES, only
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
@@ -38,6 +40,7 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[str, Encoder] = {}
+STORES["tokens"] = _encoders.clear
 
 
 def byte_letters(text: str) -> str:
@@ -198,6 +201,7 @@ class WordEncoder(Encoder):
 
 def encoder(path: str | None = None, words: bool = False) -> Encoder:
     """One encoder for each worker process and vocabulary file."""
+    only("tokens")
     path = path or public_tokenizers.path(WORD_VOCABULARY if words else DEFAULT_VOCABULARY)
     if path not in _encoders:
         _encoders[path] = (WordEncoder if words else Encoder)(path)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices, stage, text_of, texts
+from tideline.llm.common import STORES, only, slices, stage, text_of, texts
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -378,11 +378,12 @@ def forms(word: str) -> list[str]:
 
 
 _readers: dict[str, Reader] = {}
+STORES["toxicity"] = _readers.clear
 
 
 def reader(name: str, counts: np.ndarray) -> Reader:
     if name not in _readers:
-        _readers.clear()
+        only()
         _readers[name] = Reader(counts)
     return _readers[name]
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices, stage, text_of, texts
+from tideline.llm.common import only, slices, stage, text_of, texts
 
 MIN_WORDS = 8
 #: A sentence: what comes before closing marks or a line end, these, and the white space after; or the rest of the text.
@@ -53,6 +53,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        only()
         for b in slices(batches):
             row, start, end, digest = [], [], [], []
             for i, text in enumerate(texts(b)):
