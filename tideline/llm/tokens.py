@@ -6,9 +6,8 @@ piece that is letters of the Latin blocks and ASCII marks after them is one or t
 and goes to the library's model directly, any other goes through the whole library by itself. Texts that hold the string of a special token
 are never cut: the library alone decides about them. So ids are those of the plain call `encode(text, add_special_tokens=False)`.
 
-The store is two generations, each bounded by BYTES; a piece enters when it is met a second time (remembered by its hash), so words that
-occur once take no room, and pieces of more than LONGEST characters never enter, so texts without blanks leave nothing behind. Emptying a
-store costs time and changes no id.
+The store is two generations, each bounded by BYTES; pieces of more than LONGEST characters are never stored, so texts without
+blanks leave nothing behind. Emptying a store costs time and changes no id.
 """
 
 from __future__ import annotations
@@ -28,14 +27,11 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Bytes of a generation of the store (an entry takes its piece, its ids and about ENTRY bytes), characters of a piece stored,
 #: pieces looked up at once.
-BYTES, ENTRY, LONGEST, AT_ONCE = 65_000_000, 200, 64, 200_000
-#: Slots of the hashes of pieces met once, less one.
-MEETINGS = (1 << 22) - 1
+BYTES, ENTRY, LONGEST, AT_ONCE = 100_000_000, 200, 64, 200_000
 #: A blank after white space that no visible character follows: there, cutting at every blank would cut inside a run.
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
-#: Letters that are one word to either splitting rule; ASCII marks (no apostrophe) after them are another.
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ʯ]+")
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that are one word to either splitting rule, then ASCII marks (no apostrophe), which are another.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([!-&(-/:-@\[-`{-~]*)")
 #: The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -55,39 +51,22 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = Tokenizer(self.tokenizer.model)  # no splitting, no normalising: words are given
         self.ids = max(self.tokenizer.get_vocab().values()) + 1
-        self.size, self.last = np.zeros(self.ids, np.int64), np.zeros(self.ids, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.size[i], self.last[i] = len(token), token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held, self.met, self.meetings = 0, bytearray(MEETINGS + 1), 0
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the plain call."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def model_ids(self, shown: str) -> bytes:
+        """Ids of one word in the byte-level alphabet."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def shown(self, letters: str) -> str:
-        """A word in the byte-level alphabet, as the splitting rule hands it to the model."""
         return "Ġ" + (letters if letters.isascii() else byte_letters(letters))
 
-    def ends(self, ids: np.ndarray, words: list[str]) -> np.ndarray:
-        """Where the ids of each word end."""
-        return np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) for w in words])) + 1
-
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words in the byte-level alphabet, by the model alone."""
-        out = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.array(self.model.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            raw, start = ids.tobytes(), 0
-            for stop in (4 * self.ends(ids, part)).tolist():
-                out.append(raw[start:stop])
-                start = stop
-        return out
-
     def cut(self, text: str) -> list[str]:
         return text.split(" ")
 
@@ -96,39 +75,28 @@ class Encoder:
         return bool(_INSIDE_RUN.search(text))
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces that are not in the store afterwards: those met for the first time, and those never stored."""
-        known, older, before = self.known, self.older, len(self.known)
-        other, plain, stems = [], [], {}
-        if older:
-            again = pieces & older.keys()
-            known.update((p, older[p]) for p in again)
-            pieces = pieces - again
+        found, other, marks, older, known = {}, [], {}, self.older, self.known
         for p in pieces:
-            word = p.rstrip(MARKS)
-            if word and len(p) <= LONGEST and (word.isalpha() if word.isascii() else _LATIN.fullmatch(word)):
-                plain.append((p, word))
-            else:
-                other.append(p)
-        for w in {w for _, w in plain}:
-            stems[w] = known.get(w) or older.get(w)
-        new = [w for w, ids in stems.items() if ids is None]
-        stems.update(zip(new, self.word_ids([self.shown(w) for w in new]), strict=True))
-        marks = list({p[len(w) :] for p, w in plain} - {""})
-        marks = dict(zip(marks, self.word_ids(marks), strict=True))
-        found = dict(zip(other, self.whole([self.blank + p for p in other]), strict=True))
-        found.update((p, stems[w] + marks[p[len(w) :]] if len(p) != len(w) else stems[w]) for p, w in plain)
-        met, keep = self.met, []
-        for p in found:
-            at = hash(p) & MEETINGS
-            if not met[at]:
-                met[at] = 1
-            elif p and len(p) <= LONGEST and not p[0].isspace():
-                keep.append(p)
-        self.meetings += len(found) - len(keep)
-        if self.meetings > MEETINGS // 4:
-            self.met, self.meetings = bytearray(MEETINGS + 1), 0
-        known.update((p, found.pop(p)) for p in keep)
-        self.held += (ENTRY + 24) * (len(known) - before) + sum(map(len, keep))
+            ids = older.get(p)
+            if ids is None:
+                plain = _PLAIN.fullmatch(p)
+                if plain is None or len(p) > LONGEST:
+                    other.append(p)
+                    continue
+                letters, tail = plain.groups()
+                ids = known.get(letters) or older.get(letters) or self.model_ids(self.shown(letters))
+                if tail:
+                    if tail not in marks:
+                        marks[tail] = self.model_ids(tail)
+                    found[letters] = ids
+                    ids += marks[tail]
+            found[p] = ids
+        for p, ids in zip(other, self.whole([self.blank + p for p in other]), strict=True):
+            found[p] = ids
+        for p, ids in found.items():
+            if len(p) <= LONGEST and p and not p[0].isspace():
+                known[p] = ids
+                self.held += len(p) + len(ids) + ENTRY
         return found
 
     def look(self, texts: list[str], heads: list[bytes], pieces: list[str], ends: list[int]) -> list[bytes]:
@@ -147,8 +115,7 @@ class Encoder:
         torn = [k for k in torn if self.torn(texts[k])]
         found = self.learn({pieces[i] for i in missing})
         for i in missing:
-            p = pieces[i]
-            ids[i] = found[p] if p in found else self.known[p]
+            ids[i] = found[pieces[i]]
         out: list[bytes | None] = [h + b"".join(ids[lo:hi]) for h, lo, hi in zip(heads, [0, *ends], ends, strict=False)]
         for k, right in zip(torn, self.whole([texts[k] for k in torn]), strict=True):
             out[k] = right
@@ -189,9 +156,6 @@ class WordEncoder(Encoder):
     def shown(self, letters: str) -> str:
         return letters.lower() if letters.isascii() else byte_letters(letters.lower())
 
-    def ends(self, ids: np.ndarray, words: list[str]) -> np.ndarray:
-        return np.flatnonzero(self.last[ids]) + 1
-
     def cut(self, text: str) -> list[str]:
         return ["", *text.replace("\n", " ").split(" ")]
 
