@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
+from tideline.operators import evaluate as E
 from tideline.operators import ordered as O
 from tideline.operators import timeline as T
 
@@ -122,3 +123,25 @@ def test_unknown_stage_is_an_error(spark):
 
     with pytest.raises(KeyError):
         T.apply_stages(games(spark, 3)[1], ["nope"])
+
+
+def test_repeated_rows_move_once_in_range_counts(spark, monkeypatch):
+    """Equal facts and equal asks are one row before the time axis is numbered."""
+    rng = random.Random(5)
+    kinds = [("k", T0 + timedelta(days=rng.randrange(5)), rng.randrange(4) / 4, rng.randrange(3)) for _ in range(2000)]
+    probs = {0: (0.5, 0.25, 0.25), 1: (0.25, 0.5, 0.25), 2: (0.25, 0.25, 0.5), 3: (0.5, 0.5, 0.0)}
+    rows = [(k, t, str(i), *probs[int(v * 4)], y) for i, (k, t, v, y) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "league string, ts timestamp, game_id string, a double, b double, c double, y int")
+    moved, plain = [], O.row_numbers
+    monkeypatch.setattr(O, "row_numbers", lambda d, *a, **k: (moved.append(d.count()), plain(d, *a, **k))[1])
+    out = E.walk_forward_conformal(df.withColumn("m", F.expr("ts + INTERVAL 2 DAYS")), ["a", "b", "c"], "y", "game_id", ["league"], "ts", "m")
+    got = {r.game_id: r for r in out.collect()}
+    series = {r.game_id: r for r in E.predictability_series(df, ["a", "b", "c"], "y", "game_id", ["league"], "ts").collect()}
+    assert len(got) == len(series) == len(rows) and len(moved) == 2 and max(moved) < 100
+    for _, t, i, *p, _y in rows[:200]:
+        past = [1.0 - r[3:6][r[6]] for r in rows if r[1] + timedelta(days=2) <= t]
+        assert got[i].calibration_count == len(past)
+        for c in range(3):
+            want = (1 + sum(s >= 1.0 - p[c] for s in past)) / (len(past) + 1) if len(past) >= 30 else None
+            assert got[i][f"pv{c}"] == want
+        assert series[i].history_count == sum(r[1] < t and abs(max(r[3:6]) - max(p)) <= 0.1 for r in rows)

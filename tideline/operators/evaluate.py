@@ -269,18 +269,21 @@ def walk_forward_conformal(df: DataFrame, p: Sequence[str], y: str, qid: str, ke
     so none calibrates on its own outcome.
 
     Counting matured scores above a threshold is a range count on the maturity axis, see
-    :func:`tideline.operators.ordered.prior_range_counts`.
+    :func:`tideline.operators.ordered.range_counts`.
     """
     cols = [F.col(c) for c in p]
     hit = cols[-1]
     for i in range(len(p) - 2, -1, -1):
         hit = F.when(F.col(y) == i, cols[i]).otherwise(hit)
     facts = df.select(*keys, F.greatest(F.col(mature_at), F.col(pred_time) + F.expr("INTERVAL 0.000001 SECOND")).alias("_ts"), (1.0 - hit).alias("_score"))
-    asks = df.select(*keys, F.col(pred_time).alias("_ts"), qid, F.posexplode(F.array(*[1.0 - c for c in cols], F.lit(-1.0))).alias("_cls", "_lo"))
-    asks = asks.withColumns({"_hi": F.lit(2.0), "_qid": F.concat_ws("#", qid, "_cls")})
-    counts = O.prior_range_counts(facts, asks, keys, "_ts", "_score", "_lo", "_hi", "_qid", {"n": F.lit(1)})
-    parts = counts.select(F.substring_index("_qid", "#", 1).alias(qid), F.substring_index("_qid", "#", -1).cast("int").alias("_cls"), "n")
-    wide = parts.groupBy(qid).agg(*[F.max(F.when(F.col("_cls") == i, F.col("n"))).alias(f"_n{i}") for i in range(len(p) + 1)])
+    # cases of the same key, time and probabilities ask the same
+    same = [*keys, pred_time, *p]
+    asks = df.select(*same).distinct().select(*same, F.posexplode(F.array(*[1.0 - c for c in cols], F.lit(-1.0))).alias("_cls", "_lo"))
+    asks = asks.withColumns({"_ts": F.col(pred_time), "_hi": F.lit(2.0)})
+    counts = O.range_counts(facts, asks, keys, "_ts", "_score", "_lo", "_hi", {"n": F.lit(1)})
+    parts = O.attach(asks, counts, [*keys, "_ts", "_lo", "_hi"])
+    wide = parts.groupBy(*same).agg(*[F.max(F.when(F.col("_cls") == i, F.col("n"))).alias(f"_n{i}") for i in range(len(p) + 1)])
+    wide = O.attach(df.select(qid, *same), wide, same)
     n = F.col(f"_n{len(p)}")
     pv = wide.select(qid, n.alias("calibration_count"), *[F.when(n >= minimum, (1.0 + F.col(f"_n{i}")) / (n + 1.0)).alias(f"pv{i}") for i in range(len(p))])
     return prediction_set(pv, len(p), alpha)
