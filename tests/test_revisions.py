@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import evaluate as E
+from tideline.operators import experience as X
 from tideline.operators import joins as J
 from tideline.operators import normalize as N
 from tideline.operators import quality as Q
@@ -105,3 +106,38 @@ def test_rules_of_the_small_tables(spark):
     found = N.classify_competition(spark.createDataFrame([("NPB", "?"), ("MLB", "?"), ("X", "?")], "lg string, kind string"), F.col("lg"), F.col("kind"))
     assert [(r["competition"], r["competition_key"]) for r in found.collect()] == [("npb_unknown", "NPB:npb_unknown:unknown"), ("mlb_unknown", "MLB:mlb_unknown:unknown"), ("unknown", "X:unknown")]
     assert "h_venue_pts" not in N.variant_columns(["home_adv", "h_venue_pts", "h_gf_3"], "TEAM_CORE_SHORT_HORIZON")
+
+
+def test_policy_replay_asks_once_for_cases_of_the_same_time_and_strata(spark, monkeypatch):
+    """Revised games count by their latest matured revision and never for themselves; equal questions are put once."""
+    rng = random.Random(8)
+    shown = [(0.5, 0.3, 0.2), (0.2, 0.3, 0.5)]
+    cases = [(f"{i}", f"g{i if i % 3 else i // 9}", T0 + timedelta(days=rng.randrange(6)), *shown[i % 2], rng.randrange(3), "AB"[rng.randrange(2)]) for i in range(400)]
+    cases = list({(c[1], c[2]): c for c in cases}.values())
+    df = spark.createDataFrame(cases, "q string, game_id string, prediction_time timestamp, a double, b double, c double, y int, k string").withColumns({
+        "available_at": F.expr("prediction_time + INTERVAL 2 DAYS"),
+        "strata": F.expr("array(named_struct('scope', 'global', 'key', 'GLOBAL', 'spec', 1), named_struct('scope', 'target', 'key', k, 'spec', 2), null)")})
+    asked, plain = [], J.matured_sums
+    monkeypatch.setattr(J, "matured_sums", lambda t, *a, **kw: (asked.append(t.count()), plain(t, *a, **kw))[1])
+    got = {r["q"]: r for r in X.policy_replay(df, "q", ["a", "b", "c"], "y").collect()}
+    assert len(got) == len(cases) and asked == [24]
+    sources = set()
+    for q, g, t, *p, y, k in cases:
+        latest = {}
+        for c in sorted(cases, key=lambda c: c[2]):
+            if c[2] + timedelta(days=2) <= t and c[1] != g:
+                latest[c[1]] = c
+        rows = {"target:" + k: [c for c in latest.values() if c[7] == k], "global:GLOBAL": list(latest.values())}
+        best = next((s for s in rows if len(rows[s]) >= 30), None)
+        assert got[q]["policy_source"] == best
+        sources.add(best)
+        raw = p
+        if best:
+            share = [sum(c[6] == i for c in latest.values()) / len(latest) for i in range(3)]
+            n, raw = len(rows[best]), []
+            for i in range(3):
+                d = (sum(c[6] == i for c in rows[best]) + 50 * share[i]) / (n + 50) - sum(c[3 + i] for c in rows[best]) / n
+                ratio = min(2.0, max(0.5, min(1.0, max(1e-6, p[i] + d)) / p[i]))
+                raw.append(p[i] * math.exp(0.5 * min(0.35, max(-0.35, math.log(ratio)))))
+        assert [got[q][f"learned_{n}"] for n in "abc"] == pytest.approx([x / sum(raw) for x in raw], rel=1e-9)
+    assert None in sources and len(sources) > 1

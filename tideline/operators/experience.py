@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import arrays as A
 from tideline.operators import ordered as O
+from tideline.session import stored
 
 
 def revision_metadata(df: DataFrame, p: Sequence[str], game: str, cutoff: str, pid: str) -> DataFrame:
@@ -98,8 +99,12 @@ def _choose(rows: DataFrame, qid: str) -> DataFrame:
 
 
 def _corrected(cases: DataFrame, best: DataFrame, qid: str, p: Sequence[str]) -> DataFrame:
+    return _fixed(cases.join(best, qid, "left"), p)
+
+
+def _fixed(j: DataFrame, p: Sequence[str]) -> DataFrame:
+    """Rows with their chosen stratum ``_e`` (or none), corrected by it."""
     hit = F.col("_e").isNotNull()
-    j = cases.join(best, qid, "left")
     raw = bounded_correct([F.col(c) for c in p], [F.col(f"_e.delta{i}") for i in range(3)])
     # staged, so that the total is computed once
     j = j.withColumns({f"_raw{i}": F.when(hit, r).otherwise(F.col(c)) for i, (c, r) in enumerate(zip(p, raw, strict=True))})
@@ -117,18 +122,39 @@ def policy_apply(cases: DataFrame, policy: DataFrame, qid: str, p: Sequence[str]
 def policy_replay(cases: DataFrame, qid: str, p: Sequence[str], y: str, minimum: int = 30, prior: float = 50.0) -> DataFrame:
     """Each case corrected only with experience matured before its own cutoff.
 
-    Matured sums per stratum are read from running totals on the time axis; no case meets its history row by row.
+    Matured sums per stratum are read from running totals on the time axis, once for all cases of the same time and strata (told apart by
+    a 128-bit hash of them); no case meets its history row by row. A case's own game is taken out where the game has an earlier revision.
     """
-    from tideline.operators.joins import matured_sums
+    from tideline.operators.joins import matured_steps, matured_sums, revised_games
 
-    sums = _sums(p, y)
+    sums = {"rows": F.lit(1), **_sums(p, y)}
     facts = cases.select("game_id", "prediction_time", "available_at", "strata", *[c.alias(n) for n, c in sums.items()])
-    asks = by_stratum(cases, qid, "prediction_time")
-    seen = matured_sums(asks, facts, ["scope", "key"], "prediction_time", "prediction_time", "available_at", {"rows": F.lit(1), **{n: F.col(n) for n in sums}}, game="game_id", strata="strata")
-    top = seen.filter((F.col("scope") == "global") & (F.col("rows") > 0)).select(qid, *[(F.col(REAL[i]) / F.col("rows")).alias(f"_g{i}") for i in range(3)], F.col("rows").alias("matured_rows"))
-    ok = seen.filter(F.col("rows") >= minimum).join(top, qid)
-    delta = [((F.col(REAL[i]) + prior * F.col(f"_g{i}")) / (F.col("rows") + prior) - F.col(PRED[i]) / F.col("rows")).alias(f"delta{i}") for i in range(3)]
-    return _corrected(cases, _choose(ok.select(qid, "scope", "key", "spec", "rows", *delta), qid), qid, p)
+    plain = {n: F.col(n) for n in sums}
+    sig = {"_sig0": F.xxhash64("prediction_time", "strata"), "_sig1": F.xxhash64("strata", "prediction_time", F.lit(1))}
+    signed = cases.withColumns(sig)
+    kinds = signed.groupBy(*sig).agg(F.first("prediction_time").alias("prediction_time"), F.first("strata").alias("strata"))
+    revised = revised_games(facts, "game_id")
+    seen = matured_sums(by_stratum(kinds, *sig, "prediction_time"), facts,
+                        ["scope", "key"], "prediction_time", "prediction_time", "available_at", plain, game="game_id", strata="strata", revised=revised)
+    seen = seen.groupBy(*sig).agg(F.collect_list(F.struct("scope", "key", "spec", *sums)).alias("_seen"))
+    again = F.col("game_id").eqNullSafe(F.col("_many"))
+    some = facts.join(revised.select(F.col("game_id").alias("_many")), again, "left_semi")
+    steps = matured_steps(some, ["scope", "key"], "prediction_time", "available_at", plain, "game_id", strata="strata", revised=revised)
+    mine = steps.select("game_id", "_t", F.col("_c._under").alias("_own_under"), F.col("_c._sums").alias("_own"))
+    own = O.as_of(some.select("game_id", "prediction_time").distinct(), mine, ["game_id"], "prediction_time", "_t", ["_t"], ["_own_under", "_own"])
+    own = stored(own.filter(F.col("_own").isNotNull()), "own")
+    j = O.attach(signed.join(seen, list(sig), "left"), own, ["game_id", "prediction_time"])
+    here = lambda x: F.exists("_own_under", lambda u: (u["scope"] == x["scope"]) & (u["key"] == x["key"]))
+    less = lambda x, n: x[n] - F.when(here(x), F.col("_own")[n]).otherwise(F.lit(0))
+    others = F.transform("_seen", lambda x: F.struct(x["scope"].alias("scope"), x["key"].alias("key"), x["spec"].alias("spec"), *[less(x, n).alias(n) for n in sums]))
+    j = j.withColumn("_seen", F.when(F.col("_own").isNull(), F.col("_seen")).otherwise(others))
+    j = j.withColumn("_top", F.get(F.filter("_seen", lambda x: (x["scope"] == "global") & (x["rows"] > 0)), F.lit(0)))
+    delta = lambda x, i: (x[REAL[i]] + prior * F.col("_top")[REAL[i]] / F.col("_top.rows")) / (x["rows"] + prior) - x[PRED[i]] / x["rows"]
+    # most specific stratum, then the one with most rows, then by name
+    found = F.transform(F.filter("_seen", lambda x: x["rows"] >= minimum), lambda x: F.struct(
+        (-x["spec"]).alias("a"), (-x["rows"]).alias("b"), x["scope"].alias("scope"), x["key"].alias("key"), *[delta(x, i).alias(f"delta{i}") for i in range(3)]))
+    j = j.withColumn("_e", F.when(F.col("_top").isNotNull(), F.array_min(found))).drop("_seen", "_own", "_own_under", "_top", *sig)
+    return _fixed(j, p)
 
 
 def policy_strata(cases: DataFrame, p: Sequence[str], y: str) -> DataFrame:

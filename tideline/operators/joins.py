@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import ordered as O
+from tideline.session import stored
 
 
 def unique_or_fail(df: DataFrame, keys: Sequence[str], what: str = "join key") -> DataFrame:
@@ -71,25 +72,42 @@ def hour_join(left: DataFrame, hourly: DataFrame, keys: Sequence[str], left_ts:
     return left.withColumn("_hour", F.date_trunc("hour", left_ts)).join(last, [*keys, "_hour"], "left").drop("_hour")
 
 
+def revised_games(history: DataFrame, game: str) -> DataFrame:
+    """The games with more than one row."""
+    return stored(history.groupBy(game).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(game), "revised")
+
+
+def matured_steps(history: DataFrame, keys: Sequence[str], pred_time: str, mature_at: str, sums: Mapping[str, Column], game: str,
+                  order: Sequence[str] = (), strata: str | None = None, revised: DataFrame | None = None) -> DataFrame:
+    """(game, _t, _c, _p) for each matured revision that is later than all matured before it; ``_p`` is its predecessor. Games of one row
+    are steps as they stand and need no shuffle."""
+    ok = F.when(F.col(mature_at) > F.col(pred_time), F.col(mature_at)).otherwise(
+        F.raise_error(F.lit("outcome not after its prediction")).cast("timestamp"))
+    rank = F.struct(F.col(pred_time).alias("r"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(order)])
+    under = F.transform(F.array_compact(strata), lambda x: F.struct(*[x[k].alias(k) for k in keys])) if strata else F.array(F.struct(*keys))
+    cases = history.withColumns({"_t": ok, **{n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}})
+    cases = cases.select(game, "_t", F.struct(rank.alias("_rank"), under.alias("_under"), F.struct(*sums).alias("_sums")).alias("_c"))
+    many = (revised_games(history, game) if revised is None else revised).select(F.col(game).alias("_many"))
+    of_many = F.col(game).eqNullSafe(F.col("_many"))
+    # one row per game and maturity: the latest prediction among those that mature together
+    again = cases.join(many, of_many, "left_semi").groupBy(game, "_t").agg(F.max("_c").alias("_c"))
+    prior = F.max("_c").over(Window.partitionBy(game).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("_p", prior).filter(F.col("_p").isNull() | (F.col("_c._rank") > F.col("_p._rank")))
+    return cases.join(many, of_many, "left_anti").unionByName(again, allowMissingColumns=True)
+
+
 def matured_sums(targets: DataFrame, history: DataFrame, keys: Sequence[str], at: str, pred_time: str, mature_at: str,
-                 sums: Mapping[str, Column], game: str = "game_id", order: Sequence[str] = (), strata: str | None = None) -> DataFrame:
+                 sums: Mapping[str, Column], game: str = "game_id", order: Sequence[str] = (), strata: str | None = None,
+                 revised: DataFrame | None = None) -> DataFrame:
     """Per target: sums over prior cases already matured (``mature_at <= t``), the latest matured revision of each game, the target's
     own game excluded.
 
     On the maturity axis a revision that is later than all matured before it enters with its values and takes its predecessor's out, so
     nothing is paired and no target sees a revision from after its time; the two may lie under different keys. ``strata`` names an array
     of structs that hold the keys, for cases that count under several. A case must mature after it was predicted; otherwise the query
-    fails. Targets of unknown key stay and see the history of that key.
+    fails. ``revised`` is :func:`revised_games`, where it is at hand. Targets of unknown key stay and see the history of that key.
     """
-    ok = F.when(F.col(mature_at) > F.col(pred_time), F.col(mature_at)).otherwise(
-        F.raise_error(F.lit("outcome not after its prediction")).cast("timestamp"))
-    rank = F.struct(F.col(pred_time).alias("r"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(order)])
-    under = F.transform(F.array_compact(strata), lambda x: F.struct(*[x[k].alias(k) for k in keys])) if strata else F.array(F.struct(*keys))
-    # one row per game and maturity: the latest prediction among those that mature together
-    cases = history.withColumns({"_t": ok, **{n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}})
-    cases = cases.groupBy(game, "_t").agg(F.max(F.struct(rank.alias("_rank"), under.alias("_under"), F.struct(*sums).alias("_sums"))).alias("_c"))
-    prior = F.max("_c").over(Window.partitionBy(game).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
-    steps = cases.withColumn("_p", prior).filter(F.col("_p").isNull() | (F.col("_c._rank") > F.col("_p._rank")))
+    steps = matured_steps(history, keys, pred_time, mature_at, sums, game, order, strata, revised)
     moved = F.array_compact(F.array(F.struct(F.lit(1).alias("_sign"), F.col("_c").alias("_of")), F.when(F.col("_p").isNotNull(), F.struct(F.lit(-1).alias("_sign"), F.col("_p").alias("_of")))))
     facts = steps.select("_t", F.inline(moved)).select("_t", "_sign", "_of._sums", F.inline("_of._under"))
     facts = facts.select(*keys, "_t", F.lit(0).alias("_side"), *[(F.col("_sign") * F.col(f"_sums.{n}")).alias(n) for n in sums])
