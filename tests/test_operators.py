@@ -239,3 +239,29 @@ def test_shuffled_is_a_permutation(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(100)], "id int, x double")
     out = L.shuffled(df, "x", 1).collect()
     assert sorted(r.x for r in out) == [float(i) for i in range(100)] and any(r.x != r.id for r in out)
+
+
+def test_timed_neighbours_leave_out_what_no_query_sees(spark, monkeypatch):
+    """Retrieval under RMS with small chunks and parts against all pairs; rows later than every query reach no task."""
+    rng = random.Random(3)
+    value = lambda: None if rng.random() < 0.2 else float(rng.randrange(6))
+    hs = [(1000 + i, [value(), value(), float(i % 5)], i % 60, i % 60 + rng.randrange(4)) for i in range(300)] + [(5000 + i, [0.0, 0.0, 0.0], 900, 900) for i in range(200)]
+    qs = [(i, [value(), value(), float(i % 4)], i % 70 if i else None) for i in range(120)]
+    h = spark.createDataFrame(hs, "hid long, hv array<double>, ht int, ha int")
+    q = spark.createDataFrame(qs, "qid long, qv array<double>, qt int")
+    seen, plain = [], N._round
+    monkeypatch.setattr(N, "CHUNK", 40)
+    monkeypatch.setattr(N, "PART", 50)
+    monkeypatch.setattr(N, "_round", lambda asks, rows, *a: (seen.append((asks.count(), rows.count())), plain(asks, rows, *a))[1])
+    got = {}
+    for r in N.nearest(h, q, 4, metric="rms").collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = (round(r["distance"], 9), r["hid"])
+    for qid, v, t in qs:
+        want = []
+        for hid, u, ht, ha in hs:
+            both = [(a - b) ** 2 for a, b in zip(v, u, strict=True) if a is not None and b is not None]
+            if t is not None and ht < t and ha <= t and both:
+                want.append((round((sum(both) / len(both)) ** 0.5, 9), hid))
+        assert got.get(qid, {}) == dict(enumerate(sorted(want)[:4], 1))
+    asks, rows = seen[0]
+    assert rows == 300 and asks < 8 * len(qs)
