@@ -141,3 +141,17 @@ def test_policy_replay_asks_once_for_cases_of_the_same_time_and_strata(spark, mo
                 raw.append(p[i] * math.exp(0.5 * min(0.35, max(-0.35, math.log(ratio)))))
         assert [got[q][f"learned_{n}"] for n in "abc"] == pytest.approx([x / sum(raw) for x in raw], rel=1e-9)
     assert None in sources and len(sources) > 1
+
+
+def test_policy_strata_tell_apart_only_games_of_several_rows(spark, monkeypatch):
+    named = lambda *ks: "array(" + ", ".join(f"named_struct('scope', 's', 'key', {k}, 'spec', 1)" if k else "null" for k in ks) + ")"
+    rows = [(g, i % 3, "ab"[i % 2]) for i, g in enumerate(["g1", "g2", "g2", "g3", "g3", "g3", None, None, "g4", "g5"])]
+    df = spark.createDataFrame(rows, "game_id string, y int, k string").withColumns({"a": F.lit(0.5), "b": F.lit(0.25), "c": F.lit(0.25), "strata": F.expr(named("'all'", "k", "k", None))})
+    told, plain = [], X.by_stratum
+    monkeypatch.setattr(X, "by_stratum", lambda d, *c: (told.append(d.count()), plain(d, *c))[1])
+    got = {r["key"]: (r["rows"], r["games"], r["pred0"], r["actual1"]) for r in X.policy_strata(df, ["a", "b", "c"], "y").collect()}
+    want = {}
+    for key in ("all", "a", "b"):
+        mine = [r for r in rows for _ in range(1 if key == "all" else 2) if key in ("all", r[2])]
+        want[key] = (len(mine), len({r[0] for r in mine if r[0]}), 0.5 * len(mine), float(sum(r[1] == 1 for r in mine)))
+    assert got == want and told == [7]

@@ -158,11 +158,22 @@ def policy_replay(cases: DataFrame, qid: str, p: Sequence[str], y: str, minimum:
 
 
 def policy_strata(cases: DataFrame, p: Sequence[str], y: str) -> DataFrame:
-    """Rows, distinct games and sums of predicted and actual per stratum."""
-    sums = _sums(p, y)
-    long = by_stratum(cases, "game_id", *[c.alias(n) for n, c in sums.items()])
-    return long.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("game_id").alias("games"),
-                                            *[F.sum(PRED[i]).alias(f"pred{i}") for i in range(3)], *[F.sum(REAL[i]).alias(f"actual{i}") for i in range(3)])
+    """Rows, distinct games and sums of predicted and actual per stratum. Games of one row are counted where they stand; only the others
+    are told apart stratum by stratum."""
+    from tideline.operators.joins import revised_games
+
+    sums = {f"pred{i}": F.col(PRED[i]) for i in range(3)} | {f"actual{i}": F.col(REAL[i]) for i in range(3)}
+    own = cases.select("game_id", "strata", *[c.alias(n) for n, c in _sums(p, y).items()])
+    revised = revised_games(cases.select("game_id"), "game_id").select(F.col("game_id").alias("_many"))
+    again = F.col("game_id").eqNullSafe(F.col("_many"))
+    named = F.transform("strata", lambda x: F.struct(x["scope"].alias("scope"), x["key"].alias("key")))
+    # a stratum named twice is two rows of one game
+    single = own.join(revised, again, "left_anti").select("game_id", *PRED, *REAL, named.alias("_all"), F.posexplode("strata").alias("_at", "_x")).filter(F.col("_x.scope").isNotNull())
+    single = single.withColumns({"scope": F.col("_x.scope"), "key": F.col("_x.key"), "_new": F.array_position("_all", F.struct(F.col("_x.scope").alias("scope"), F.col("_x.key").alias("key"))) == F.col("_at") + 1})
+    several = by_stratum(own.join(revised, again, "left_semi"), "game_id", *PRED, *REAL)
+    count = lambda df, games: df.groupBy("scope", "key").agg(F.count(F.lit(1)).alias("rows"), games.alias("games"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    both = count(single, F.count(F.when(F.col("_new"), F.col("game_id")))).unionByName(count(several, F.count_distinct("game_id")))
+    return both.groupBy("scope", "key").agg(*[F.sum(n).alias(n) for n in ("rows", "games", *sums)])
 
 
 def shadow_reconcile(snapshots: DataFrame, results: DataFrame, p: Sequence[str], game: str, order: Sequence[str], keys: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
