@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from tideline.llm import mixing, near_texts, packing, toxicity, unit_dedup
 from tideline.llm.common import stage
 
-
 def kept(docs: DataFrame, own: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The step's rows with the columns of docs, those named like the step's own results included."""
     held = {c: f"_given_{c}" for c in docs.columns if c in own}
@@ -36,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more, verified) stays."""
+    """One document of each group of near copies stays: SimHash links, and MinHash bands for what these cannot reach, each link verified
+    (five-word similarity of 0.8 or more)."""
     return near_texts.keep_one(docs)
 
 

@@ -63,3 +63,20 @@ def test_groups_are_the_components_of_all_verified_pairs(spark, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in near_texts.keep_one(docs).collect()} == set(least.values())
     assert near_texts.keep_one(empty).count() == 0 and near_texts.keep_one(odd).columns == odd.columns
+
+
+def test_simhash_links_are_proposed_and_verified(spark, planted, monkeypatch):
+    """Without MinHash buckets the stage still finds what the SimHash index links, and links nothing below the bound."""
+    monkeypatch.setattr(near_texts, "band_keys", lambda found: [near_texts.signed(hash(found.tobytes()) & (1 << 64) - 1)])
+    rows, _ = planted
+    long = [(3000 + i, prose(11000 + i, 900)) for i in range(12)]
+    long += [(3100 + i, t + " tail") for i, (_, t) in enumerate(long)]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string").repartition(4)
+    found = near_texts.marks(docs).select("doc_id", "set_id", "fp").collect()
+    by_set, by_doc = ({r[c]: r["fp"] & (1 << 64) - 1 for r in found} for c in ("set_id", "doc_id"))
+    asked = near_texts.hashed_alike(near_texts.marks(docs)).collect()
+    assert asked and all((by_set[a] ^ by_set[b]).bit_count() <= 3 for a, b in asked)
+    near = {i for i in range(12) if (by_doc[3000 + i] ^ by_doc[3100 + i]).bit_count() <= 3}
+    kept = {r["doc_id"] for r in near_texts.keep_one(docs).collect()}
+    assert near and kept & set(range(3100, 3112)) == {3100 + i for i in range(12) if i not in near}
+    assert kept >= {i for i, _ in rows if i >= 1000}

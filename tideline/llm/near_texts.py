@@ -1,4 +1,8 @@
-"""Near copies by exact similarity: MinHash bands propose pairs, the Jaccard of five-word shingles decides.
+"""Near copies by exact similarity: SimHash links and MinHash bands propose pairs, the Jaccard of five-word shingles decides.
+
+Pairs come first from the SimHash index in Gray order (`simhash_gray`: three-word shingles, RADIUS bits): sets of one fingerprint are
+proposed with the least of them, and for each link that spans a component of fingerprints the least sets of its two ends. That is as many pairs as
+there are sets and fingerprints. At a similarity of 0.8 about 10 of 64 bits differ, so MinHash bands propose what SimHash cannot reach.
 
 A text is the set of its runs of `k` words. Each set gets BANDS keys, each made of ROWS independent MinHash values, so two sets of
 similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99998 at 0.8, and more above. Sets that share a key form a bucket;
@@ -29,10 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import simhash_gray
 from tideline.llm.common import components, only, slices, stage, text_of, texts, width
 from tideline.llm.simhash_gray import shingle_hashes
 
 K, BANDS, ROWS = 5, 28, 5
+#: Words of a shingle and differing bits of the SimHash links.
+WORDS, RADIUS = 3, 3
 #: Rounds of heads before what is left is compared pair by pair; members verified in one go against a head.
 ROUNDS, STAR = 2, 256
 #: Least similarity of a link, as a fraction of whole numbers.
@@ -81,22 +88,33 @@ def _mixed(head: int, found: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, bands) of every row."""
+    """(doc_id, text_hash, set_id, n, fp, bands) of every row; fp is its SimHash fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         only()
         for b in slices(batches):
-            ids, sizes, bands = [], [], []
+            ids, sizes, fps, bands = [], [], [], []
             for t in texts(b):
                 found = shingles(t)
                 ids.append(signed(xxhash.xxh64_intdigest(found.tobytes())))
                 sizes.append(len(found))
+                fps.append(simhash_gray.fingerprint(shingle_hashes(t, WORDS)))
                 bands.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                                             ["doc_id", "text_hash", "set_id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                                             ["doc_id", "text_hash", "set_id", "n", "fp", "bands"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, set_id long, n long, fp long, bands array<long>")
+
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, set_id long, n long, bands array<long>")
+def hashed_alike(found: DataFrame) -> DataFrame:
+    """(head, id) of sets to verify, from the SimHash links of `found` (set_id, fp): see above."""
+    sets = stage(found.select("set_id", "fp").distinct(), "hashed")
+    first = stage(sets.groupBy("fp").agg(F.min("set_id").alias("head")), "fps")
+    ends = lambda c: first.select(F.col("fp").alias(c), F.col("head").alias(f"set_{c}"))
+    same = sets.join(first, "fp").select("head", F.col("set_id").alias("id"))
+    near = simhash_gray.links(first, RADIUS).join(ends("a"), "a").join(ends("b"), "b").select(F.least("set_a", "set_b").alias("head"), F.greatest("set_a", "set_b").alias("id"))
+    return stage(same.unionByName(near).where("head <> id").distinct(), "hashed_alike")
 
 
 def _key(c: str):
@@ -164,17 +182,21 @@ def classed(rows: DataFrame, label: DataFrame, column: str, name: str) -> DataFr
 def labelled(docs: DataFrame) -> DataFrame:
     """(set_id, first, label) of each distinct set; `first` is its row that stays and equal labels are one group of near copies."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    sets = stage(stage(marks(docs), "marks").groupBy("set_id").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    found = stage(marks(docs), "marks")
+    sets = stage(found.groupBy("set_id").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     keys = sets.select(F.col("set_id").alias("id"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(keys.join(shared, "key"), "buckets")
     mass = stage(members.groupBy("id").agg(F.sum("size").alias("mass")), "mass")
-    held = held_texts(sets, mass.select(F.col("id").alias("set_id")), docs)
-    members, links, label = members.select("key", "id").join(mass, "id"), None, None
+    hashed = hashed_alike(found)
+    needed = mass.select("id").unionByName(hashed.select("id")).unionByName(hashed.select(F.col("head").alias("id"))).distinct()
+    held = held_texts(sets, needed.select(F.col("id").alias("set_id")), docs)
+    links = verified(hashed, held, sets, False).where("linked").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    members = members.select("key", "id").join(mass, "id")
     for turn in range(ROUNDS):
         seen = verified(headed(members), held, sets, True)
         new = seen.where("linked").select(F.col("head").alias("a"), F.col("id").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         label = components(links)
         seen = stage(classed(classed(seen.drop("linked"), label, "id", "class"), label, "head", "to"), "classed")
         alive = seen.where("class <> to").groupBy("head").agg(F.bool_or("near").alias("some_near"))
