@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from tideline.llm import mixing, near_texts, packing, toxicity, unit_dedup
 from tideline.llm.common import stage
 
+#: Bytes of a generation of the encoder's store: earlier stages have grown the executors, so less than where packing runs alone.
+PACKING_ROOM = 40_000_000
+
+
 def kept(docs: DataFrame, own: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The step's rows with the columns of docs, those named like the step's own results included."""
     held = {c: f"_given_{c}" for c in docs.columns if c in own}
@@ -53,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of 2,048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, room=PACKING_ROOM)
 
 
 STAGES = [

@@ -37,3 +37,14 @@ def test_texts_without_blanks_leave_nothing_in_the_store(words):
     coder.encode(text)
     kept = sum(len(k) + len(v) for d in (coder.known, coder.older) for k, v in d.items())
     assert 0 < kept < coder.held < 2_000_000
+
+
+def test_a_smaller_store_gives_the_same_ids_and_stays_within_its_room(monkeypatch):
+    monkeypatch.setattr(tokens, "_encoders", {})
+    rng = random.Random(5)
+    some = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(60)) for _ in range(400)]
+    whole = tokens.encoder().encode(some)
+    small = tokens.encoder(room=50_000)
+    got = [ids for t in some for ids in small.encode([t])]
+    assert got == whole and small.held <= 50_000 + 60 * 400 and len(small.known) + len(small.older) < 1000
+    assert tokens.encoder().room == tokens.BYTES

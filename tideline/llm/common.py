@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,10 +33,15 @@ STORES: dict[str, Callable[[], None]] = {}
 
 
 def only(owner: str = "") -> None:
-    """Lets go of what other operators have kept in this worker process."""
+    """Lets go of what other operators have kept in this worker process, and gives freed memory back to the system."""
     for name, forget in STORES.items():
         if name != owner:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+    if trim:
+        trim(0)
 
 
 def slices(batches, rows: int = 500):

@@ -29,12 +29,13 @@ from tideline.llm.tokens import END_ID, encoder
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): ids and end id of each document, cut so that only the first piece is short."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, room: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): ids and end id of each document, cut so that only the first piece is short.
+    `room`: bytes of a generation of the encoder's store."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        coder, end = encoder(vocabulary, room=room), np.array([END_ID], "<u4").tobytes()
         for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, got in enumerate(coder.encode(texts(b))):
@@ -161,9 +162,9 @@ def solve(count: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, room: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of docs."""
-    parts = stage(pieces(docs, capacity, vocabulary), "pieces")
+    parts = stage(pieces(docs, capacity, vocabulary, room), "pieces")
     count = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs, _ = solve(count, capacity)
     table = np.array(sorted(runs), np.int64).reshape(-1, 6)

@@ -6,7 +6,7 @@ piece that is letters of the Latin blocks and ASCII marks after them is one or t
 and goes to the library's model directly, any other goes through the whole library by itself. Texts that hold the string of a special token
 are never cut: the library alone decides about them. So ids are those of the plain call `encode(text, add_special_tokens=False)`.
 
-The store is two generations, each bounded by BYTES; pieces of more than LONGEST characters are never stored, so texts without
+The store is two generations, each bounded by BYTES or what a caller gives; pieces of more than LONGEST characters are never stored, so texts without
 blanks leave nothing behind. Emptying a store costs time and changes no id.
 """
 
@@ -49,6 +49,7 @@ class Encoder:
     blank = " "
 
     def __init__(self, path: str):
+        self.room = BYTES
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids = max(self.tokenizer.get_vocab().values()) + 1
@@ -101,7 +102,7 @@ class Encoder:
 
     def look(self, texts: list[str], heads: list[bytes], pieces: list[str], ends: list[int]) -> list[bytes]:
         """Ids of texts from those of their first pieces and from their other pieces, which end at `ends`."""
-        if self.held > BYTES:
+        if self.held > self.room:
             self.known, self.older, self.held = {}, self.known, 0
         ids: list = list(map(self.known.get, pieces))
         missing, at = [], -1
@@ -163,10 +164,11 @@ class WordEncoder(Encoder):
         return False
 
 
-def encoder(path: str | None = None, words: bool = False) -> Encoder:
-    """One encoder for each worker process and vocabulary file."""
+def encoder(path: str | None = None, words: bool = False, room: int | None = None) -> Encoder:
+    """One encoder for each worker process and vocabulary file; `room` bounds a generation of its store (BYTES unless given)."""
     only("tokens")
     path = path or public_tokenizers.path(WORD_VOCABULARY if words else DEFAULT_VOCABULARY)
     if path not in _encoders:
         _encoders[path] = (WordEncoder if words else Encoder)(path)
+    _encoders[path].room = room or BYTES
     return _encoders[path]
