@@ -265,3 +265,19 @@ def test_timed_neighbours_leave_out_what_no_query_sees(spark, monkeypatch):
         assert got.get(qid, {}) == dict(enumerate(sorted(want)[:4], 1))
     asks, rows = seen[0]
     assert rows == 300 and asks < 8 * len(qs)
+
+
+def test_closest_by_products_equals_all_distances_also_far_from_zero_and_among_ties():
+    rng = np.random.default_rng(4)
+    for shift, k in ((0.0, 1), (1e3, 7), (1e7, 7)):
+        h, q = (np.round(rng.normal(size=(n, 6)), 1) + shift for n in (900, 70))
+        h[10:30], own = h[5], rng.random((70, 900)) < 0.02
+        d = np.where(own, np.inf, N._distances(q, h, "euclid"))
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row, col, exact = N._closest(q, h, k, own)
+        assert (col.reshape(70, k) == order).all() and (exact.reshape(70, k) == np.take_along_axis(d, order, 1)).all()
+    row, col, exact = N._closest(q, h, 3, np.ones_like(own))
+    assert len(row) == 0
+    h[3] = np.nan
+    row, col, _ = N._closest(q, h, 3, own)
+    assert len(row) == 210 and 3 not in col
