@@ -44,8 +44,10 @@ def _summary(v: Views, shared: float):
 
 def _expected_cells(v: Views, shared: float):
     width = S.MAX_RUNS + 1
-    cells = v.probs.select("league", "lam_h", "lam_a").select("league", F.posexplode(S.grid_cells(lam("h"), lam("a"), F.lit(shared))).alias("pos", "p"))
-    sums = cells.groupBy("league", "pos").agg(F.sum("p").alias("expected_games"))
+    # games of equal intensities are one grid
+    asked = v.probs.groupBy("league", "lam_h", "lam_a").agg(F.count(F.lit(1)).alias("games"))
+    cells = asked.select("league", "games", F.posexplode(S.grid_cells(lam("h"), lam("a"), F.lit(shared))).alias("pos", "p"))
+    sums = cells.groupBy("league", "pos").agg(F.sum(F.col("p") * F.col("games")).alias("expected_games"))
     return us(sums.select("league", F.expr(f"pos div {width}").cast("int").alias("home_runs"), (F.col("pos") % width).alias("away_runs"), "expected_games"), digits=6)
 
 
