@@ -70,6 +70,11 @@ def canonicalize_plays(raw: DataFrame) -> DataFrame:
     return O.latest_by(kept, ["game_id", "_identity"], order).drop("_identity")
 
 
+def place(order: Sequence[str]) -> Column:
+    """What min_by and max_by go by: the column itself where there is one, so that plain values are aggregated by hash and never sorted first."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def state_scores(plays: DataFrame, order: Sequence[str], seg: Column) -> DataFrame:
     """Running score after each play; games whose increments or final score do not reconcile are left out whole."""
     runs = F.col("added_runs").cast("double")
@@ -78,11 +83,11 @@ def state_scores(plays: DataFrame, order: Sequence[str], seg: Column) -> DataFra
         F.max(bad.cast("int")).alias("_bad"),
         F.sum(F.when(F.col("half") == "B", runs).otherwise(0.0)).alias("_h"),
         F.sum(F.when(F.col("half") == "T", runs).otherwise(0.0)).alias("_a"),
-        F.min_by(runs, F.struct(*order)).alias("_first"),
-        F.max_by(F.struct(F.rint("home_total").alias("h"), F.rint("away_total").alias("a")), F.struct(*order)).alias("_last"),
+        F.min_by(runs, place(order)).alias("_first"),
+        *[F.max_by(F.rint(f"{side}_total"), place(order)).alias(f"_last_{side}") for side in ("home", "away")],
     )
     ok = per_game.filter(
-        (F.col("_bad") == 0) & (F.col("_first") == 0) & (F.col("_h") == F.col("_last.h")) & (F.col("_a") == F.col("_last.a"))
+        (F.col("_bad") == 0) & (F.col("_first") == 0) & (F.col("_h") == F.col("_last_home")) & (F.col("_a") == F.col("_last_away"))
     ).select("game_id")
     kept = plays.join(ok, "game_id", "left_semi")
     sums = {"state_home": F.when(F.col("half") == "B", F.col("added_runs")).otherwise(0),
@@ -245,7 +250,7 @@ def half_rate(df: DataFrame, rates: DataFrame) -> DataFrame:
 
 def aggregate_games(plays: DataFrame, order: Sequence[str]) -> DataFrame:
     """Per game: first teams and date, last known score, relief appearances per side (distinct pitchers minus one)."""
-    pos = F.struct(*order)
+    pos = place(order)
     known = lambda c: F.when(F.col(c).isNotNull(), pos)
     # distinct pitchers are pre-aggregated, so a long game never meets in one task
     apps = plays.filter(clean_text(F.col("pitcher_id")) != "").groupBy("game_id", "half", "pitcher_id").agg(F.count(F.lit(1)).alias("_x"))
