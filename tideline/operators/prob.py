@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tideline.functions import arrays as A
 from tideline.functions.scalars import reasons
 from tideline.operators import ordered as O
+from tideline.session import materialize
 
 # 81 geometric temperatures from 0.35 to 6, and the fallback intensities.
 TEMPERATURES = [0.35 * (6.0 / 0.35) ** (i / 80.0) for i in range(81)]
@@ -38,22 +39,23 @@ def temper_cols(p: Sequence[Column], t: Column | float, eps: float = 1e-15) -> l
     return [r / total for r in raised]
 
 
-def fit_temperature(df: DataFrame, p: Sequence[str], y: str, keys: Sequence[str] = (), grid: Sequence[float] = TEMPERATURES) -> DataFrame:
+def fit_temperature(df: DataFrame, p: Sequence[str], y: str, keys: Sequence[str] = (), grid: Sequence[float] = TEMPERATURES, n: str | None = None) -> DataFrame:
     """Temperature with the smallest log loss per group (the first one among equals).
 
     The grid is unfolded inside the task and averaged with map-side combine, so the shuffle carries one row per group
-    and temperature.
+    and temperature. ``n`` names a column of how many equal rows a row stands for.
     """
     logs = [F.log(F.greatest(F.col(c), F.lit(1e-15))).alias(f"_l{i}") for i, c in enumerate(p)]
-    trial = df.select(*keys, y, *logs).select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("t"))
+    trial = df.select(*keys, y, (F.lit(1) if n is None else F.col(n)).alias("_n"), *logs).select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("t"))
     scaled = [F.col(f"_l{i}") / F.col("t") for i in range(len(p))]
     hit = scaled[-1]
     for i in range(len(p) - 2, -1, -1):
         hit = F.when(F.col(y) == i, scaled[i]).otherwise(hit)
     # -log softmax(log p / t)[y], never beyond -log(1e-15)
     loss = F.least(F.log(A.add([F.exp(x) for x in scaled])) - hit, F.lit(-math.log(1e-15)))
-    scored = trial.select(*keys, "t", loss.alias("loss"))
-    losses = scored.groupBy(*keys, "t").agg(F.avg("loss").alias("loss"))
+    scored = trial.select(*keys, "t", "_n", loss.alias("loss"))
+    mean = F.avg("loss") if n is None else F.sum(F.col("loss") * F.col("_n")) / F.sum(F.when(F.col("loss").isNotNull(), F.col("_n")))
+    losses = scored.groupBy(*keys, "t").agg(mean.alias("loss"))
     return losses.groupBy(*keys).agg(F.min_by("t", F.struct("loss", "t")).alias("temperature"), F.min("loss").alias("log_loss"))
 
 
@@ -104,21 +106,27 @@ def fit_blend(df: DataFrame, members: Mapping[str, Sequence[str]], y: str, step:
               grid: Sequence[float] = TEMPERATURES) -> dict:
     """Individually calibrated, constrained blend: the fitted numbers (one per member, plus the final temperature).
 
-    Only grid averages reach the driver: one temperature per member, then one loss per (weights, temperature).
+    Only grid averages reach the driver: one temperature per member, then one loss per (weights, temperature). Equal rows are one before
+    the grids are unfolded, weighted by their number.
     """
     names = list(members)
-    long = df.select(y, F.inline(F.array(*[
-        F.struct(F.lit(m).alias("model"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(members[m])]) for m in names])))
-    temps = {r["model"]: r["temperature"] for r in fit_temperature(long, [f"p{i}" for i in range(len(members[names[0]]))], y, ["model"], grid).collect()}
+    same = df.groupBy(y, *dict.fromkeys(c for m in names for c in members[m])).agg(F.count(F.lit(1)).alias("_same"))
+    # few rows and much work on each: dealt out by number, which adaptive execution leaves alone
+    same = materialize(same.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    p = [f"p{i}" for i in range(len(members[names[0]]))]
+    long = same.select(y, "_same", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), *[F.col(c).alias(x) for c, x in zip(members[m], p, strict=True)]) for m in names])))
+    long = long.groupBy("model", y, *p).agg(F.sum("_same").alias("_same"))
+    temps = {r["model"]: r["temperature"] for r in fit_temperature(long, p, y, ["model"], grid, "_same").collect()}
     calibrated = [temper_cols([F.col(c) for c in members[m]], temps[m]) for m in names]
     weights = weight_grid(len(names), step)
     w = F.array(*[F.struct(*[F.lit(x).alias(f"w{i}") for i, x in enumerate(v)]) for v in weights])
-    wide = df.select(y, *[c.alias(f"_{m}_{i}") for m, cs in zip(names, calibrated, strict=True) for i, c in enumerate(cs)])
+    wide = same.select(y, "_same", *[c.alias(f"_{m}_{i}") for m, cs in zip(names, calibrated, strict=True) for i, c in enumerate(cs)])
     mixed = wide.select("*", F.inline(w))
     k = len(members[names[0]])
     blended = blend_cols([[F.col(f"_{m}_{i}") for i in range(k)] for m in names], [F.col(f"w{i}") for i in range(len(names))])
     wcols = [f"w{i}" for i in range(len(names))]
-    fitted = fit_temperature(mixed.select(y, *wcols, *[c.alias(f"b{i}") for i, c in enumerate(blended)]), [f"b{i}" for i in range(k)], y, wcols, grid)
+    fitted = fit_temperature(mixed.select(y, "_same", *wcols, *[c.alias(f"b{i}") for i, c in enumerate(blended)]), [f"b{i}" for i in range(k)], y, wcols, grid, "_same")
     uniform = A.add([F.pow(F.col(c) - 1.0 / len(names), 2.0) for c in wcols])
     used = A.add([(F.col(c) > 0).cast("int") for c in wcols])
     best = fitted.orderBy(F.round("log_loss", 12), uniform, used, *wcols).limit(1).first()
