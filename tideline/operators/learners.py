@@ -96,29 +96,41 @@ def later_part(df: DataFrame, order: str, share: float) -> tuple[DataFrame, Data
     return df.filter(~late), df.filter(late)
 
 
+def mean_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """One row for rows of equal features: mean of each label and their number ``_n``, staged because fits read it in every step.
+
+    Enough for models whose estimating equations are linear in the label (exponential families); a label that is missing somewhere stays missing.
+    """
+    n = F.count(F.lit(1))
+    means = [F.when(F.count(y) == n, F.avg(y)).alias(y) for y in labels]
+    return materialize(df.groupBy(*features).agg(*means, n.cast("double").alias("_n")))
+
+
 def fit_score_models(train: DataFrame, test: DataFrame, features: Sequence[str], targets: Mapping[str, str], order: str, top: int = 3,
                      share: float = 0.75) -> DataFrame:
     """Poisson, Tweedie and forest intensities per target, blended by inverse validation error.
 
     The error is that on the latest rows of ``train`` (after the ``share`` quantile of ``order``) of models fitted on the earlier ones; the
     members are then fitted on all of it. ``targets`` maps an output prefix to its label.  Adds ``lam_<prefix>`` and one column per member.
+    The two linear families, which read their rows in every step, are fitted on mean labels of equal features.
     """
     x = VectorAssembler(inputCols=list(features), outputCol="_x")
     tr, te = x.transform(train), x.transform(test)
     early, late = later_part(tr, order, share)
+    means = {part: x.transform(mean_labels(d, features, list(targets.values()))) for part, d in (("all", tr), ("early", early))}
     kinds: dict[str, Callable[[str], object]] = {
-        "poisson": lambda y: GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol=y, regParam=0.15, maxIter=25),
-        "tweedie": lambda y: GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, featuresCol="_x", labelCol=y, regParam=0.08, maxIter=25),
+        "poisson": lambda y: GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol=y, weightCol="_n", regParam=0.15, maxIter=25),
+        "tweedie": lambda y: GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, featuresCol="_x", labelCol=y, weightCol="_n", regParam=0.08, maxIter=25),
         "forest": lambda y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=20, maxDepth=5, seed=SEED),
     }
     out = te
     for prefix, y in targets.items():
         errors = {}
         for name, make in kinds.items():
-            model = make(y).fit(tr)
+            model = make(y).fit(tr if name == "forest" else means["all"])
             col = f"{name}_{prefix}"
             out = model.transform(out).withColumn(col, A.clip(F.col("prediction"), 0.05, 15.0)).drop("prediction")
-            checked = make(y).fit(early).transform(late)
+            checked = make(y).fit(early if name == "forest" else means["early"]).transform(late)
             errors[name] = checked.agg(F.avg(F.abs(A.clip(F.col("prediction"), 0.05, 15.0) - F.col(y)))).first()[0]
         best = sorted(errors, key=lambda n: (errors[n], n))[:top]
         inverse = {n: 1.0 / max(errors[n], 1e-9) for n in best}
