@@ -231,20 +231,16 @@ def failure_risk(df: DataFrame) -> DataFrame:
 
 
 def counterfactual_stability(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, k: int = 3, noise: float = 0.05, draws: int = 4, tail: float = 0.95) -> DataFrame:
-    """Mean and p95 change of the probabilities under seeded relative noise on every feature."""
-    base = predict(model, df.select(key, *features), k)
+    """Mean and p95 change of the probabilities under seeded relative noise on every feature.
+
+    Both sides of a change come from the same row, so rows stay where they are; only the values around the asked quantile are ordered."""
     stats = df.agg(*[F.stddev_pop(c).alias(f"_{c}") for c in features]).withColumn("_one", F.lit(1))
-    out = None
-    for d in range(draws):
-        # noise is a hash of the row key, so a recomputed task draws the same numbers
-        unit = lambda i, salt: (F.pmod(F.xxhash64(F.lit(SEED + 31 * d + i), F.lit(salt), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)  # noqa: E731,B023
-        gauss = lambda i: F.sqrt(-2.0 * F.log(unit(i, "a"))) * F.cos(6.283185307179586 * unit(i, "b"))
-        moved = df.select(key, *features).withColumn("_one", F.lit(1)).join(stats, "_one").select(key, *[(F.col(c) + noise * F.col(f"_{c}") * gauss(i)).alias(c) for i, c in enumerate(features)])
-        j = base.select(key, *[f"p{i}" for i in range(k)]).join(predict(model, moved, k, "q").select(key, *[f"q{i}" for i in range(k)]), key)
-        part = j.select(F.lit(d).alias("draw"), (A.add([F.abs(F.col(f"p{i}") - F.col(f"q{i}")) for i in range(k)]) / 2).alias("change"))
-        out = part if out is None else out.unionByName(part)
-    out = materialize(out)
-    q = O.exact_quantiles(out, [], "change", {"p95_change": tail}).withColumn("_one", F.lit(1))
+    base = predict(model, df.select(key, *features), k).withColumns({"_one": F.lit(1), "draw": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
+    # noise is a hash of the row key, so a recomputed task draws the same numbers
+    unit = lambda i, salt: (F.pmod(F.xxhash64((F.lit(SEED + i) + F.lit(31) * F.col("draw")).cast("int"), F.lit(salt), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    gauss = lambda i: F.sqrt(-2.0 * F.log(unit(i, "a"))) * F.cos(6.283185307179586 * unit(i, "b"))
+    moved = base.join(stats, "_one").withColumns({c: F.col(c) + noise * F.col(f"_{c}") * gauss(i) for i, c in enumerate(features)})
+    change = A.add([F.abs(F.col(f"p{i}") - F.col(f"q{i}")) for i in range(k)]) / 2
+    out = materialize(predict(model, moved, k, "q").select("draw", change.alias("change")))
+    q = O.exact_quantile(out, "change", tail, "p95_change").withColumn("_one", F.lit(1))
     return out.agg(F.avg("change").alias("mean_change"), F.max("change").alias("max_change")).withColumn("_one", F.lit(1)).join(q, "_one").drop("_one")
-
-

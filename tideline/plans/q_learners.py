@@ -10,7 +10,7 @@ from tideline.operators import timeline as T
 from tideline.plans.catalog import register
 from tideline.plans.q_timeline import us
 from tideline.plans.views import MODELS, Views
-from tideline.session import materialize
+from tideline.session import materialize, stored
 
 FEATURES = [f"{p}_{c}_10" for c in ("pts", "gf", "ga") for p in "ha"]
 P3 = ["p0", "p1", "p2"]
@@ -21,7 +21,7 @@ def matrix(v: Views):
     form = T.rolling_form(v.entity_rows, (10,))
     m = T.match_features(v.probs, form, ["pts_10", "gf_10", "ga_10"])
     keep = ["game_id", "ts", "league", "home_score", "away_score", *FEATURES, *[c for cs in MODELS.values() for c in cs]]
-    return materialize(m.select(*keep, F.col("y").cast("double").alias("y")))
+    return stored(m.select(*keep, F.col("y").cast("double").alias("y")), "matrix")
 
 
 def split(m, cut="1999-06-01"):
