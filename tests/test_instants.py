@@ -1,5 +1,6 @@
 """Instants are cut to the rows that later ones can see; changes under noise come from one row; quantiles by bracket."""
 
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import learners as L
 from tideline.operators import ordered as O
+from tideline.operators import timeline as T
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -65,3 +67,24 @@ def test_changes_under_noise_come_from_one_row(spark):
     model = L.fit_classifier(df, ["a", "b"], "y")
     one, twin = (L.counterfactual_stability(model, d, ["a", "b"], "key", draws=2).first() for d in (df, df.union(df)))
     assert one["mean_change"] == pytest.approx(twin["mean_change"]) and one["max_change"] < 0.1
+
+
+def test_decayed_means_carry_sums_of_instants_not_rows(spark, monkeypatch):
+    """Many rows an instant and a gap of unknown values by which any power of the decay vanishes; rows are never numbered whole."""
+    rng, tau, rows = random.Random(6), 2.0, []
+    for hour in (0, 3, 4, 30, 31, 90):
+        rows += [("L", 1, START + timedelta(hours=hour), i, rng.random() if hour < 4 or (hour == 90 and i < 5) else None) for i in range(900 if hour == 30 else 40)]
+    df = spark.createDataFrame(rows, "league string, entity int, ts timestamp, game_id long, x double").repartition(4)
+
+    def numbered(*args, **kwargs):
+        raise AssertionError("rows are numbered whole")
+
+    monkeypatch.setattr(T.O, "row_numbers", numbered)
+    got = {r["ts"]: (r["n_prior"], r["x_ew"]) for r in T.exp_weighted(df, {"x": 7.0}, tau).collect()}
+    ordered = sorted(rows, key=lambda r: (r[2], r[3]))
+    for at in {r[2] for r in rows}:
+        past = [(i, r[4]) for i, r in enumerate(ordered) if r[2] < at]
+        known = [(i, v) for i, v in past if v is not None]
+        weights = [math.exp((i - known[-1][0]) / tau) for i, _ in known]
+        want = sum(w * v for w, (_, v) in zip(weights, known, strict=True)) / sum(weights) if known else 7.0
+        assert got[at.replace(tzinfo=None)] == (len(past), pytest.approx(want, rel=1e-9))
