@@ -5,9 +5,12 @@ import pickle
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 
+from tideline.operators import retrieval
 from tideline.operators.retrieval import retrieval_conformal
 from tideline.operators.scan import tree_prefix
 
@@ -106,3 +109,21 @@ def test_prefixes_of_a_tree_keep_order_and_stay_small(spark):
         for r in out:
             before = [f"{k}{s};" for k, s, _ in rows if k == r["k"] and s < r["seg"]]
             assert (pickle.loads(r["before"]) if r["before"] is not None else []) == before
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_cases_of_a_pool_are_measured_like_one(spark, seed, monkeypatch):
+    """Cases that share a pool are measured together, with ties at the k-th distance, and no pool is scaled once a case."""
+    rng = random.Random(seed)
+    pool = [(i, i, f"g{i}", rng.random(), (float(rng.randrange(3)), rng.choice([1.0, rng.gauss(0, 1)]))) for i in range(60)]
+    p, x = np.array([[rng.random() for _ in range(3)] for _ in range(700)]), np.array([[float(rng.randrange(3)), rng.gauss(0, 1)] for _ in range(700)])
+    n, near, pv = retrieval.conformal_of_many(pool, p, x, 25)
+    for i in range(700):
+        assert (n, near[i], pv[i].tolist()) == retrieval.conformal_of(pool, p[i], x[i], 25)
+    calls, inner = [], retrieval.conformal_of_many
+    monkeypatch.setattr(retrieval, "conformal_of_many", lambda *a: calls.append(1) or inner(*a))
+    day = [["L", i, f"g{i}", START + timedelta(days=i // 50), START + timedelta(days=i // 50 + 1), i % 3, 0.3, 0.3, 0.4, float(i % 7), 0.5] for i in range(200)]
+    frame = [pd.DataFrame({"pt": [(r[3] - START).days], "case": r[1], "game": r[2], "score": 0.5, "is_fact": f, "p": [r[6:9]], "features": [r[9:11]], "t": (r[4] if f else r[3]), "s": not f}) for r in day for f in (True, False)]
+    rows = pd.concat(frame).sort_values(["t", "s", "case"]).assign(rn=lambda d: range(len(d)))
+    out = retrieval._walk(["league"], 25, 12, 10, 3)(rows, pd.DataFrame({"before": []}))
+    assert len(out) == 200 and len(calls) == 3 and out["pool_count"].tolist() == [0] * 50 + [25] * 150

@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from tideline.operators import ordered as O
 from tideline.operators.evaluate import prediction_set
 from tideline.operators.scan import tree_prefix
-from tideline.session import materialize
+from tideline.session import materialize, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Cases of one pool that are measured against it at once.
+AT_ONCE = 512
+
+
 class Pool:
     """Latest snapshot of each of the last ``size`` games, by (prediction time, case)."""
 
@@ -70,7 +74,8 @@ def _entries(rows: pd.DataFrame):
 def _own_pool(keys: Sequence[str], size: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[:1]
-        return first.assign(state=[Pool(size, _entries(rows[rows["is_fact"]])).pack()])[[*keys, "seg", "state"]]
+        facts = rows[rows["is_fact"]].sort_values(["pt", "case"]).drop_duplicates("game", keep="last").tail(size)
+        return first.assign(state=[Pool(size, _entries(facts)).pack()])[[*keys, "seg", "state"]]
     return run
 
 
@@ -86,22 +91,48 @@ def conformal_of(pool: list[tuple], p: Sequence[float], features: Sequence[float
     return len(near), float(np.sqrt(d[near[0]])), ((1.0 + len(near) - at) / (len(near) + 1.0)).tolist()
 
 
+def conformal_of_many(pool: list[tuple], p: np.ndarray, features: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """:func:`conformal_of` for many cases of one pool: rows of p and features are cases."""
+    x = np.array([e[4] for e in pool], float)
+    scale = x.std(axis=0)
+    scale = np.where(np.isfinite(scale) & (scale > 1e-9), scale, 1.0)
+    scores, n = np.clip([e[3] for e in pool], 0.0, 1.0), min(k, len(pool))
+    near, pv = [], []
+    for at in range(0, len(p), AT_ONCE):
+        d = sum(((x[:, j] - features[at : at + AT_ONCE, j, None]) / scale[j]) ** 2 for j in range(x.shape[1]))
+        rank = np.round(d, 9)
+        last = np.partition(rank, n - 1, axis=1)[:, n - 1, None]
+        closer, equal = rank < last, rank == last
+        taken = closer | (equal & (np.cumsum(equal, axis=1) <= n - closer.sum(axis=1, keepdims=True)))
+        near.append(np.sqrt(d[np.arange(len(d)), rank.argmin(axis=1)]))
+        above = 1.0 - p[at : at + AT_ONCE] - 1e-12
+        pv.append(np.stack([1.0 + (taken & ((scores >= above[:, c, None]) | np.isnan(scores))).sum(axis=1) for c in range(p.shape[1])], axis=1) / (n + 1.0))
+    return n, np.concatenate(near), np.concatenate(pv)
+
+
 def _walk(keys: Sequence[str], size: int, k: int, minimum: int, classes: int):
     names = ["case", "pool_count", "calibration_count", "nearest_distance", *[f"pv{i}" for i in range(classes)]]
 
     def run(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         state = above["before"].iloc[0] if len(above) else None
         pool, out = Pool(size + 1, pickle.loads(state) if state is not None else ()), []
-        for r in rows.sort_values("rn").itertuples(index=False):
-            if r.is_fact:
-                pool.add((r.pt, r.case, r.game, r.score, tuple(r.features)))
+        rows = rows.sort_values("rn")
+        fact = rows["is_fact"].to_numpy(bool)
+        pt, case, game, score, p, features = (rows[c].tolist() for c in ("pt", "case", "game", "score", "p", "features"))
+        edges = [0, *(np.flatnonzero(fact[1:] != fact[:-1]) + 1).tolist(), len(rows)] if len(rows) else [0]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if fact[lo]:
+                for i in range(lo, hi):
+                    pool.add((pt[i], case[i], game[i], score[i], tuple(features[i])))
                 continue
-            others = pool.others(r.game, size)
-            if len(others) < minimum:
-                out.append((r.case, len(others), 0, None, *[None] * classes))
-            else:
-                n, near, pv = conformal_of(others, r.p, r.features, k)
-                out.append((r.case, len(others), n, near, *pv))
+            # cases between two facts have one pool, but for those whose own game is in it
+            for same in ([i for i in range(lo, hi) if game[i] not in pool.of], *([i] for i in range(lo, hi) if game[i] in pool.of)):
+                others = pool.others(game[same[0]], size) if same else []
+                if len(others) < minimum:
+                    out += [(case[i], len(others), 0, None, *[None] * classes) for i in same]
+                else:
+                    n, near, pv = conformal_of_many(others, np.array([p[i] for i in same], float), np.array([features[i] for i in same], float), k)
+                    out += [(case[i], len(others), n, d, *v) for i, d, v in zip(same, near.tolist(), pv.tolist(), strict=True)]
         return pd.DataFrame(out, columns=names)
     return run
 
@@ -133,11 +164,13 @@ def retrieval_conformal(
     asked = F.struct(F.col("pt").alias("_t"), F.lit(1).alias("_side"), F.lit(False).alias("is_fact"))
     events = base.select("*", F.inline(F.array(fact, asked))).drop("_m").where(~F.col("is_fact") | F.col("score").isNotNull()).withColumn("_day", F.timestamp_micros("_t"))
     numbered = O.row_numbers(events, keys, ["_t", "_side", "case"], F.date_trunc("day", "_day"))
-    cut = materialize(numbered.withColumn("seg", F.floor((F.col("rn") - 1) / chunk)).drop("_t", "_side", "_day"))
+    cut = stored(numbered.withColumn("seg", F.floor((F.col("rn") - 1) / chunk)).drop("_t", "_side", "_day"), "retrieval")
     kinds = dict(cut.dtypes)
     head = "".join(f"{c} {kinds[c]}, " for c in keys)
     by = cut.groupBy(*keys, "seg")
-    own = materialize(by.applyInPandas(_own_pool(keys, pool + 1), f"{head}seg bigint, state binary"))
+    # the first row of a chunk stands for one without facts
+    facts = cut.filter(F.col("is_fact") | ((F.col("rn") - 1) % chunk == 0)).select(*keys, "seg", "is_fact", "pt", "case", "game", "score", "features")
+    own = materialize(facts.groupBy(*keys, "seg").applyInPandas(_own_pool(keys, pool + 1), f"{head}seg bigint, state binary"))
     before = tree_prefix(own, keys, _merge(pool + 1), fan=fan)
     schema = f"case {kinds['case']}, pool_count bigint, calibration_count bigint, nearest_distance double, " + ", ".join(f"pv{i} double" for i in range(len(p)))
     out = by.cogroup(before.groupBy(*keys, "seg")).applyInPandas(_walk(keys, pool, k, minimum, len(p)), schema)
