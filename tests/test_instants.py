@@ -88,3 +88,21 @@ def test_decayed_means_carry_sums_of_instants_not_rows(spark, monkeypatch):
         weights = [math.exp((i - known[-1][0]) / tau) for i, _ in known]
         want = sum(w * v for w, (_, v) in zip(weights, known, strict=True)) / sum(weights) if known else 7.0
         assert got[at.replace(tzinfo=None)] == (len(past), pytest.approx(want, rel=1e-9))
+
+
+@pytest.mark.parametrize("kind", ["logistic", "boosted"])
+def test_equal_rows_are_fitted_once(spark, monkeypatch, kind):
+    rng = random.Random(2)
+    rows = [(float(rng.randrange(4)), float(rng.randrange(3)), float(rng.randrange(3))) for _ in range(600)]
+    df, seen, kept = spark.createDataFrame(rows, "a double, b double, y double"), [], L.stored
+    monkeypatch.setattr(L, "stored", lambda d, label: seen.append(kept(d, label)) or seen[-1])
+    plain, once = (L.predict(L.fit_classifier(df, ["a", "b"], "y", kind, equal=e), df.distinct(), 3).orderBy("a", "b", "y").collect() for e in (False, True))
+    assert len(seen) == 1 and seen[0].count() <= 36 and seen[0].agg(F.sum("_n")).first()[0] == 600
+    assert len(plain) == len(once) and all(p[i] == pytest.approx(o[i], abs=1e-4) for p, o in zip(plain, once, strict=True) for i in range(3, 6))
+
+
+def test_games_stay_where_they_are_for_a_small_state(spark):
+    games = spark.createDataFrame([("L", f"g{i}", START + timedelta(days=i // 5), i % 4, (i + 1) % 4, i % 3, i % 2) for i in range(60)],
+                                  "league string, game_id string, ts timestamp, home int, away int, home_score int, away_score int")
+    plan = T.stage_rest(games)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan

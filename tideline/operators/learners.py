@@ -16,13 +16,16 @@ from tideline.functions import arrays as A
 from tideline.operators import ordered as O
 from tideline.operators.evaluate import classification_metrics, period_of
 from tideline.operators.prob import nll_cols
-from tideline.session import materialize
+from tideline.session import materialize, stored
 
 SEED = 42
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None) -> PipelineModel:
-    """Scaled multiclass model: ``logistic``, ``forest`` or ``boosted`` (one-vs-rest gradient boosting)."""
+def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None, equal: bool = False) -> PipelineModel:
+    """Scaled multiclass model: ``logistic``, ``forest`` or ``boosted`` (one-vs-rest gradient boosting).
+
+    With ``equal``, rows of equal features and label are one for the fits that read their rows in every step and draw none, weighted by their
+    number; the scale is that of all rows. A forest draws rows, so it reads them all."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw_x"), StandardScaler(inputCol="_raw_x", outputCol="_x", withMean=True)]
     common = {"featuresCol": "_x", "labelCol": label}
     if weight:
@@ -36,7 +39,11 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind:
         model = OneVsRest(classifier=base, rawPredictionCol="rawPrediction", **common)
     else:
         raise ValueError(f"unknown model kind: {kind}")
-    return Pipeline(stages=[*stages, model]).fit(train)
+    if not equal or weight or kind == "forest":
+        return Pipeline(stages=[*stages, model]).fit(train)
+    front = Pipeline(stages=stages).fit(train)
+    once = stored(train.groupBy(*features, label).agg(F.count(F.lit(1)).cast("double").alias("_n")), "equal")
+    return PipelineModel([*front.stages, model.setWeightCol("_n").fit(front.transform(once))])
 
 
 def predict(model: PipelineModel, df: DataFrame, k: int, prefix: str = "p") -> DataFrame:

@@ -41,7 +41,7 @@ def _(v: Views):
     dev, hold = split(matrix(v))
     out = None
     for kind in ("logistic", "forest", "boosted"):
-        scored = L.predict(L.fit_classifier(dev, FEATURES, "y", kind), hold, 3)
+        scored = L.predict(L.fit_classifier(dev, FEATURES, "y", kind, equal=True), hold, 3)
         row = E.classification_metrics(scored, P3, "y").withColumn("model", F.lit(kind))
         out = row if out is None else out.unionByName(row)
     return us(out, digits=6)
@@ -116,5 +116,5 @@ def _(v: Views):
 @register("e39_counterfactual_stability")
 def _(v: Views):
     dev, hold = split(matrix(v))
-    model = L.fit_classifier(dev, FEATURES, "y")
+    model = L.fit_classifier(dev, FEATURES, "y", equal=True)
     return us(L.counterfactual_stability(model, hold, FEATURES, "game_id", draws=2), digits=6)
