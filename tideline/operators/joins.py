@@ -77,18 +77,30 @@ def revised_games(history: DataFrame, game: str) -> DataFrame:
     return stored(history.groupBy(game).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(game), "revised")
 
 
+def told_apart(history: DataFrame, targets: DataFrame, game: str, at: str, mature_at: str) -> DataFrame:
+    """Hashes ``_h`` of the games with more than one row, or with a target that sees a row of its own game; a colliding game may be among them.
+    Only hash and time of a row move."""
+    here = F.xxhash64(game).alias("_h")
+    rows = history.select(here, F.lit(1).alias("_n"), F.col(mature_at).alias("_m")).unionByName(
+        targets.select(here, F.col(at).alias("_at")), allowMissingColumns=True)
+    each = rows.groupBy("_h").agg(F.sum("_n").alias("_n"), F.min("_m").alias("_m"), F.max("_at").alias("_at"))
+    return stored(each.filter("_n > 1 OR _m <= _at").select("_h"), "told")
+
+
 def matured_steps(history: DataFrame, keys: Sequence[str], pred_time: str, mature_at: str, sums: Mapping[str, Column], game: str,
                   order: Sequence[str] = (), strata: str | None = None, revised: DataFrame | None = None) -> DataFrame:
     """(game, _t, _c, _p) for each matured revision that is later than all matured before it; ``_p`` is its predecessor. Games of one row
-    are steps as they stand and need no shuffle."""
+    are steps as they stand and need no shuffle. ``revised`` names at least the games of several rows, or their hashes ``_h``."""
     ok = F.when(F.col(mature_at) > F.col(pred_time), F.col(mature_at)).otherwise(
         F.raise_error(F.lit("outcome not after its prediction")).cast("timestamp"))
     rank = F.struct(F.col(pred_time).alias("r"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(order)])
     under = F.transform(F.array_compact(strata), lambda x: F.struct(*[x[k].alias(k) for k in keys])) if strata else F.array(F.struct(*keys))
     cases = history.withColumns({"_t": ok, **{n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}})
     cases = cases.select(game, "_t", F.struct(rank.alias("_rank"), under.alias("_under"), F.struct(*sums).alias("_sums")).alias("_c"))
-    many = (revised_games(history, game) if revised is None else revised).select(F.col(game).alias("_many"))
-    of_many = F.col(game).eqNullSafe(F.col("_many"))
+    revised = revised_games(history, game) if revised is None else revised
+    hashed = "_h" in revised.columns
+    many = revised.select(F.col("_h" if hashed else game).alias("_many"))
+    of_many = (F.xxhash64(game) if hashed else F.col(game)).eqNullSafe(F.col("_many"))
     # one row per game and maturity: the latest prediction among those that mature together
     again = cases.join(many, of_many, "left_semi").groupBy(game, "_t").agg(F.max("_c").alias("_c"))
     prior = F.max("_c").over(Window.partitionBy(game).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
@@ -106,8 +118,10 @@ def matured_sums(targets: DataFrame, history: DataFrame, keys: Sequence[str], at
     nothing is paired and no target sees a revision from after its time; the two may lie under different keys. ``strata`` names an array
     of structs that hold the keys, for cases that count under several. A case must mature after it was predicted; otherwise the query
     fails. ``revised`` is :func:`revised_games`, where it is at hand. Targets of unknown key stay and see the history of that key.
+    Sums are stored by instant, so targets stay where they are for few instants; only those of :func:`told_apart` look for their own game.
     """
-    steps = matured_steps(history, keys, pred_time, mature_at, sums, game, order, strata, revised)
+    told = told_apart(history, targets, game, at, mature_at) if game in targets.columns else None
+    steps = matured_steps(history, keys, pred_time, mature_at, sums, game, order, strata, told if revised is None else revised)
     moved = F.array_compact(F.array(F.struct(F.lit(1).alias("_sign"), F.col("_c").alias("_of")), F.when(F.col("_p").isNotNull(), F.struct(F.lit(-1).alias("_sign"), F.col("_p").alias("_of")))))
     facts = steps.select("_t", F.inline(moved)).select("_t", "_sign", "_of._sums", F.inline("_of._under"))
     facts = facts.select(*keys, "_t", F.lit(0).alias("_side"), *[(F.col("_sign") * F.col(f"_sums.{n}")).alias(n) for n in sums])
@@ -116,14 +130,16 @@ def matured_sums(targets: DataFrame, history: DataFrame, keys: Sequence[str], at
     # totals are pre-aggregated per instant, then scanned; targets read the inclusive total of their instant
     per_instant = both.groupBy(*keys, "_t").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums])
     scanned = O.running_sums(per_instant, keys, ["_t"], {f"_s_{n}": F.col(n) for n in sums})
-    found = O.attach(rows, scanned.select(*keys, "_t", *[f"_s_{n}" for n in sums]), [*keys, "_t"])
+    found = O.attach(rows, stored(scanned.select(*keys, "_t", *[f"_s_{n}" for n in sums]), "matured"), [*keys, "_t"])
     out = found.select("_left.*", *[F.col(f"_s_{n}").alias(n) for n in sums])
-    if game not in targets.columns:
+    if told is None or told.isEmpty():
         return out
-    mine = steps.select(game, "_t", F.col("_c._under").alias("_own_under"), F.col("_c._sums").alias("_own"))
-    seen = O.as_of(out, mine, [game], at, "_t", ["_t"], ["_own_under", "_own"])
+    of_told = F.xxhash64(game) == F.col("_h")
+    mine = steps.join(told, of_told, "left_semi").select(game, "_t", F.col("_c._under").alias("_own_under"), F.col("_c._sums").alias("_own"))
+    seen = O.as_of(out.join(told, of_told, "left_semi"), mine, [game], at, "_t", ["_t"], ["_own_under", "_own"])
     here = F.exists("_own_under", lambda x: x.eqNullSafe(F.struct(*keys)))
-    return seen.select(*targets.columns, *[(F.col(n) - F.when(here, F.col(f"_own.{n}")).otherwise(F.lit(0))).alias(n) for n in sums])
+    less = seen.select(*targets.columns, *[(F.col(n) - F.when(here, F.col(f"_own.{n}")).otherwise(F.lit(0))).alias(n) for n in sums])
+    return out.join(told, of_told, "left_anti").unionByName(less)
 
 
 def model_panel(preds: DataFrame, models: Sequence[str], values: Sequence[str], key: str = "game_id") -> DataFrame:
