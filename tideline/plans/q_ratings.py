@@ -6,6 +6,7 @@ from tideline.operators import ratings as R
 from tideline.plans.catalog import register
 from tideline.plans.q_timeline import us
 from tideline.plans.views import Views
+from tideline.session import stored
 
 
 def fold_sql(k: float, adv: float, margin: float, keep: float, body: str) -> str:
@@ -43,5 +44,12 @@ FROM (SELECT f.league, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS wi
 def _(v: Views):
     from tideline.operators.evaluate import baseline_vs_base_rate
 
-    rated = R.elo_simple(v.games).join(v.games.select("game_id", "league", (F.col("home_score") > F.col("away_score")).cast("int").alias("win")), "game_id")
+    win = (F.col("home_score") > F.col("away_score")).cast("int")
+    rated = R.elo_simple(v.games, carry=("league", "home_score", "away_score")).select("game_id", "league", "expected_home", win.alias("win"))
+    # an id that several games share meets each of them; there are few of these, found by their hashes
+    same = F.xxhash64("game_id") == F.col("_h")
+    shared = stored(v.games.groupBy(F.xxhash64("game_id").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"), "shared")
+    if not shared.isEmpty():
+        wins = v.games.join(shared, same, "left_semi").groupBy("game_id").agg(F.collect_list(win).alias("_wins"))
+        rated = rated.join(wins, "game_id", "left").withColumn("win", F.explode(F.coalesce("_wins", F.array("win"))))
     return us(baseline_vs_base_rate(rated, F.col("expected_home"), F.col("win"), ["league"]), digits=6)
