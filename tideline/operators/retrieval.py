@@ -1,9 +1,10 @@
 """Conformal sets calibrated on the nearest matured earlier games of each case.
 
 The pool of a case is the latest matured snapshot of each of the last ``pool`` other games by prediction time.  Such pools merge: the pool
-of two stretches of time is the latest snapshot per game of both, cut to the last games again.  So the maturity axis is cut
-into chunks of equal row counts, each chunk gives its own pool, a tree of merges gives every chunk the pool it starts with, and a chunk
-then walks its rows once.  No task holds more than a chunk and two pools, and nothing is paired with history.
+of two stretches of time is the latest snapshot per game of both, cut to the last games again.  So the maturity axis is cut by the counts of
+its instants into chunks of about equal row counts, each chunk gives its own pool, a tree of merges gives every chunk the pool it starts with,
+and a chunk then walks its rows once.  No task holds more than a chunk and two pools, and nothing is paired with history.  Cases move once; facts are
+first cut to those of their instant that a pool can hold.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import ordered as O
 from tideline.operators.evaluate import prediction_set
 from tideline.operators.scan import tree_prefix
-from tideline.session import materialize, stored
+from tideline.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -137,6 +138,34 @@ def _walk(keys: Sequence[str], size: int, k: int, minimum: int, classes: int):
     return run
 
 
+def _axis(events: DataFrame, keys: Sequence[str], room: int) -> DataFrame:
+    """The instants ``(keys, _t, _side)`` of a key, how many rows each has and the place ``_before`` it begins at; no more than ``room`` facts of one count."""
+    at = [*keys, "_t", "_side"]
+    instants = stored(events.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")), "instants")
+    weight = F.when(F.col("_side") == 1, F.col("_n")).otherwise(F.least(F.col("_n"), F.lit(room)))
+    day = F.date_trunc("day", F.timestamp_micros("_t"))
+    return stored(O.row_numbers(instants, keys, ["_t", "_side"], day, sums={"_before": weight}).select(*at, "_n", "_before"), "axis")
+
+
+def _latest(facts: DataFrame, at: Sequence[str], room: int) -> DataFrame:
+    """Facts without those that ``room`` other games of their instant outrank, which no pool can hold. Of games with one row only ranks move, the
+    row of rank ``room`` being the bound of an instant; the others are first cut to their latest snapshot."""
+    rank, latest = F.struct("pt", "case"), Window.partitionBy(*at).orderBy(F.col("pt").desc(), F.col("case").desc())
+    crowded, of_many = F.col("_n") > room, F.xxhash64("game") == F.col("_h")
+    many = stored(facts.groupBy(F.xxhash64("game").alias("_h")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_h"), "many")
+    told = not many.isEmpty()
+    one = facts.join(many, of_many, "left_anti") if told else facts
+    least = one.filter(crowded).select(*at, "pt", "case").withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") == room)
+    least = stored(least.select(*at, rank.alias("_least")), "least")
+    kept = O.attach(one, least, at).filter(F.col("_least").isNull() | (rank >= F.col("_least"))).drop("_least")
+    if not told:
+        return kept
+    rest = [c for c in facts.columns if c not in at and c not in ("game", "pt", "case")]
+    again = facts.join(many, of_many, "left_semi").groupBy(*at, "game").agg(F.max(F.struct("pt", "case", *rest)).alias("_row")).select(*at, "game", "_row.*")
+    again = again.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= room).drop("_rank")
+    return kept.unionByName(again)
+
+
 def retrieval_conformal(
     df: DataFrame, p: Sequence[str], y: str, features: Sequence[str], game: str, case: str, pred_time: str, mature_at: str,
     keys: Sequence[str] = (), alpha: float = 0.10, minimum: int = 30, pool: int = 200, k: int = 30, chunk: int = 8192, fan: int = 16,
@@ -159,19 +188,28 @@ def retrieval_conformal(
         F.trim(F.col(game).cast("string")).alias("game"), F.array(*[F.col(c).cast("double") for c in p]).alias("p"), (1.0 - hit).alias("score"),
         F.array(*[F.col(c).cast("double") for c in features]).alias("features"), F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)).alias("_ok"),
     ).where("_ok").drop("_ok")
+    room = pool + 1
     # at one instant: facts that matured after they were predicted, then cases, then facts of that very instant
-    fact = F.struct(F.col("_m").alias("_t"), F.when(F.col("_m") > F.col("pt"), 0).otherwise(2).alias("_side"), F.lit(True).alias("is_fact"))
-    asked = F.struct(F.col("pt").alias("_t"), F.lit(1).alias("_side"), F.lit(False).alias("is_fact"))
-    events = base.select("*", F.inline(F.array(fact, asked))).drop("_m").where(~F.col("is_fact") | F.col("score").isNotNull()).withColumn("_day", F.timestamp_micros("_t"))
-    numbered = O.row_numbers(events, keys, ["_t", "_side", "case"], F.date_trunc("day", "_day"))
-    cut = stored(numbered.withColumn("seg", F.floor((F.col("rn") - 1) / chunk)).drop("_t", "_side", "_day"), "retrieval")
-    kinds = dict(cut.dtypes)
+    fact = F.struct(F.col("_m").alias("_t"), F.when(F.col("_m") > F.col("pt"), 0).otherwise(2).alias("_side"))
+    asked, known = F.struct(F.col("pt").alias("_t"), F.lit(1).alias("_side")), "score IS NOT NULL AND _m IS NOT NULL AND pt IS NOT NULL"
+    cut = _axis(base.select(*keys, F.inline(F.array(asked, F.when(F.expr(known), fact)))).filter("_side IS NOT NULL"), keys, room)
+    asks, facts = base.select("*", asked["_t"].alias("_t"), asked["_side"].alias("_side")), base.filter(known).select("*", fact["_t"].alias("_t"), fact["_side"].alias("_side"))
+    at = [*keys, "_t", "_side"]
+    facts = O.attach(facts, cut.filter("_side <> 1"), at)
+    if not cut.filter((F.col("_side") != 1) & (F.col("_n") > room)).isEmpty():
+        facts = _latest(facts, at, room)
+    facts = stored(facts.select(*keys, F.floor(F.col("_before") / chunk).alias("seg"), F.lit(True).alias("is_fact"), F.col("_before").alias("rn"), "pt", "case", "game", "score", "features"), "facts")
+    # cases of an instant share its place, and any of its chunks will do for one
+    asks = O.attach(asks, cut.filter("_side = 1"), at).withColumn("seg", F.floor((F.col("_before") + F.pmod(F.xxhash64("case"), F.col("_n"))) / chunk))
+    asks = asks.select(*keys, "seg", F.lit(False).alias("is_fact"), F.col("_before").alias("rn"), "pt", "case", "game", "p", "features")
+    kinds = dict(asks.dtypes)
     head = "".join(f"{c} {kinds[c]}, " for c in keys)
-    by = cut.groupBy(*keys, "seg")
-    # the first row of a chunk stands for one without facts
-    facts = cut.filter(F.col("is_fact") | ((F.col("rn") - 1) % chunk == 0)).select(*keys, "seg", "is_fact", "pt", "case", "game", "score", "features")
-    own = materialize(facts.groupBy(*keys, "seg").applyInPandas(_own_pool(keys, pool + 1), f"{head}seg bigint, state binary"))
-    before = tree_prefix(own, keys, _merge(pool + 1), fan=fan)
+    # every chunk that can hold a case, for those without facts
+    ends = [F.floor((F.col("_before") + e) / chunk) for e in (F.lit(0), F.col("_n") - 1)]
+    chunks = cut.filter("_side = 1").select(*keys, F.explode(F.sequence(*ends)).alias("seg")).distinct().withColumn("is_fact", F.lit(False))
+    own = stored(facts.drop("rn").unionByName(chunks, allowMissingColumns=True).groupBy(*keys, "seg").applyInPandas(_own_pool(keys, room), f"{head}seg bigint, state binary"), "pools")
+    before = tree_prefix(own, keys, _merge(room), fan=fan)
+    by = asks.unionByName(facts, allowMissingColumns=True).groupBy(*keys, "seg")
     schema = f"case {kinds['case']}, pool_count bigint, calibration_count bigint, nearest_distance double, " + ", ".join(f"pv{i} double" for i in range(len(p)))
     out = by.cogroup(before.groupBy(*keys, "seg")).applyInPandas(_walk(keys, pool, k, minimum, len(p)), schema)
     return prediction_set(out, len(p), alpha)
